@@ -35,17 +35,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int, name: str) -> np.ndarray:
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of the hash's base, or of its inverse modulo 2 ** 64."""
+    name = "down" if inverse else "up"
     have = _tables.get(name)
     if have is None or len(have) < n:
-        n = max(n, BLOCK_BYTES + 1)
-        row = np.full(n, base, dtype=np.uint64)
+        row = np.full(max(n, BLOCK_BYTES + 1), _BASE_INVERSE if inverse else _BASE, dtype=np.uint64)
         row[0] = 1
         have = _tables[name] = np.multiply.accumulate(row)
-    return have
+    return have[:n]
 
 
-def _byte_values() -> np.ndarray:
+def byte_values() -> np.ndarray:
+    """A random 64-bit value for each byte."""
     if "bytes" not in _tables:
         _tables["bytes"] = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
     return _tables["bytes"]
@@ -58,8 +60,8 @@ def _block_words(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edge[0::2], edge[1::2]
     n = len(block)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_byte_values()[block] * _powers(_BASE, n, "up")[:n], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _powers(_BASE_INVERSE, n, "down")[starts]
+    np.cumsum(byte_values()[block] * powers(n), out=sums[1:])
+    hashes = (sums[ends] - sums[starts]) * powers(n + 1, inverse=True)[starts]
     return starts, mix64(hashes + (ends - starts).astype(np.uint64))
 
 
