@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pellucid.llm.chunked_bpe import chunked_bpe
+from pellucid.llm.imatch import fingerprints
 from pellucid.llm.ngram_join import ngram_join
 from pellucid.llm.token_files import token_files
+from pellucid.llm.warc import warc_pages
 
 
 def vocabulary(name: str) -> str:
@@ -22,10 +24,18 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked_bpe(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("word_bpe_49k.json"))
 
