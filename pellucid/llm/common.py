@@ -41,4 +41,9 @@ def utf8(col) -> F.Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")
 
 
+def broadcast_if_small(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has few rows; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pellucid.llm.chunked_bpe import chunked_bpe
 from pellucid.llm.imatch import fingerprints
+from pellucid.llm.mixing import mix_sources
 from pellucid.llm.ngram_join import ngram_join
+from pellucid.llm.sharding import minimax_shards
 from pellucid.llm.token_files import token_files
 from pellucid.llm.warc import warc_pages
 
@@ -24,6 +26,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -40,6 +46,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("word_bpe_49k.json"))
 
 
+def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minimax_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
