@@ -10,6 +10,7 @@ from pellucid.llm.chunked_bpe import chunked_bpe
 from pellucid.llm.imatch import fingerprints
 from pellucid.llm.mixing import mix_sources
 from pellucid.llm.ngram_join import ngram_join
+from pellucid.llm.secrets import scan_secrets
 from pellucid.llm.sharding import minimax_shards
 from pellucid.llm.token_files import token_files
 from pellucid.llm.warc import warc_pages
@@ -26,6 +27,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

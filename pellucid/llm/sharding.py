@@ -46,36 +46,37 @@ def _least_capacity(sizes: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(least.alias("low"), total.alias("high")), halve)["high"]
 
 
-def _cut(sizes: Column, capacity: Column, shards: int) -> Column:
-    """The shard of each atom, in order, none above the capacity.
+def _cuts(sizes: Column, capacity: Column, shards: int) -> Column:
+    """The places at which the second and later shards begin, none filled above the capacity.
 
-    Greedy filling from the end tells how many shards each atom and those behind it need; as long as
+    Filling greedily from the end tells how many atoms at the end so many shards can take; as long as
     enough are left, a shard ends as near as it can to its share of the whole, and so the last one isn't
-    short of what the others have over.
+    short of what the others have over. The folds keep no more than a number for each shard.
     """
-    empty = F.array().cast("array<bigint>")
+    none, zero = F.array().cast("array<bigint>"), F.lit(0).cast("long")
 
     def back(s: Column, size: Column) -> Column:
         fits = s["load"] + size <= capacity
-        need = F.when(fits, s["need"]).otherwise(s["need"] + 1)
-        return F.struct(F.when(fits, s["load"] + size).otherwise(size).alias("load"), need.alias("need"), F.concat(s["out"], F.array(need)).alias("out"))
+        return F.struct(
+            F.when(fits, s["load"] + size).otherwise(size).alias("load"), (s["seen"] + 1).alias("seen"),
+            F.when(fits, s["take"]).otherwise(F.concat(s["take"], F.array(s["seen"]))).alias("take"),
+        )
 
-    needs = F.reverse(F.aggregate(F.reverse(sizes), F.struct(F.lit(0).cast("long").alias("load"), F.lit(1).cast("long").alias("need"), empty.alias("out")), back)["out"])
-    mean = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x) / shards
+    take = F.aggregate(F.reverse(sizes), F.struct(zero.alias("load"), zero.alias("seen"), none.alias("take")), back)["take"]
+    n, total = F.size(sizes), F.aggregate(sizes, zero, lambda a, x: a + x)
 
-    def put(s: Column, x: Column) -> Column:
-        size = x["size"]
-        full = s["load"] + size > capacity
-        share = (s["before"] + size / 2 > (s["shard"] + 1) * mean) & (s["shard"] + 1 <= shards - x["need"])
-        shard = F.when(full | share, s["shard"] + 1).otherwise(s["shard"])
+    def put(s: Column, size: Column) -> Column:
+        begun = F.size(s["cuts"]) + 1
+        left = shards - begun
+        enough = (left >= 1) & (F.coalesce(F.get(s["take"], left - 1), n) >= n - s["seen"])
+        ends = (s["load"] + size > capacity) | (enough & (s["before"] + size / 2 > begun * total / shards))
         return F.struct(
-            shard.alias("shard"), F.when(full | share, size).otherwise(s["load"] + size).alias("load"),
-            (s["before"] + size).alias("before"), F.concat(s["out"], F.array(shard)).alias("out"),
+            F.when(ends, size).otherwise(s["load"] + size).alias("load"), (s["before"] + size).alias("before"), (s["seen"] + 1).alias("seen"),
+            F.when(ends, F.concat(s["cuts"], F.array(s["seen"]))).otherwise(s["cuts"]).alias("cuts"), s["take"].alias("take"),
         )
 
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("shard"), zero.alias("load"), zero.alias("before"), empty.alias("out"))
-    return F.aggregate(F.zip_with(sizes, needs, lambda size, need: F.struct(size.alias("size"), need.alias("need"))), start, put)["out"]
+    start = F.struct(zero.alias("load"), zero.alias("before"), zero.alias("seen"), none.alias("cuts"), take.alias("take"))
+    return F.aggregate(sizes, start, put)["cuts"]
 
 
 def minimax_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,10 +97,10 @@ def minimax_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     atoms = parts.groupBy("atom").agg(F.sum("size").alias("size"))
     one = atoms.agg(F.array_sort(F.collect_list(F.struct("atom", "size"))).alias("atoms")).where("size(atoms) > 0")
     sizes = F.transform("atoms", lambda a: a["size"])
-    one = one.withColumn("capacity", _least_capacity(sizes, shards))
-    one = one.select("atoms", "capacity", _cut(sizes, F.col("capacity"), shards).alias("shards"))
-    one = one.select(F.posexplode("atoms").alias("place", "a"), "shards")
-    shard_of = materialize(one.select("a.atom", F.element_at("shards", F.col("place") + 1).alias("shard")))
+    one = materialize(one.withColumn("capacity", _least_capacity(sizes, shards)))
+    one = materialize(one.select("atoms", _cuts(sizes, F.col("capacity"), shards).alias("cuts")))
+    one = one.select(F.posexplode("atoms").alias("place", "a"), "cuts")
+    shard_of = one.select("a.atom", F.size(F.filter("cuts", lambda c: c <= F.col("place"))).alias("shard"))
 
     numbered = parts.select("atom", "part", "n").join(broadcast_if_small(shard_of), "atom")
     order = Window.partitionBy("shard").orderBy("atom", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
