@@ -63,19 +63,20 @@ def _cuts(sizes: Column, capacity: Column, shards: int) -> Column:
         )
 
     take = F.aggregate(F.reverse(sizes), F.struct(zero.alias("load"), zero.alias("seen"), none.alias("take")), back)["take"]
-    n, total = F.size(sizes), F.aggregate(sizes, zero, lambda a, x: a + x)
 
     def put(s: Column, size: Column) -> Column:
         begun = F.size(s["cuts"]) + 1
         left = shards - begun
-        enough = (left >= 1) & (F.coalesce(F.get(s["take"], left - 1), n) >= n - s["seen"])
-        ends = (s["load"] + size > capacity) | (enough & (s["before"] + size / 2 > begun * total / shards))
+        enough = (left >= 1) & (F.coalesce(F.get(s["take"], left - 1), s["n"]) >= s["n"] - s["seen"])
+        ends = (s["load"] + size > capacity) | (enough & (s["before"] + size / 2 > begun * s["total"] / shards))
         return F.struct(
             F.when(ends, size).otherwise(s["load"] + size).alias("load"), (s["before"] + size).alias("before"), (s["seen"] + 1).alias("seen"),
-            F.when(ends, F.concat(s["cuts"], F.array(s["seen"]))).otherwise(s["cuts"]).alias("cuts"), s["take"].alias("take"),
+            F.when(ends, F.concat(s["cuts"], F.array(s["seen"]))).otherwise(s["cuts"]).alias("cuts"), *(s[c].alias(c) for c in ("take", "n", "total")),
         )
 
-    start = F.struct(zero.alias("load"), zero.alias("before"), zero.alias("seen"), none.alias("cuts"), take.alias("take"))
+    # a fold works out again, for each atom, whatever it doesn't carry along
+    total = F.aggregate(sizes, zero, lambda a, x: a + x)
+    start = F.struct(zero.alias("load"), zero.alias("before"), zero.alias("seen"), none.alias("cuts"), take.alias("take"), F.size(sizes).cast("long").alias("n"), total.alias("total"))
     return F.aggregate(sizes, start, put)["cuts"]
 
 
