@@ -13,6 +13,7 @@ from pellucid.llm.ngram_join import ngram_join
 from pellucid.llm.secrets import scan_secrets
 from pellucid.llm.sharding import minimax_shards
 from pellucid.llm.token_files import token_files
+from pellucid.llm.toxicity import score_toxicity
 from pellucid.llm.warc import warc_pages
 
 
@@ -39,6 +40,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked_bpe(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json"))
 
