@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pellucid.llm.ann import nearest
 from pellucid.llm.chunked_bpe import chunked_bpe
 from pellucid.llm.imatch import fingerprints
 from pellucid.llm.mixing import mix_sources
@@ -32,6 +33,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
