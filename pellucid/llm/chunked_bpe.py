@@ -29,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pellucid.llm import bloom
 from pellucid.llm.bpe import ID, PieceEncoder, byte_table
 from pellucid.llm.common import materialize, utf8
 from pellucid.llm.shingles import BLOCK_BYTES, byte_values, mix64, powers
 
 WINDOW, CHUNK_BITS = 48, 11
-FILTER_BITS, FILTER_HASHES = 25, 3
 #: Counts held in a task before they are handed on.
 HELD_COUNTS = 1 << 18
 
@@ -87,28 +87,11 @@ def _chunk_counts(batches):
     yield rows()
 
 
-def _filter_places(hashes: np.ndarray) -> np.ndarray:
-    base = hashes.astype(np.uint64)
-    return np.stack([(mix64(base + np.uint64(k + 1)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64) for k in range(FILTER_HASHES)])
-
-
-def _filter_part(batches):
-    bits = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    for batch in batches:
-        places = _filter_places(batch.column("hash").to_numpy()).ravel()
-        np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
-    if bits.any():
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
-
-
 def _repeated_filter(rows: DataFrame) -> np.ndarray:
     """The Bloom filter, of fixed size, of the hashes of chunks that occur more than once."""
     counts = rows.select("body").mapInArrow(_chunk_counts, "hash long, k long")
     repeated = counts.groupBy("hash").agg(F.sum("k").alias("k")).where("k > 1").select("hash")
-    bits = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    for row in repeated.coalesce(4).mapInArrow(_filter_part, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(row["bits"], dtype=np.uint8)
-    return bits
+    return bloom.build(repeated)
 
 
 class _Codec:
@@ -191,8 +174,7 @@ def _encode(path: str, bits):
                     row += 1
                     chunks = _chunks(body.as_buffer().to_pybytes())
                     hashes = [_hash(c) for c in chunks]
-                    places = _filter_places(np.array(hashes, dtype=np.int64))
-                    shared = (have[places >> 3] >> (places & 7).astype(np.uint8) & 1).all(axis=0).tolist()
+                    shared = bloom.may_hold(have, np.array(hashes, dtype=np.int64)).tolist()
                     if not any(shared):
                         ids = codec.join([codec.encode(c) for c in chunks])
                         out.append((row, key, *codec.digests(ids), None, None, None, None))
