@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 import regex
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SPACE = regex.compile(r"[\s﻿]+")
 _BREAK = regex.compile(r"\b", flags=regex.WORD)
@@ -35,16 +36,16 @@ def decode_label(label: str) -> str:
         return label
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalized(text: pd.Series) -> pd.Series:
     return text.map(normalize_text, na_action=None)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def word_list(text: pd.Series) -> pd.Series:
     return text.map(lambda t: words(normalize_text(t)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded_host(host: pd.Series) -> pd.Series:
     return host.map(lambda h: None if h is None else ".".join(map(decode_label, h.lower().split("."))))
