@@ -22,14 +22,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root}/pellucid-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again, which cuts its lineage.
 
     Lost executors then cost the unfinished step alone, and later steps read only the columns they use.
+    ``batch_rows`` bounds the Arrow batches of this step alone, for rows that hold much.
     """
-    path = f"{shared_dir(df.sparkSession)}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}.parquet"
+    before = spark.conf.get(_BATCH)
+    if batch_rows:
+        spark.conf.set(_BATCH, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
