@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pellucid.llm.common import materialize
 
 SAMPLE_ROWS = 12_000
+#: Terms counted in a task before they are handed on.
+HELD_TERMS = 1 << 17
 FOLDS = 5
 PREFIXES = (4, 5, 6, 7, 8)
 INDUCED_VOTERS, CLASSIFIER_TERMS, MIN_ROWS = 96, 400, 3
@@ -116,31 +118,58 @@ def _ridge(columns: list[np.ndarray], n_terms: int, target: np.ndarray) -> tuple
     return float(w[-1]), w[:-1]
 
 
-def fit(texts: list[str], labels: list[int]) -> Classifier:
-    """Voters, label model and classifier from labelled texts."""
-    if not texts:
-        return Classifier()
-    y = np.array(labels)
-    terms = [text_terms(t) for t in texts]
+def _count_terms(batches):
     counts: dict[str, list[int]] = {}
-    for own, label in zip(terms, labels, strict=True):
-        for t in own:
-            counts.setdefault(t, [0, 0])[label] += 1
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
 
-    def odds(c) -> float:
-        return float(np.log((c[1] + 0.5) / (n1 + 1)) - np.log((c[0] + 0.5) / (n0 + 1)))
+    def rows():
+        out = pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))], names=["term", "c0", "c1"])
+        counts.clear()
+        return out
+
+    for batch in batches:
+        for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+            for t in text_terms(text.as_py()):
+                counts.setdefault(t, [0, 0])[label] += 1
+            if len(counts) > HELD_TERMS:
+                yield rows()
+    yield rows()
+
+
+def _look(induced: list[str], chosen: list[str]):
+    """Each sampled row's label, its votes, and which of the chosen terms it has."""
+    place = {t: k for k, t in enumerate(chosen)}
+
+    def run(batches):
+        for batch in batches:
+            votes, terms = [], []
+            for text in batch.column("text"):
+                text = text.as_py()
+                own = text_terms(text)
+                votes.append(fixed_votes(text, own) + [t in own for t in induced])
+                terms.append(sorted(place[t] for t in own & place.keys()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(votes, pa.list_(pa.bool_())), pa.array(terms, pa.list_(pa.int32()))], names=["id", "toxic", "votes", "terms"])
+
+    return run
+
 
-    told = [(odds(c) * np.sqrt(c[0] + c[1]), t) for t, c in counts.items() if sum(c) >= MIN_ROWS]
-    told.sort(key=lambda x: (-abs(x[0]), x[1]))
-    induced = [t for s, t in told if s > 0 and odds(counts[t]) > 1.5][:INDUCED_VOTERS]
-    votes = np.array([fixed_votes(text, own) + [t in own for t in induced] for text, own in zip(texts, terms, strict=True)])
-    posterior, _ = label_model(votes, y)
+def fit(sample: DataFrame) -> Classifier:
+    """Voters, label model and classifier from a bounded table of (id, toxic, text).
 
-    chosen = {t: k for k, (_, t) in enumerate(told[:CLASSIFIER_TERMS])}
-    columns = [np.array(sorted(chosen[t] for t in own & chosen.keys()), dtype=np.int64) for own in terms]
-    bias, weights = _ridge(columns, len(chosen), posterior)
-    return Classifier(bias, {t: float(weights[k]) for t, k in chosen.items() if abs(weights[k]) > 1e-4})
+    Terms are counted where the texts are; the driver gets the best of them, by the strength and support of
+    their association with the labels, and for each sampled row its votes and places of chosen terms.
+    """
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if not n:
+        return Classifier()
+    counts = sample.select("text", "toxic").mapInArrow(_count_terms, "term string, c0 long, c1 long").groupBy("term").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    odds = F.log((F.col("c1") + 0.5) / (max(1, n.get(1, 0)) + 1)) - F.log((F.col("c0") + 0.5) / (max(1, n.get(0, 0)) + 1))
+    told = materialize(counts.where(F.col("c0") + F.col("c1") >= MIN_ROWS).select("term", odds.alias("odds"), (odds * F.sqrt(F.col("c0") + F.col("c1"))).alias("z")))
+    induced = [r["term"] for r in told.where("z > 0 AND odds > 1.5").orderBy(F.desc("z"), "term").limit(INDUCED_VOTERS).collect()]
+    chosen = [r["term"] for r in told.orderBy(F.desc(F.abs("z")), "term").limit(CLASSIFIER_TERMS).collect()]
+    rows = sorted(sample.mapInArrow(_look(induced, chosen), "id long, toxic int, votes array<boolean>, terms array<int>").collect(), key=lambda r: r["id"])
+    posterior, _ = label_model(np.array([r["votes"] for r in rows]), np.array([r["toxic"] for r in rows]))
+    bias, weights = _ridge([np.array(r["terms"], dtype=np.int64) for r in rows], len(chosen), posterior)
+    return Classifier(bias, {t: float(w) for t, w in zip(chosen, weights, strict=True) if abs(w) > 1e-4})
 
 
 def fold(id_col) -> F.Column:
@@ -155,8 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # the sample is bounded, so the texts of the table stay where they are
     rows = texts.join(F.broadcast(materialize(taken)), "id").dropDuplicates(["id"])
-    sampled = sorted((r["id"], r["toxic"], r["text"]) for r in rows.collect())
-    return fit([r[2] for r in sampled], [r[1] for r in sampled])
+    return fit(materialize(rows.select("id", "toxic", "text")))
 
 
 def _score(model):
