@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -109,6 +109,43 @@ _OUT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
+def _deal(edges: np.ndarray, heads: dict[int, tuple[int, int | None, int]]):
+    """Rows by bucket, texts packed for the exchange; a bucket's first row also goes to the bucket before.
+
+    heads: for each bucket its first row's id and hash, and the bucket that it is lent to.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, tie, text in zip(batch.column("id").to_pylist(), batch.column("tie").to_pylist(), batch.column("text"), strict=True):
+                bucket = _bucket(edges, key)
+                packed = zlib.compress(text.as_buffer().to_pybytes(), 1)
+                out.append((bucket, 0, key, tie, packed))
+                first, first_tie, to = heads[bucket]
+                if (key, tie) == (first, first_tie):
+                    out.append((to, 1, key, tie, packed))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "lent", "id", "tie", "packed"])
+
+    return run
+
+
+def _buckets(edges: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            found = pa.array([_bucket(edges, key) for key in batch.column("id").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([found, *batch.columns], names=["bucket", "id", "tie"])
+
+    return run
+
+
+def _bucket(edges: np.ndarray, key: int | None) -> int:
+    """Buckets number the ranges of ids from the greatest on; null ids have the last."""
+    return len(edges) + 1 if key is None else len(edges) - int(np.searchsorted(edges, key, side="right"))
+
+
 def _compare(words):
     """Rows come by bucket, in order; a bucket's last row is lent by the next and only serves as next text."""
 
@@ -119,8 +156,9 @@ def _compare(words):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=[f.split()[0] for f in _OUT.split(", ")])
 
         for batch in batches:
-            for bucket, lent, key, text in zip(*(batch.column(c) for c in ("bucket", "lent", "id", "text")), strict=True):
-                bucket, lent, key, text = bucket.as_py(), lent.as_py(), key.as_py(), text.as_py() or ""
+            for bucket, lent, key, packed in zip(*(batch.column(c) for c in ("bucket", "lent", "id", "packed")), strict=True):
+                bucket, lent, key = bucket.as_py(), lent.as_py(), key.as_py()
+                text = zlib.decompress(packed.as_buffer()).decode()
                 own = prints(text)
                 if last is not None and last[0] == bucket:
                     before, mark = last[2], last[3]
@@ -147,7 +185,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id are in the order of a hash of their text. Equal texts have equal fingerprints. Other columns are
     ignored; an empty table gives an empty result; a single document is its own next.
 
-    Texts are dealt once, by ranges of the id; of each range only its first row goes to a second task.
+    Texts are dealt once, packed, by ranges of the id; of each range only its first row goes to a second task.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -157,30 +195,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bounds = rows.select("id").where("id IS NOT NULL").approxQuantile("id", [k / n for k in range(1, n)], 0.25 / n) if n > 1 else []
     edges = np.array(sorted({int(b) for b in bounds}), dtype=np.int64)
 
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        found = np.full(len(ids), len(edges) + 1, dtype=np.int64)
-        found[known] = len(edges) - np.searchsorted(edges, ids[known].to_numpy(dtype=np.int64), side="right")
-        return pd.Series(found)
-
-    deal = F.pandas_udf(bucket_of, "long")
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    placed = rows.withColumn("bucket", deal("id"))
     # ids descend, so a bucket's first row has the greatest id, and the least hash among equal ids
-    heads = rows.select("id", "tie").withColumn("bucket", deal("id")).groupBy("bucket").agg(F.max(F.struct("id", -F.col("tie"))).alias("head"))
-    heads = sorted((r["bucket"], r["head"][0], -r["head"][1]) for r in heads.collect())
-    before = {b: heads[k - 1][0] for k, (b, _, _) in enumerate(heads)}
-    first = {b: (key, tie) for b, key, tie in heads}
-    lends = F.create_map(*[F.lit(x) for b, (key, tie) in first.items() for x in (b, F.struct(F.lit(key).cast("long").alias("id"), F.lit(tie).alias("tie"), F.lit(before[b]).alias("to")))]) if heads else None
-    if heads:
-        at = lends[F.col("bucket")]
-        to = F.when(F.col("id").eqNullSafe(at["id"]) & (F.col("tie") == at["tie"]), at["to"])
-        placed = placed.withColumn("lent_to", to)
-    else:
-        placed = placed.withColumn("lent_to", F.lit(None).cast("long"))
-    own = F.struct(F.col("bucket"), F.lit(0).alias("lent"))
-    both = F.array(own, F.struct(F.col("lent_to").alias("bucket"), F.lit(1).alias("lent")))
-    placed = placed.withColumn("at", F.explode(F.when(F.col("lent_to").isNull(), F.array(own)).otherwise(both)))
-    placed = placed.select("at.bucket", "at.lent", "id", "tie", "text").repartition(n, "bucket")
+    found = rows.select("id", "tie").mapInArrow(_buckets(edges), "bucket long, id long, tie long")
+    firsts = found.groupBy("bucket").agg(F.max(F.struct("id", F.bitwise_not("tie").alias("tie"))).alias("first"))
+    listed = sorted((r["bucket"], r["first"]["id"], ~r["first"]["tie"]) for r in firsts.collect())
+    heads = {b: (key, tie, listed[k - 1][0]) for k, (b, key, tie) in enumerate(listed)}
+    placed = rows.select("id", "tie", F.col("text").cast("binary").alias("text")).mapInArrow(_deal(edges, heads), "bucket long, lent int, id long, tie long, packed binary")
+    placed = placed.repartition(n, "bucket")
     placed = placed.sortWithinPartitions("bucket", "lent", F.col("id").desc_nulls_last(), "tie")
-    return placed.select("bucket", "lent", "id", "text").mapInArrow(_compare(words), _OUT).withColumnRenamed("id", id_col)
+    return placed.select("bucket", "lent", "id", "packed").mapInArrow(_compare(words), _OUT).withColumnRenamed("id", id_col)
