@@ -1,8 +1,8 @@
 """Token ids in Arrow stream files of equal-length sequences.
 
 A file holds the ids of neighbouring documents, end to end, as record batches of ``BATCH`` sequences of
-``length`` ids each: a fixed-size list of unsigned integers and one of mask bytes (1: an id, 0: padding
-behind the last document). All batches but the last have the same number of bytes, so the place of any
+``length`` ids each: a fixed-size list of unsigned integers and one of mask bits (set: an id, clear:
+padding behind the last document). All batches but the last have the same number of bytes, so the place of any
 sequence follows from its number, and :class:`TokenFile` maps a file and views sequences without
 copying. A second stream beside it lists the documents: id, first place in the file, number of ids.
 """
@@ -28,7 +28,7 @@ _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens",
 
 def _schema(length: int, width: str) -> pa.Schema:
     ids = pa.uint16() if width == "<u2" else pa.uint32()
-    return pa.schema([("input_ids", pa.list_(ids, length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("input_ids", pa.list_(ids, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class TokenWriter:
@@ -64,8 +64,8 @@ class TokenWriter:
         for at in range(0, full, step):
             part = ids[at : min(at + step, full)]
             rows = -(-len(part) // self.length)
-            mask = np.ones(rows * self.length, dtype=np.uint8)
-            mask[len(part) :] = 0
+            mask = np.ones(rows * self.length, dtype=bool)
+            mask[len(part) :] = False
             part = np.concatenate([part, np.zeros(len(mask) - len(part), self.width)]).astype(self.width)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.length) for v in (part, mask)]
             self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
@@ -89,11 +89,13 @@ class TokenFile:
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of the k-th sequence, without a copy."""
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of the k-th sequence, without a copy (the mask's bits stay packed)."""
         batch, row = self.batches[k // self.rows], k % self.rows
-        length = batch.schema.field(0).type.list_size
-        return tuple(batch.column(c).values.slice((batch.column(c).offset + row) * length, length).to_numpy(zero_copy_only=True) for c in (0, 1))
+        ids, mask = (batch.column(c) for c in (0, 1))
+        length = ids.type.list_size
+        place = (ids.offset + row) * length
+        return ids.values.slice(place, length).to_numpy(zero_copy_only=True), mask.values.slice(place, length)
 
 
 def _encode(path: str, end_id: int, bounds: list[int], width: str):
@@ -164,8 +166,7 @@ def _ids(name: str) -> Iterator[np.ndarray]:
     """The ids of a file, a batch at a time, without the padding."""
     with open_input(f"{name}.arrows") as source:
         for batch in pa.ipc.open_stream(source):
-            ids, mask = (batch.column(c).flatten().to_numpy() for c in (0, 1))
-            yield ids[: int(mask.sum())]
+            yield batch.column(0).flatten().to_numpy()[: batch.column(1).flatten().true_count]
 
 
 def _read(folder: str):
