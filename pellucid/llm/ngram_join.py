@@ -4,12 +4,14 @@
 least ``percent`` hundredths:
 
 1. Every text becomes a set of 64-bit shingle hashes; equal sets form one class at once.
-2. A two-row count sketch of fixed size takes the document frequency of every shingle. Shingles are
+2. A two-row count sketch of fixed size takes the document frequency of every shingle, copies that a
+   task meets counted once. Shingles are
    ordered by sketched frequency, rarest first, then by hash: one total order for all texts, which is
    all that prefix filtering needs to be exact.
 3. A set's first ``n - ceil(t n) + 1`` shingles in this order are its prefix. Prefix shingles are dealt
    by hash into packed blobs, so that one exchange carries 24 bytes for each. A shingle that the sketch
-   knows to be very frequent is salted, so that no task holds all of its texts.
+   knows to be very frequent is salted, so that no task holds all of its texts; as no task then sees all
+   of its pairs either, its whole list is kept.
 4. Members of one shingle's list are paired under the length and positional filters: first each with
    a hub, then with a few more where lists fall apart, and then, the components of the links found so far being
    known, only across components. Groups of copies thus cost as much as they have members.
@@ -81,12 +83,15 @@ def _profiles(width: int):
 
     def run(batches):
         rows = np.zeros((2, 1 << SKETCH_BITS), dtype=np.int64)
+        seen: set[int | None] = {None}
         for batch in batches:
             for part, sets in _sets(batch, width):
-                if tokens := [s for s in sets if len(s)]:
-                    for row, slot in zip(rows, _slots(np.concatenate(tokens)), strict=True):
-                        row += np.bincount(slot, minlength=len(row))
                 sizes, signatures = [len(s) for s in sets], [_signature(s) if len(s) else None for s in sets]
+                fresh = {g: s for g, s in zip(signatures, sets, strict=True) if g not in seen}
+                if fresh:
+                    seen.update(fresh)
+                    for row, slot in zip(rows, _slots(np.concatenate([*fresh.values()])), strict=True):
+                        row += np.bincount(slot, minlength=len(row))
                 none = part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(sizes, pa.int64()), pa.array(signatures, pa.int64()), pa.array([_ranges(s) for s in sets], pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
         chunks = rows.reshape(-1, 1 << CHUNK_BITS)
@@ -133,11 +138,13 @@ def _prefixes(sketch, percent: int, width: int, buckets: int):
             load = np.minimum(rows[0][first], rows[1][second]) - background
             salts = np.maximum(1, np.ceil(load / LIST_LIMIT)).astype(np.uint64)
             bucket = (mix64(packed["token"] + packed["sig"].astype(np.uint64) % salts) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            packed, bucket = packed[order], bucket[order]
-            cut = np.flatnonzero(np.diff(bucket)) + 1
+            salted = salts > 1
+            order = np.lexsort((salted, bucket))
+            packed, bucket, salted = packed[order], bucket[order], salted[order]
+            cut = np.flatnonzero((np.diff(bucket) != 0) | (salted[1:] != salted[:-1])) + 1
             blobs = [x.tobytes() for x in np.split(packed, cut)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate(([0], cut))], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "packed"])
+            first = np.concatenate(([0], cut))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int64()), pa.array(salted[first]), pa.array(blobs, pa.binary())], names=["bucket", "salted", "packed"])
 
         for batch in batches:
             for _, sets in _sets(batch, width):
@@ -172,17 +179,27 @@ def _may_pair(n, pos, m, other, percent):
 
 
 def _lists(percent: int):
-    """Of a bucket's prefix shingles, those lists in which some pair can pass the filters."""
+    """Of a bucket's prefix shingles, those lists in which some pair can pass the filters.
 
-    def run(batches):
-        blobs = [b for batch in batches for b in batch.column("packed").to_pylist()]
-        if not blobs:
-            return
+    Salted lists are kept whole: their pairs may have a member in another bucket.
+    """
+
+    def distinct(blobs):
         rows = np.frombuffer(b"".join(blobs), dtype=_PACKED)
-        del blobs
         rows = rows[np.lexsort((rows["sig"], rows["token"]))]
-        fresh = np.concatenate(([True], (rows["token"][1:] != rows["token"][:-1]) | (rows["sig"][1:] != rows["sig"][:-1])))
-        rows = rows[fresh]
+        return rows[np.concatenate((np.ones(min(len(rows), 1), dtype=bool), (rows["token"][1:] != rows["token"][:-1]) | (rows["sig"][1:] != rows["sig"][:-1])))]
+
+    def run(batches):
+        blobs: tuple[list[bytes], list[bytes]] = [], []
+        for batch in batches:
+            for salted, packed in zip(batch.column("salted").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                blobs[salted].append(packed)
+        whole = distinct(blobs[True])
+        rows = distinct(blobs[False])
+        del blobs
+        yield from batches_of(whole)
+        if not len(rows):
+            return
         edge = np.flatnonzero(np.concatenate(([True], rows["token"][1:] != rows["token"][:-1], [True])))
         length = np.diff(edge)
         keep = np.zeros(len(rows), dtype=bool)
@@ -198,7 +215,9 @@ def _lists(percent: int):
             ok = _may_pair(own, at, own.T, at.T, percent)
             np.fill_diagonal(ok, False)
             keep[a : a + k] = ok.any(axis=0)
-        rows = rows[keep]
+        yield from batches_of(rows[keep])
+
+    def batches_of(rows):
         for at in range(0, len(rows), 1 << 16):
             part = rows[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays(
@@ -354,8 +373,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketch = spark.sparkContext.broadcast(_sketch(profiles))
 
     buckets = 2 * shuffle_partitions(spark)
-    dealt = rows.select("body").mapInArrow(_prefixes(sketch, percent, width, buckets), "bucket long, packed binary")
-    lists = materialize(dealt.repartition(buckets, "bucket").select("packed").mapInArrow(_lists(percent), "token long, sig long, n long, pos long"), TEXT_ROWS)
+    dealt = rows.select("body").mapInArrow(_prefixes(sketch, percent, width, buckets), "bucket long, salted boolean, packed binary")
+    lists = materialize(dealt.repartition(buckets, "bucket").select("salted", "packed").mapInArrow(_lists(percent), "token long, sig long, n long, pos long"), TEXT_ROWS)
     sketch.destroy()
 
     # each set that a list names, and the first of the rows that have it

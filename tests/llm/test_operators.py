@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from pellucid.llm import ann, imatch, secrets, toxicity
+from pellucid.llm import ngram_join as ngram
 from pellucid.llm.chunked_bpe import chunked_bpe
 from pellucid.llm.components import connected_components
 from pellucid.llm.mixing import mix_sources
@@ -86,6 +87,17 @@ def test_ngram_join_large_group_of_variants(spark):
     assert sorted(map(tuple, got), key=str) == _groups(rows)
 
 
+def test_ngram_join_salted_lists(spark, monkeypatch):
+    monkeypatch.setattr(ngram, "LIST_LIMIT", 1)
+    rows = []
+    for group in range(8):
+        base = [f"g{group}_{k}" for k in range(60)]
+        rows += [(100 * group + k, " ".join(base)) for k in range(30)]
+        rows += [(100 * group + 50 + k, " ".join(base[: 3 * k] + [f"own{k}"] + base[3 * k + 1 :])) for k in range(group + 1)]
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted(map(tuple, got), key=str) == _groups(rows)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
