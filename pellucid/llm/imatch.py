@@ -1,9 +1,9 @@
 """I-Match document fingerprints with several randomised lexicons.
 
-Terms (runs of word characters, lower-cased) whose document frequency lies in a band make up the
+Terms (runs of word characters, lower-cased) whose frequency among distinct texts lies in a band make up the
 lexicon: rarer terms are chance, commoner ones say nothing. At the band's lower edge of a fraction f of
-the documents, no more than (terms of an average document) / f terms can lie in it, however many
-documents there are, so the lexicon is of bounded size and is broadcast. A text's fingerprint has one
+the distinct texts, no more than (terms of an average one) / f terms can lie in it, however many
+there are, so the lexicon is of bounded size and is broadcast. A text's fingerprint has one
 hash for each randomised subset of the lexicon: that of the text's distinct terms in it, sorted. The
 subsets keep from one term in 8 to one in 256, so that texts of any length have subsets that survive an
 edit of a part of it.
@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pellucid.llm.common import shuffle_partitions, utf8
+from pellucid.llm import bloom
+from pellucid.llm.common import materialize, shuffle_partitions, utf8
 
 LOW, HIGH = 0.01, 0.3
 #: Subsets that keep one term in 2 ** s, for each s.
@@ -56,11 +57,62 @@ def _term_counts(batches):
     yield rows()
 
 
+def _single(bits):
+    """Texts that the filter of repeated ones does not hold."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.select(["text"]).filter(pa.array(~bloom.may_hold(bits.value, batch.column("key").to_numpy())))
+
+    return run
+
+
+def _repeated(bits):
+    """Texts that the filter of repeated ones may hold, packed, each once a task."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            keys, packed = [], []
+            for at in np.flatnonzero(bloom.may_hold(bits.value, batch.column("key").to_numpy())).tolist():
+                key = batch.column("key")[at].as_py()
+                if key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    packed.append(zlib.compress((batch.column("text")[at].as_py() or "").encode(), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["key", "packed"])
+
+    return run
+
+
+def _unpack_once(batches):
+    """Rows come sorted by key: the first of each."""
+    last = None
+    for batch in batches:
+        out = []
+        for key, packed in zip(batch.column("key").to_pylist(), batch.column("packed"), strict=True):
+            if key != last:
+                out.append(zlib.decompress(packed.as_buffer()).decode())
+            last = key
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["text"])
+
+
 def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH) -> list[str]:
-    """The terms of column ``text`` in the band, in order; at least one document and two are its edges."""
-    n = texts.count()
-    counts = texts.mapInArrow(_term_counts, "term string, k long").groupBy("term").agg(F.sum("k").alias("k"))
+    """The terms of column ``text`` in the band, in order; at least one document and two are its edges.
+
+    Frequencies are over distinct texts, told apart by a 64-bit hash, so that copies of a text cannot
+    push its terms out of the band. Only texts that a Bloom filter of repeated hashes holds are exchanged.
+    """
+    spark = texts.sparkSession
+    keyed = texts.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    kinds = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")))
+    n = kinds.count()
+    bits = spark.sparkContext.broadcast(bloom.build(kinds.where("k > 1").select("key")))
+    once = keyed.mapInArrow(_repeated(bits), "key long, packed binary").repartition(shuffle_partitions(spark), "key")
+    once = once.sortWithinPartitions("key").mapInArrow(_unpack_once, "text string")
+    counts = keyed.mapInArrow(_single(bits), "text string").union(once).mapInArrow(_term_counts, "term string, k long").groupBy("term").agg(F.sum("k").alias("k"))
     found = counts.where(F.col("k").between(low * n, max(high * n, 2))).select("term").limit(LEXICON_LIMIT + 1).collect()
+    bits.destroy()
     if len(found) > LEXICON_LIMIT:
         raise ValueError("the band holds too many terms to broadcast: raise its lower edge")
     return sorted(row["term"] for row in found)

@@ -305,6 +305,18 @@ def test_fingerprints(table, request):
         assert same.setdefault(text, got[i]["fingerprint"]) == got[i]["fingerprint"] or i in (5,)
 
 
+def test_fingerprints_of_a_large_group_of_copies(spark):
+    base = [f"base{k}" for k in range(80)]
+    rows = [(k, " ".join(base)) for k in range(40)] + [(40 + k, " ".join(base[: 9 * k] + ["changed"] + base[9 * k + 1 :])) for k in range(4)]
+    rows += [(100 + k, " ".join(f"w{k * 7 % 40 + j}" for j in range(30))) for k in range(60)] + [(200, None), (201, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    distinct = [imatch.terms(t) for t in {t or "" for _, t in rows}]
+    count = {t: sum(t in d for d in distinct) for t in set().union(*distinct)}
+    assert imatch.lexicon(df.select("text")) == sorted(t for t, k in count.items() if 0.01 * len(distinct) <= k <= 0.3 * len(distinct))
+    marks = {r["doc_id"]: r["fingerprint"].split(".") for r in imatch.fingerprints(df).collect()}
+    assert all(imatch.likeness(marks[0], marks[40 + k]) > 0.5 for k in range(4)) and imatch.likeness(marks[0], marks[100]) < 0.5
+
+
 @pytest.mark.parametrize("table", ["edges", "docs", "none"])
 def test_sharding(table, request):
     df = request.getfixturevalue(table)
