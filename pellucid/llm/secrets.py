@@ -5,7 +5,8 @@ Weak candidates - bare random-looking strings, endpoint hosts or URLs, account n
 alone: they are reported only where complementary parts of a credential co-occur within one scope. Parts
 of a text become rows, and identifiers, secrets and endpoints are joined where they lie within ``SCOPE``
 code points of each other, by an equality on text and stretch and a test of the distance. The stretch is
-as long as the scope, so every part meets those of its own and the two neighbouring stretches only.
+as long as the scope, so a candidate meets the parts that lie in its own stretches, wholly or not, and in
+the two neighbouring ones only.
 """
 
 from __future__ import annotations
@@ -29,15 +30,15 @@ KINDS = (*STRONG, *WEAK)
 #: A weak kind is reported beside a part of one of these kinds.
 COMPLEMENTS = {
     "bare": ("access", "endpoint", "account"),
-    "endpoint": ("access", "assign", "hex"),
-    "account": ("assign", "hex"),
+    "endpoint": ("access", "assign", "hex", "bare"),
+    "account": ("assign", "hex", "bare"),
 }
 MIN_ASSIGNED, MIN_ENTROPY = 8, 3.5
 
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+_BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"\b(?:https?|postgres|mysql|mongodb|redis|amqp|ftp)://[^\s\"'<>]+|(?<![\w@.-])(?:[a-z0-9-]{1,63}\.){2,6}(?:com|net|org|io|internal)(?::\d{2,5})?\b", re.ASCII)
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9_])(?i:user(?:name)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})", re.ASCII)
 
@@ -114,7 +115,7 @@ def _linked(scanned: DataFrame) -> DataFrame:
     weak = scanned.where("size(weak) > 0").select("row", F.explode("weak").alias("w"))
     weak = weak.withColumn("stretch", F.explode(F.expr(f"sequence(w.start div {SCOPE} - 1, w.end div {SCOPE} + 1)")))
     parts = scanned.where("size(weak) > 0").select("row", F.explode(F.concat("strong", "weak")).alias("p"))
-    parts = parts.withColumn("stretch", F.expr(f"p.start div {SCOPE}"))
+    parts = parts.withColumn("stretch", F.explode(F.expr(f"sequence(p.start div {SCOPE}, p.end div {SCOPE})")))
     pairs = F.create_map(*[x for kind, others in COMPLEMENTS.items() for x in (F.lit(kind), F.array(*map(F.lit, others)))])
     apart = F.greatest(F.col("p.start") - F.col("w.end"), F.col("w.start") - F.col("p.end"))
     # a candidate that covers the part, or lies in it, is no second part
