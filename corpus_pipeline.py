@@ -7,7 +7,7 @@ is written as Parquet and read again as the next one's ``docs``. All but the las
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pellucid.llm.chunked_bpe import chunked_bpe
@@ -24,14 +24,29 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``, a hash of id, source and text, nulls told from all values; repeated rows share it."""
+    named = [x for c in ("doc_id", "source") for x in (F.col(c), F.col(c).isNull())]
+    return docs.withColumn("_key", F.xxhash64(*named, F.xxhash64(F.coalesce("text", F.lit("")))))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays.
+    """Of each group of near duplicates one row stays: of the smallest id, rows without an id coming last.
 
-    Documents without words are in no group and stay, and so do rows without an id.
+    Rows count by id, source and text, so that other texts under a repeated id stay. Documents without
+    words are in no group and stay.
     """
-    groups = ngram_join(docs)
-    go = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(go, "doc_id", "left_anti").select(docs.columns)
+    keyed = _keyed(docs)
+    groups = ngram_join(keyed.select("_key", "text"), "_key").where("n_shingles > 0")
+    groups = groups.groupBy("_key").agg(F.min("component_id").alias("group"), F.count(F.lit(1)).alias("repeats"))
+    ids = keyed.groupBy("_key").agg(F.min("doc_id").alias("doc_id"))
+    groups = materialize(groups.join(ids, "_key"))
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first"))
+    state = groups.join(first, "group").select("_key", (F.col("_key") == F.col("first._key")).alias("_first"), "repeats")
+    state = materialize(state.where("NOT _first OR repeats > 1").select("_key", "_first"))
+    rows = keyed.join(state, "_key", "left")
+    once = rows.where("_first").groupBy("_key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return rows.where("_first IS NULL").select(docs.columns).unionByName(once.select("row.*"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,14 +57,19 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document appears as often as the mix takes its words: 0 to 3 times.
 
-    A fraction of a copy becomes one with that probability, by a hash of the id, so that sources keep
-    their shares. Documents without words have nothing to be taken and go.
+    A fraction of a copy becomes one with that probability, by a hash of the row (id, source, text and a
+    number among repeats), so that sources keep their shares. Rows without an id take part like all others.
+    Documents without words have nothing to be taken and go.
     """
-    mix = mix_sources(docs).where("size > 0").select("doc_id", (F.col("taken") / F.col("size")).alias("_times")).dropDuplicates(["doc_id"])
-    uniform = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = mix.withColumn("_copies", F.floor(F.col("_times") + uniform).cast("int")).where("_copies > 0")
-    copies = copies.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-    return docs.join(copies, "doc_id").select(docs.columns)
+    keyed = _keyed(docs)
+    mix = mix_sources(keyed.select("_key", "text", "source"), "_key").where("size > 0")
+    mix = mix.groupBy("_key").agg((F.sum("taken") / F.sum("size")).alias("_times"), F.count(F.lit(1)).alias("_repeats"))
+    rows = keyed.join(mix, "_key")
+    number = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns)))
+    rows = rows.where("_repeats = 1").withColumn("_number", F.lit(1)).unionByName(rows.where("_repeats > 1").withColumn("_number", number))
+    uniform = F.pmod(F.xxhash64("_key", "_number", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = rows.withColumn("_copies", F.floor(F.col("_times") + uniform).cast("int")).where("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
