@@ -17,6 +17,8 @@ least ``percent`` hundredths:
    known, only across components. Groups of copies thus cost as much as they have members.
 5. Pairs pass a suffix filter (the sets' counts in 128 hash ranges bound their overlap from above) and
    are verified once each on the whole sets.
+6. Where the links of each set are asked for, components are cut into blocks of bounded size by a hash,
+   and every pair of blocks counts the links among its sets from their whole sets: no pair is left out.
 """
 
 from __future__ import annotations
@@ -48,6 +50,9 @@ TEXT_ROWS, PAIR_ROWS = 1_000, 200
 #: Prefix rows that a task holds before it deals them out.
 HELD_ROWS = 1 << 17
 
+#: Sets of a component in a block and bytes of their hashes, about, and columns of a block's matrices.
+BLOCK_SETS, BLOCK_BYTES, COLUMNS = 256, 1 << 24, 4096
+
 _PACKED = np.dtype([("token", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
 
@@ -291,13 +296,59 @@ def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, pe
     """
     near = materialize(_with_both(pairs, classes, "ranges").mapInArrow(_suffix_filter(percent), "a long, b long"), TEXT_ROWS)
     ends = near.select(F.col("a").alias("sig")).union(near.select(F.col("b").alias("sig"))).distinct()
+    sets = _whole_sets(ends, classes, rows, width)
+    return materialize(_with_both(near, sets, "tokens").mapInArrow(_verify(percent), "a long, b long").distinct(), PAIR_ROWS)
+
+
+def _whole_sets(ends: DataFrame, classes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """``(sig, tokens)`` of the classes that ``ends`` names."""
     wanted = materialize(classes.join(ends, "sig", "left_semi").select("sig", "at", "key"))
     bits = rows.sparkSession.sparkContext.broadcast(bloom.build(wanted.select("key")))
     sifted = rows.select("at", "key", "body").mapInArrow(_sift(bits), "at long, key long, body binary")
     bodies = sifted.join(wanted, ["at", "key"]).select("sig", "body")
     sets = materialize(bodies.mapInArrow(_set_rows(width), "sig long, tokens binary"), TEXT_ROWS)
     bits.destroy()
-    return materialize(_with_both(near, sets, "tokens").mapInArrow(_verify(percent), "a long, b long").distinct(), PAIR_ROWS)
+    return sets
+
+
+def _count_links(percent: int):
+    """Links of each set with the sets of the other block, or of its own where a block meets itself."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        sets = [np.frombuffer(v.as_buffer(), dtype="<u8") for v in table.column("tokens")]
+        block, sizes = table.column("block").to_numpy(), np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # a hash of one set alone is common to none
+        shared = uses > 1
+        owner, column = owner[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        common = np.zeros((len(sets), len(sets)), dtype=np.int64)
+        for at in range(0, int(shared.sum()), COLUMNS):
+            low, high = np.searchsorted(column, [at, at + COLUMNS])
+            has = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+            has[owner[low:high], column[low:high] - at] = 1
+            common += (has @ has.T).astype(np.int64)
+        links = _reaches(percent, sizes[:, None] + sizes[None], common)
+        np.fill_diagonal(links, False)
+        if table.column("p")[0].as_py() != table.column("q")[0].as_py():
+            links &= block[:, None] != block[None]
+        return pa.table([table.column("sig"), pa.array(links.sum(1).astype(np.int64))], names=["sig", "k"])
+
+    return run
+
+
+def _link_counts(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """``(sig, n_links)``: every pair of sets of a component is held against each other, block by block."""
+    named = sets.join(component.withColumnRenamed("node", "sig"), "sig").withColumn("bytes", F.octet_length("tokens"))
+    sizes = named.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
+    placed = named.join(materialize(sizes), "component").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.select("component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "sig", "tokens")
+    counts = placed.groupBy("component", "p", "q").applyInArrow(_count_links(percent), "sig long, k long")
+    return materialize(counts.groupBy("sig").agg(F.sum("k").alias("n_links")), TEXT_ROWS)
 
 
 def _ordered(x: str, y: str) -> list[F.Column]:
@@ -357,11 +408,12 @@ def _cross_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
     return pairs.select(*_ordered("x.sig", "y.sig")).distinct()
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, count_links: bool = False) -> DataFrame:
     """One row per row of ``docs``: its id (``id_col``), ``n_shingles``, ``component_id``.
 
-    ``component_id`` is the smallest id reachable over links, its own included. Links inside a component
-    that other links already hold together are not listed. Null, empty and blank texts have no shingles
+    ``component_id`` is the smallest id reachable over links, its own included. With ``count_links`` a last
+    column ``n_links`` has the number of other distinct sets that the row's set links with, those inside a
+    component that other links already hold together among them. Null, empty and blank texts have no shingles
     and link with nothing. Rows with a null id take part and may connect others, but name no component.
     Repeated rows and ids give one row each. Other columns are ignored; an empty table gives an empty
     result. Sets are told apart by 64-bit hashes of their shingles' 64-bit hashes.
@@ -392,8 +444,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         component = connected_components(links)
 
     named = known.join(component.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    named = materialize(named.select("id", "n", "component"))
+    extra = ["n_links"] if count_links else []
+    if count_links:
+        sets = _whole_sets(component.select(F.col("node").alias("sig")), classes, rows, width)
+        named = named.join(_link_counts(sets, component, percent), "sig", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    named = materialize(named.select("id", "n", "component", *extra))
     least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))
     return named.join(least, "component", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), *extra
     )

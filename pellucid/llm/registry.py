@@ -26,7 +26,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), count_links=True)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,6 +98,19 @@ def test_ngram_join_salted_lists(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == _groups(rows)
 
 
+def test_ngram_join_counts_all_links(spark, monkeypatch):
+    monkeypatch.setattr(ngram, "BLOCK_SETS", 7)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(k, " ".join(base[: 2 * k] + [f"own{k}"] + base[2 * k + 1 :])) for k in range(40)]
+    rows += [(100 + k, " ".join(base[k:])) for k in range(12)] + [(200, rows[0][1]), (201, "alone among them all here"), (202, ""), (None, rows[3][1])]
+    sets = {frozenset(_shingles(t)) for _, t in rows}
+    links = {s: sum(100 * len(s & o) >= 75 * len(s | o) for o in sets if o != s) for s in sets if s}
+    got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), count_links=True).collect()
+    expected = sorted(((i, links.get(frozenset(_shingles(t)), 0)) for i, t in rows), key=str)
+    assert sorted(((r["doc_id"], r["n_links"]) for r in got), key=str) == expected
+    assert len({n for _, n in expected}) > 3
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
