@@ -1,5 +1,11 @@
 """Every SQL-expressible query against the other engine on the small tables, and cases of its parts."""
 
+import os
+import pathlib
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -88,3 +94,16 @@ def test_stream_equals_batch(spark):
 @pytest.mark.parametrize("name", list(jobs.QUERIES))
 def test_jobs_run(spark, name):
     assert jobs.QUERIES[name](spark, SMALL).count() >= 0
+
+
+def test_entry_without_training_data_operators(tmp_path):
+    root = pathlib.Path(__file__).parents[1]
+    shutil.copytree(root / "pellucid", tmp_path / "pellucid", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    show = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    for extra in ((), ("corpus_pipeline.py",)):
+        for name in extra:  # the pipeline alone, without its operators, goes too
+            if (root / name).exists():
+                shutil.copy(root / name, tmp_path)
+        run = subprocess.run([sys.executable, "-c", show], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+        assert run.stdout.split() == [str(len(queries.QUERIES) + len(jobs.QUERIES)), str(len(queries.oracle_sql()))]
