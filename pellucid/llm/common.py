@@ -12,33 +12,36 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's URI below the one that ``spark.checkpoint.dir`` names for driver and executors.
 
-    Only where no such folder is set, as in tests on one machine, a temporary one is made.
+    Only where no such folder is set on a single machine, as in tests, a temporary one is made.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="pellucid-"))
     root = context.getCheckpointDir().rstrip("/")
     return f"{root}/pellucid-{uuid.uuid4().hex}"
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: What an Arrow batch of a step that is written holds at most, so that workers stay small.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 
 
-def materialize(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again, which cuts its lineage.
 
     Lost executors then cost the unfinished step alone, and later steps read only the columns they use.
-    ``batch_rows`` bounds the Arrow batches of this step alone, for rows that hold much.
     """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}.parquet"
-    before = spark.conf.get(_BATCH)
-    if batch_rows:
-        spark.conf.set(_BATCH, str(batch_rows))
+    before = {name: spark.conf.get(name) for name in _BATCH}
+    for name, value in _BATCH.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_BATCH, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

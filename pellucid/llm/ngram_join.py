@@ -15,10 +15,10 @@ least ``percent`` hundredths:
 4. Members of one shingle's list are paired under the length and positional filters: first each with
    a hub, then with a few more where lists fall apart, and then, the components of the links found so far being
    known, only across components. Groups of copies thus cost as much as they have members.
-5. Pairs pass a suffix filter (the sets' counts in 128 hash ranges bound their overlap from above) and
-   are verified once each on the whole sets.
-6. Where the links of each set are asked for, components are cut into blocks of bounded size by a hash,
-   and every pair of blocks counts the links among its sets from their whole sets: no pair is left out.
+5. Pairs pass a suffix filter (the sets' counts in hash ranges bound their overlap from above) and
+   are verified once each on the whole sets, hub by hub; see ``set_pairs``.
+6. Where the links of each set are asked for, the sets of a component are written as differences to one
+   of them and held against each other block by block: no pair is left out.
 """
 
 from __future__ import annotations
@@ -35,30 +35,34 @@ from pyspark.sql import functions as F
 from pellucid.llm import bloom
 from pellucid.llm.common import materialize, shuffle_partitions, utf8
 from pellucid.llm.components import connected_components
+from pellucid.llm.set_pairs import link_counts, linked, range_counts
 from pellucid.llm.shingles import mix64, shingle_sets
 
-#: The sketch has two rows of this many counters, cut into chunks for the exchange.
-SKETCH_BITS, CHUNK_BITS = 19, 14
+#: The sketch has two rows of 2 ** this many counters, by the size of the texts: at first one for each KB.
+LEAST_SKETCH, MOST_SKETCH, BYTES_PER_COUNTER = 16, 22, 1024
+CHUNK_BITS = 14
+#: Bytes of text whose prefixes make one bucket, at most.
+BUCKET_TEXT = 1 << 27
 #: Shingles above this many texts over the sketch's background are salted.
 LIST_LIMIT = 1 << 20
-RANGES = 128
 #: Members of a list's main component that its others are held against in the second round.
 HUBS = 3
 TEXTS_AT_ONCE = 128
-#: Rows of an Arrow batch: texts, and pairs with both their sets.
-TEXT_ROWS, PAIR_ROWS = 1_000, 200
-#: Prefix rows that a task holds before it deals them out.
-HELD_ROWS = 1 << 17
-
-#: Sets of a component in a block and bytes of their hashes, about, and columns of a block's matrices.
-BLOCK_SETS, BLOCK_BYTES, COLUMNS = 256, 1 << 24, 4096
+#: Hashes that a task holds before it counts them, and prefix rows before it deals them out.
+HELD_HASHES = HELD_ROWS = 1 << 17
 
 _PACKED = np.dtype([("token", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 
 
-def _slots(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
-    return (tokens & mask).astype(np.int64), ((tokens >> np.uint64(SKETCH_BITS)) & mask).astype(np.int64)
+def _slots(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64((1 << bits) - 1)
+    return (tokens & mask).astype(np.int64), ((tokens >> np.uint64(bits)) & mask).astype(np.int64)
+
+
+def _loads(rows: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """What the sketch says of the hashes: never less than their counts."""
+    first, second = _slots(tokens, rows.shape[1].bit_length() - 1)
+    return np.minimum(rows[0][first], rows[1][second])
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -72,37 +76,36 @@ def _signature(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def _ranges(tokens: np.ndarray) -> bytes:
-    """How many of a set's hashes fall into each of RANGES equal ranges."""
-    counts = np.bincount((tokens >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=RANGES)
-    return counts.astype("<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
-
-
-def _counts(ranges: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(r, dtype="<u2" if len(r) == 2 * RANGES else "<u4").astype(np.int64) for r in ranges])
-
-
-def _profiles(width: int):
+def _profiles(width: int, bits: int):
     """Rows of a text (part null: id, key, n, sig) and, at a task's end, chunks of its sketch."""
-    names = ["id", "key", "n", "sig", "ranges", "part", "counts"]
+    names = ["id", "key", "n", "sig", "part", "counts"]
 
     def run(batches):
-        rows = np.zeros((2, 1 << SKETCH_BITS), dtype=np.int64)
+        rows = np.zeros((2, 1 << bits), dtype=np.int64)
         seen: set[int | None] = {None}
+        held: list[np.ndarray] = []
+
+        def count():
+            for row, slot in zip(rows, _slots(np.concatenate(held), bits), strict=True):
+                np.add.at(row, slot, 1)
+            held.clear()
+
         for batch in batches:
             for part, sets in _sets(batch, width):
                 sizes, signatures = [len(s) for s in sets], [_signature(s) if len(s) else None for s in sets]
                 fresh = {g: s for g, s in zip(signatures, sets, strict=True) if g not in seen}
-                if fresh:
-                    seen.update(fresh)
-                    for row, slot in zip(rows, _slots(np.concatenate([*fresh.values()])), strict=True):
-                        row += np.bincount(slot, minlength=len(row))
+                seen.update(fresh)
+                held += fresh.values()
+                if sum(map(len, held)) > HELD_HASHES:
+                    count()
                 none = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(sizes, pa.int64()), pa.array(signatures, pa.int64()), pa.array([_ranges(s) for s in sets], pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(sizes, pa.int64()), pa.array(signatures, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
+        if held:
+            count()
         chunks = rows.reshape(-1, 1 << CHUNK_BITS)
         if full := [k for k in range(len(chunks)) if chunks[k].any()]:
             none = [pa.nulls(len(full), pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([*none, pa.nulls(len(full), pa.binary()), pa.array(full, pa.int32()), pa.array([zlib.compress(chunks[k].astype("<i8").tobytes(), 1) for k in full], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*none, pa.array(full, pa.int32()), pa.array([zlib.compress(chunks[k].astype("<i8").tobytes(), 1) for k in full], pa.binary())], names=names)
 
     return run
 
@@ -116,15 +119,15 @@ def _add_chunks(batches):
     yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=["part", "counts"])
 
 
-def _sketch(profiles: DataFrame) -> np.ndarray:
-    """The summed sketch, whose size is fixed: two rows of 2 ** SKETCH_BITS counters."""
+def _sketch(profiles: DataFrame, bits: int) -> np.ndarray:
+    """The summed sketch: two rows of 2 ** bits counters, of which MOST_SKETCH bounds the number."""
     chunks = profiles.where("part IS NOT NULL").select("part", "counts")
     one = chunks.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16))).repartition("part", "salt").select("part", "counts")
     two = one.mapInArrow(_add_chunks, "part int, counts binary").repartition("part").mapInArrow(_add_chunks, "part int, counts binary")
-    sketch = np.zeros((2 << SKETCH_BITS >> CHUNK_BITS, 1 << CHUNK_BITS), dtype=np.int64)
+    sketch = np.zeros((2 << bits >> CHUNK_BITS, 1 << CHUNK_BITS), dtype=np.int64)
     for row in two.collect():
         sketch[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype="<i8")
-    return sketch.reshape(2, -1)
+    return sketch.reshape(2, -1).astype(np.int32 if sketch.max() < 1 << 31 else np.int64)
 
 
 def _prefixes(sketch, percent: int, width: int, buckets: int):
@@ -139,8 +142,7 @@ def _prefixes(sketch, percent: int, width: int, buckets: int):
 
         def deal():
             packed = np.concatenate(held)
-            first, second = _slots(packed["token"])
-            load = np.minimum(rows[0][first], rows[1][second]) - background
+            load = _loads(rows, packed["token"]) - background
             salts = np.maximum(1, np.ceil(load / LIST_LIMIT)).astype(np.uint64)
             bucket = (mix64(packed["token"] + packed["sig"].astype(np.uint64) % salts) % np.uint64(buckets)).astype(np.int64)
             salted = salts > 1
@@ -149,7 +151,7 @@ def _prefixes(sketch, percent: int, width: int, buckets: int):
             cut = np.flatnonzero((np.diff(bucket) != 0) | (salted[1:] != salted[:-1])) + 1
             blobs = [x.tobytes() for x in np.split(packed, cut)]
             first = np.concatenate(([0], cut))
-            return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int64()), pa.array(salted[first]), pa.array(blobs, pa.binary())], names=["bucket", "salted", "packed"])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array(salted[first]), pa.array(blobs, pa.binary())], names=["bucket", "salted", "packed"])
 
         for batch in batches:
             for _, sets in _sets(batch, width):
@@ -159,8 +161,7 @@ def _prefixes(sketch, percent: int, width: int, buckets: int):
                         continue
                     seen.add(signature)
                     n = len(tokens)
-                    first, second = _slots(tokens)
-                    order = np.lexsort((tokens, np.minimum(rows[0][first], rows[1][second])))[: n - -(-percent * n // 100) + 1]
+                    order = np.lexsort((tokens, _loads(rows, tokens)))[: n - -(-percent * n // 100) + 1]
                     out = np.empty(len(order), dtype=_PACKED)
                     out["token"], out["sig"], out["n"], out["pos"] = tokens[order], signature, n, np.arange(len(order))
                     held.append(out)
@@ -234,10 +235,12 @@ def _lists(percent: int):
 
 
 def _set_rows(width: int):
+    names = ["sig", "ranges", "tokens"]
+
     def run(batches):
         for batch in batches:
             for part, sets in _sets(batch, width):
-                yield pa.RecordBatch.from_arrays([part.column("sig"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("sig"), pa.array([range_counts(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=names)
 
     return run
 
@@ -252,107 +255,24 @@ def _sift(bits):
     return run
 
 
-def _reaches(percent: int, sizes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    return 100 * common >= percent * (sizes - common)
-
-
-def _suffix_filter(percent: int):
-    """Keeps pairs whose counts by hash range allow the overlap; each range adds its lesser count at most."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (_counts(batch.column(c).to_pylist()) for c in ("ranges_a", "ranges_b"))
-            keep = _reaches(percent, x.sum(1) + y.sum(1), np.minimum(x, y).sum(1))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return run
-
+def _whole_sets(classes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """``(sig, ranges, tokens)`` of the classes, from the one row of each that they name.
 
-def _verify(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (x, y))
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    side = table.select("sig", column)
-    return pairs.join(side.toDF("a", f"{column}_a"), "a").join(side.toDF("b", f"{column}_b"), "b")
-
-
-def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of signatures whose sets reach the similarity.
-
-    Only the texts of pairs that pass the suffix filter are read again: a Bloom filter of fixed size keeps
-    most others out of the exchange, and the join on the row's id and text hash all of them.
+    Only those rows' texts are exchanged: a Bloom filter keeps most others out and the join on the row's
+    id and text hash all of them.
     """
-    near = materialize(_with_both(pairs, classes, "ranges").mapInArrow(_suffix_filter(percent), "a long, b long"), TEXT_ROWS)
-    ends = near.select(F.col("a").alias("sig")).union(near.select(F.col("b").alias("sig"))).distinct()
-    sets = _whole_sets(ends, classes, rows, width)
-    return materialize(_with_both(near, sets, "tokens").mapInArrow(_verify(percent), "a long, b long").distinct(), PAIR_ROWS)
-
-
-def _whole_sets(ends: DataFrame, classes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """``(sig, tokens)`` of the classes that ``ends`` names."""
-    wanted = materialize(classes.join(ends, "sig", "left_semi").select("sig", "at", "key"))
-    bits = rows.sparkSession.sparkContext.broadcast(bloom.build(wanted.select("key")))
+    bits = rows.sparkSession.sparkContext.broadcast(bloom.build(classes.select("key")))
     sifted = rows.select("at", "key", "body").mapInArrow(_sift(bits), "at long, key long, body binary")
-    bodies = sifted.join(wanted, ["at", "key"]).select("sig", "body")
-    sets = materialize(bodies.mapInArrow(_set_rows(width), "sig long, tokens binary"), TEXT_ROWS)
+    bodies = sifted.join(classes, ["at", "key"]).dropDuplicates(["at", "key"]).select("sig", "body")
+    sets = materialize(bodies.mapInArrow(_set_rows(width), "sig long, ranges binary, tokens binary"))
     bits.destroy()
     return sets
 
 
-def _count_links(percent: int):
-    """Links of each set with the sets of the other block, or of its own where a block meets itself."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        sets = [np.frombuffer(v.as_buffer(), dtype="<u8") for v in table.column("tokens")]
-        block, sizes = table.column("block").to_numpy(), np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        _, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        # a hash of one set alone is common to none
-        shared = uses > 1
-        owner, column = owner[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        common = np.zeros((len(sets), len(sets)), dtype=np.int64)
-        for at in range(0, int(shared.sum()), COLUMNS):
-            low, high = np.searchsorted(column, [at, at + COLUMNS])
-            has = np.zeros((len(sets), COLUMNS), dtype=np.float32)
-            has[owner[low:high], column[low:high] - at] = 1
-            common += (has @ has.T).astype(np.int64)
-        links = _reaches(percent, sizes[:, None] + sizes[None], common)
-        np.fill_diagonal(links, False)
-        if table.column("p")[0].as_py() != table.column("q")[0].as_py():
-            links &= block[:, None] != block[None]
-        return pa.table([table.column("sig"), pa.array(links.sum(1).astype(np.int64))], names=["sig", "k"])
-
-    return run
-
-
-def _link_counts(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """``(sig, n_links)``: every pair of sets of a component is held against each other, block by block."""
-    named = sets.join(component.withColumnRenamed("node", "sig"), "sig").withColumn("bytes", F.octet_length("tokens"))
-    sizes = named.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
-    placed = named.join(materialize(sizes), "component").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "sig", "tokens")
-    counts = placed.groupBy("component", "p", "q").applyInArrow(_count_links(percent), "sig long, k long")
-    return materialize(counts.groupBy("sig").agg(F.sum("k").alias("n_links")), TEXT_ROWS)
-
-
-def _ordered(x: str, y: str) -> list[F.Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each unordered pair once; where it came both ways, under the lesser of its hubs."""
+    both = pairs.groupBy(F.least("hub", "sig").alias("a"), F.greatest("hub", "sig").alias("b")).agg(F.min("hub").alias("hub"))
+    return both.select("a", "b", "hub", (F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))).alias("sig"))
 
 
 def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -367,7 +287,7 @@ def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
     near = near.where(_may_pair(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent))
     shared = near.groupBy("sig", F.col("hub.sig").alias("hub")).agg(F.count(F.lit(1)).alias("k"))
     best = shared.groupBy("sig").agg(F.max(F.struct("k", "hub")).alias("best"))
-    return best.select(*_ordered("sig", "best.hub")).distinct()
+    return best.select(F.col("best.hub").alias("hub"), "sig")
 
 
 def _hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -379,7 +299,7 @@ def _hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
     hubs = inside.groupBy("token").agg(F.array_distinct(F.array(*seats)).alias("hubs")).select("token", F.explode("hubs").alias("hub"))
     near = lists.where("component <> main").join(hubs, "token")
     near = near.where(_may_pair(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent))
-    return near.select(*_ordered("sig", "hub.sig")).distinct()
+    return near.select(F.col("hub.sig").alias("hub"), "sig")
 
 
 def _open_lists(lists: DataFrame, component: DataFrame) -> DataFrame:
@@ -405,7 +325,19 @@ def _cross_pairs(open_lists: DataFrame, percent: int) -> DataFrame:
         & ((F.col("y.component") == F.col("y.main")) | (F.col("x.sig") < F.col("y.sig")))
         & _may_pair(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent),
     )
-    return pairs.select(*_ordered("x.sig", "y.sig")).distinct()
+    return pairs.select(F.col("x.sig").alias("hub"), F.col("y.sig").alias("sig"))
+
+
+def _extended(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``(node, component)`` after more links: only the components that they touch are put together anew."""
+    if component is None:
+        return materialize(connected_components(links, "hub", "sig"))
+    ends = links.select(F.col("hub").alias("node")).unionAll(links.select(F.col("sig").alias("node"))).distinct()
+    nodes = ends.join(component, "node", "full").select("node", F.coalesce("component", "node").alias("component"))
+    nodes = materialize(nodes)
+    x, y = nodes.toDF("hub", "x"), nodes.toDF("sig", "y")
+    merged = connected_components(links.join(x, "hub").join(y, "sig").where("x <> y"), "x", "y").toDF("component", "whole")
+    return materialize(nodes.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component")))
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, count_links: bool = False) -> DataFrame:
@@ -420,34 +352,36 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("body")).withColumn("key", F.xxhash64("body"))
-    profiles = materialize(rows.select("id", "key", "body").mapInArrow(_profiles(width), "id long, key long, n long, sig long, ranges binary, part int, counts binary"), TEXT_ROWS)
-    known = profiles.where("part IS NULL").select("id", "key", "n", "sig", "ranges")
-    sketch = spark.sparkContext.broadcast(_sketch(profiles))
-
-    buckets = 2 * shuffle_partitions(spark)
-    dealt = rows.select("body").mapInArrow(_prefixes(sketch, percent, width, buckets), "bucket long, salted boolean, packed binary")
-    lists = materialize(dealt.repartition(buckets, "bucket").select("salted", "packed").mapInArrow(_lists(percent), "token long, sig long, n long, pos long"), TEXT_ROWS)
+    size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    bits = min(MOST_SKETCH, max(LEAST_SKETCH, (size // BYTES_PER_COUNTER).bit_length()))
+    profiles = materialize(rows.select("id", "key", "body").mapInArrow(_profiles(width, bits), "id long, key long, n long, sig long, part int, counts binary"))
+    known = profiles.where("part IS NULL").select("id", "key", "n", "sig")
+    sketch = spark.sparkContext.broadcast(_sketch(profiles, bits))
+
+    buckets = max(2 * shuffle_partitions(spark), -(-size // BUCKET_TEXT))
+    dealt = rows.select("body").mapInArrow(_prefixes(sketch, percent, width, buckets), "bucket int, salted boolean, packed binary")
+    lists = materialize(dealt.repartitionById(buckets, "bucket").select("salted", "packed").mapInArrow(_lists(percent), "token long, sig long, n long, pos long"))
     sketch.destroy()
 
     # each set that a list names, and the first of the rows that have it
     listed = known.join(lists.select("sig").distinct(), "sig", "left_semi")
-    first = listed.groupBy("sig").agg(F.min(F.struct("id", "key", "ranges")).alias("row"))
-    classes = materialize(first.select("sig", F.coalesce("row.id", "row.key").alias("at"), F.col("row.key").alias("key"), F.col("row.ranges").alias("ranges")))
-    rows = rows.withColumn("at", F.coalesce("id", "key"))
+    first = listed.groupBy("sig").agg(F.min(F.struct("id", "key")).alias("row"))
+    classes = materialize(first.select("sig", F.coalesce("row.id", "row.key").alias("at"), F.col("row.key").alias("key")))
+    sets = _whole_sets(classes, rows.withColumn("at", F.coalesce("id", "key")), width)
 
-    tried = materialize(_first_pairs(lists, percent))
-    links = _links(tried, classes, rows, width, percent)
-    component = connected_components(links)
+    tried = materialize(_once(_first_pairs(lists, percent)))
+    links = linked(tried, sets, percent)
+    component = _extended(None, links)
     for candidates in (_hub_pairs, _cross_pairs):
-        pairs = materialize(candidates(_open_lists(lists, component), percent).join(tried, ["a", "b"], "left_anti"))
-        links, tried = links.union(_links(pairs, classes, rows, width, percent)), tried.union(pairs)
-        component = connected_components(links)
+        pairs = materialize(_once(candidates(_open_lists(lists, component), percent)).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        found = linked(pairs, sets, percent)
+        component = _extended(component, found)
+        links, tried = links.unionAll(found), tried.unionAll(pairs)
 
     named = known.join(component.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     extra = ["n_links"] if count_links else []
     if count_links:
-        sets = _whole_sets(component.select(F.col("node").alias("sig")), classes, rows, width)
-        named = named.join(_link_counts(sets, component, percent), "sig", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        named = named.join(link_counts(sets, component, links, percent), "sig", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
     named = materialize(named.select("id", "n", "component", *extra))
     least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))
     return named.join(least, "component", "left").select(
