@@ -88,10 +88,10 @@ def _chunk_counts(batches):
 
 
 def _repeated_filter(rows: DataFrame) -> np.ndarray:
-    """The Bloom filter, of fixed size, of the hashes of chunks that occur more than once."""
+    """The Bloom filter of the hashes of chunks that occur more than once."""
     counts = rows.select("body").mapInArrow(_chunk_counts, "hash long, k long")
     repeated = counts.groupBy("hash").agg(F.sum("k").alias("k")).where("k > 1").select("hash")
-    return bloom.build(repeated)
+    return bloom.build(materialize(repeated))
 
 
 class _Codec:

@@ -9,7 +9,7 @@ least ``percent`` hundredths:
    ordered by sketched frequency, rarest first, then by hash: one total order for all texts, which is
    all that prefix filtering needs to be exact.
 3. A set's first ``n - ceil(t n) + 1`` shingles in this order are its prefix. Prefix shingles are dealt
-   by hash into packed blobs, so that one exchange carries 24 bytes for each. A shingle that the sketch
+   by hash into packed blobs, so that one exchange carries some 15 bytes for each. A shingle that the sketch
    knows to be very frequent is salted, so that no task holds all of its texts; as no task then sees all
    of its pairs either, its whole list is kept.
 4. Members of one shingle's list are paired under the length and positional filters: first each with
@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from pellucid.llm import bloom
 from pellucid.llm.common import materialize, shuffle_partitions, utf8
 from pellucid.llm.components import connected_components
-from pellucid.llm.set_pairs import link_counts, linked, range_counts
+from pellucid.llm.set_pairs import TEXTS_AT_ONCE, link_counts, linked, pack, range_counts
 from pellucid.llm.shingles import mix64, shingle_sets
 
-#: The sketch has two rows of 2 ** this many counters, by the size of the texts: at first one for each KB.
-LEAST_SKETCH, MOST_SKETCH, BYTES_PER_COUNTER = 16, 22, 1024
+#: The sketch has two rows of 2 ** this many counters, one for so many bytes of the texts until they are the most.
+LEAST_SKETCH, MOST_SKETCH, BYTES_PER_COUNTER = 16, 21, 2048
 CHUNK_BITS = 14
 #: Bytes of text whose prefixes make one bucket, at most.
 BUCKET_TEXT = 1 << 27
@@ -47,11 +47,12 @@ BUCKET_TEXT = 1 << 27
 LIST_LIMIT = 1 << 20
 #: Members of a list's main component that its others are held against in the second round.
 HUBS = 3
-TEXTS_AT_ONCE = 128
 #: Hashes that a task holds before it counts them, and prefix rows before it deals them out.
 HELD_HASHES = HELD_ROWS = 1 << 17
 
-_PACKED = np.dtype([("token", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+_PREFIX = np.dtype([("token", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+#: Within a bucket so many bytes of a prefix hash tell its lists apart; the few that they don't only give more candidates.
+TOKEN_BYTES = 5
 
 
 def _slots(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +77,15 @@ def _signature(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
+def _pack_counts(chunk: np.ndarray) -> bytes:
+    return zlib.compress(chunk.astype(np.min_scalar_type(int(chunk.max()))).tobytes(), 1)
+
+
+def _unpack_counts(packed: bytes) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, dtype=f"<u{len(raw) >> CHUNK_BITS}").astype(np.int64)
+
+
 def _profiles(width: int, bits: int):
     """Rows of a text (part null: id, key, n, sig) and, at a task's end, chunks of its sketch."""
     names = ["id", "key", "n", "sig", "part", "counts"]
@@ -105,7 +115,7 @@ def _profiles(width: int, bits: int):
         chunks = rows.reshape(-1, 1 << CHUNK_BITS)
         if full := [k for k in range(len(chunks)) if chunks[k].any()]:
             none = [pa.nulls(len(full), pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([*none, pa.array(full, pa.int32()), pa.array([zlib.compress(chunks[k].astype("<i8").tobytes(), 1) for k in full], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*none, pa.array(full, pa.int32()), pa.array([_pack_counts(chunks[k]) for k in full], pa.binary())], names=names)
 
     return run
 
@@ -114,9 +124,9 @@ def _add_chunks(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            row = np.frombuffer(zlib.decompress(counts), dtype="<i8")
+            row = _unpack_counts(counts)
             total[part] = total[part] + row if part in total else row
-    yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=["part", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(map(_pack_counts, total.values()), pa.binary())], names=["part", "counts"])
 
 
 def _sketch(profiles: DataFrame, bits: int) -> np.ndarray:
@@ -126,10 +136,34 @@ def _sketch(profiles: DataFrame, bits: int) -> np.ndarray:
     two = one.mapInArrow(_add_chunks, "part int, counts binary").repartition("part").mapInArrow(_add_chunks, "part int, counts binary")
     sketch = np.zeros((2 << bits >> CHUNK_BITS, 1 << CHUNK_BITS), dtype=np.int64)
     for row in two.collect():
-        sketch[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype="<i8")
+        sketch[row["part"]] = _unpack_counts(row["counts"])
     return sketch.reshape(2, -1).astype(np.int32 if sketch.max() < 1 << 31 else np.int64)
 
 
+def _pack_prefixes(rows: np.ndarray, token_bytes: int) -> bytes:
+    """Rows column by column, led by their number; sizes and places, byte by byte, compress well."""
+
+    def planes(name: str) -> np.ndarray:
+        return np.ascontiguousarray(rows[name]).view(np.uint8).reshape(len(rows), -1).T
+
+    small = planes("n").tobytes() + planes("pos").tobytes()
+    return len(rows).to_bytes(4, "little") + planes("token")[:token_bytes].tobytes() + rows["sig"].tobytes() + pa.compress(small, codec="zstd", asbytes=True)
+
+
+def _unpack_prefixes(packed: bytes, token_bytes: int) -> np.ndarray:
+    count = int.from_bytes(packed[:4], "little")
+    rows = np.zeros(count, dtype=_PREFIX)
+    token = np.zeros((count, 8), dtype=np.uint8)
+    token[:, :token_bytes] = np.frombuffer(packed, np.uint8, token_bytes * count, 4).reshape(token_bytes, count).T
+    rows["token"] = token.view("<u8").ravel()
+    at = 4 + token_bytes * count
+    rows["sig"] = np.frombuffer(packed, "<i8", count, at)
+    small = pa.decompress(packed[at + 8 * count :], decompressed_size=8 * count, codec="zstd", asbytes=True)
+    for k, name in enumerate(("n", "pos")):
+        rows[name] = np.ascontiguousarray(np.frombuffer(small, np.uint8, 4 * count, 4 * count * k).reshape(4, count).T).view("<u4").ravel()
+    return rows
+
+
 def _prefixes(sketch, percent: int, width: int, buckets: int):
     """Packed prefix shingles of each distinct set that the task has met, dealt into buckets."""
 
@@ -149,8 +183,8 @@ def _prefixes(sketch, percent: int, width: int, buckets: int):
             order = np.lexsort((salted, bucket))
             packed, bucket, salted = packed[order], bucket[order], salted[order]
             cut = np.flatnonzero((np.diff(bucket) != 0) | (salted[1:] != salted[:-1])) + 1
-            blobs = [x.tobytes() for x in np.split(packed, cut)]
             first = np.concatenate(([0], cut))
+            blobs = [_pack_prefixes(x, 8 if far else TOKEN_BYTES) for x, far in zip(np.split(packed, cut), salted[first].tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array(salted[first]), pa.array(blobs, pa.binary())], names=["bucket", "salted", "packed"])
 
         for batch in batches:
@@ -162,7 +196,7 @@ def _prefixes(sketch, percent: int, width: int, buckets: int):
                     seen.add(signature)
                     n = len(tokens)
                     order = np.lexsort((tokens, _loads(rows, tokens)))[: n - -(-percent * n // 100) + 1]
-                    out = np.empty(len(order), dtype=_PACKED)
+                    out = np.empty(len(order), dtype=_PREFIX)
                     out["token"], out["sig"], out["n"], out["pos"] = tokens[order], signature, n, np.arange(len(order))
                     held.append(out)
                     size += len(out)
@@ -190,19 +224,22 @@ def _lists(percent: int):
     Salted lists are kept whole: their pairs may have a member in another bucket.
     """
 
-    def distinct(blobs):
-        rows = np.frombuffer(b"".join(blobs), dtype=_PACKED)
+    def distinct(parts):
+        rows = np.concatenate([np.zeros(0, dtype=_PREFIX), *parts])
+        parts.clear()
         rows = rows[np.lexsort((rows["sig"], rows["token"]))]
         return rows[np.concatenate((np.ones(min(len(rows), 1), dtype=bool), (rows["token"][1:] != rows["token"][:-1]) | (rows["sig"][1:] != rows["sig"][:-1])))]
 
     def run(batches):
-        blobs: tuple[list[bytes], list[bytes]] = [], []
+        parts: tuple[list[np.ndarray], list[np.ndarray]] = [], []
         for batch in batches:
-            for salted, packed in zip(batch.column("salted").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                blobs[salted].append(packed)
-        whole = distinct(blobs[True])
-        rows = distinct(blobs[False])
-        del blobs
+            for bucket, salted, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "salted", "packed")), strict=True):
+                rows = _unpack_prefixes(packed, 8 if salted else TOKEN_BYTES)
+                if not salted:
+                    rows["token"] = mix64(rows["token"] | np.uint64(bucket << 8 * TOKEN_BYTES))
+                parts[salted].append(rows)
+        whole = distinct(parts[True])
+        rows = distinct(parts[False])
         yield from batches_of(whole)
         if not len(rows):
             return
@@ -234,39 +271,27 @@ def _lists(percent: int):
     return run
 
 
-def _set_rows(width: int):
-    names = ["sig", "ranges", "tokens"]
+def _packed_rows(width: int):
+    names = ["at", "key", "ranges", "packed"]
 
     def run(batches):
         for batch in batches:
             for part, sets in _sets(batch, width):
-                yield pa.RecordBatch.from_arrays([part.column("sig"), pa.array([range_counts(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=names)
-
-    return run
-
-
-def _sift(bits):
-    """Rows whose key the filter may hold."""
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(bloom.may_hold(bits.value, batch.column("key").to_numpy())))
+                packed = [pack(t) for t in part.column("body").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("at"), part.column("key"), pa.array([range_counts(s) for s in sets], pa.binary()), pa.array(packed, pa.binary())], names=names)
 
     return run
 
 
-def _whole_sets(classes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """``(sig, ranges, tokens)`` of the classes, from the one row of each that they name.
+def _whole_texts(classes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """``(sig, ranges, packed)`` of the classes, from the one row of each that they name.
 
     Only those rows' texts are exchanged: a Bloom filter keeps most others out and the join on the row's
     id and text hash all of them.
     """
-    bits = rows.sparkSession.sparkContext.broadcast(bloom.build(classes.select("key")))
-    sifted = rows.select("at", "key", "body").mapInArrow(_sift(bits), "at long, key long, body binary")
-    bodies = sifted.join(classes, ["at", "key"]).dropDuplicates(["at", "key"]).select("sig", "body")
-    sets = materialize(bodies.mapInArrow(_set_rows(width), "sig long, ranges binary, tokens binary"))
-    bits.destroy()
-    return sets
+    some = bloom.sift(rows.select("at", "key", "body"), "key", classes.select("key"))
+    some = some.mapInArrow(_packed_rows(width), "at long, key long, ranges binary, packed binary")
+    return materialize(some.join(classes, ["at", "key"]).dropDuplicates(["at", "key"]).select("sig", "ranges", "packed"))
 
 
 def _once(pairs: DataFrame) -> DataFrame:
@@ -304,7 +329,7 @@ def _hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 def _open_lists(lists: DataFrame, component: DataFrame) -> DataFrame:
     """The lists that the links so far leave in several components; ``main`` is the most frequent one."""
-    named = lists.join(component.withColumnRenamed("node", "sig"), "sig", "left")
+    named = lists.select("token", "sig", "n", "pos").join(component.withColumnRenamed("node", "sig"), "sig", "left")
     named = named.withColumn("component", F.coalesce("component", "sig"))
     each = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
     main = each.groupBy("token").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("k", "component")).alias("main"))
@@ -360,28 +385,29 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     buckets = max(2 * shuffle_partitions(spark), -(-size // BUCKET_TEXT))
     dealt = rows.select("body").mapInArrow(_prefixes(sketch, percent, width, buckets), "bucket int, salted boolean, packed binary")
-    lists = materialize(dealt.repartitionById(buckets, "bucket").select("salted", "packed").mapInArrow(_lists(percent), "token long, sig long, n long, pos long"))
+    lists = materialize(dealt.repartitionById(buckets, "bucket").mapInArrow(_lists(percent), "token long, sig long, n long, pos long"))
     sketch.destroy()
 
     # each set that a list names, and the first of the rows that have it
     listed = known.join(lists.select("sig").distinct(), "sig", "left_semi")
     first = listed.groupBy("sig").agg(F.min(F.struct("id", "key")).alias("row"))
     classes = materialize(first.select("sig", F.coalesce("row.id", "row.key").alias("at"), F.col("row.key").alias("key")))
-    sets = _whole_sets(classes, rows.withColumn("at", F.coalesce("id", "key")), width)
+    texts = _whole_texts(classes, rows.withColumn("at", F.coalesce("id", "key")), width)
 
     tried = materialize(_once(_first_pairs(lists, percent)))
-    links = linked(tried, sets, percent)
+    links = linked(tried.select("hub", "sig"), texts, width, percent)
     component = _extended(None, links)
     for candidates in (_hub_pairs, _cross_pairs):
-        pairs = materialize(_once(candidates(_open_lists(lists, component), percent)).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-        found = linked(pairs, sets, percent)
+        lists = _open_lists(lists, component)
+        pairs = materialize(_once(candidates(lists, percent)).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        found = linked(pairs.select("hub", "sig"), texts, width, percent)
         component = _extended(component, found)
         links, tried = links.unionAll(found), tried.unionAll(pairs)
 
     named = known.join(component.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     extra = ["n_links"] if count_links else []
     if count_links:
-        named = named.join(link_counts(sets, component, links, percent), "sig", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        named = named.join(link_counts(texts, component, links, width, percent), "sig", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
     named = materialize(named.select("id", "n", "component", *extra))
     least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))
     return named.join(least, "component", "left").select(

@@ -1,9 +1,10 @@
-"""Comparing sets of hashes in pairs: a hub against its members, and the sets of one component.
+"""Comparing texts' sets of shingles in pairs: a hub against its members, and the sets of one component.
 
-Sets come as rows ``(sig, n, ranges, tokens)``: a name, the size, the counts of their hashes in
-``RANGES`` equal ranges, and the sorted 64-bit hashes. Pairs that share a hub are compared as a stream: the
-hub's set comes first, once for each block of its members, and is held while they pass by. So a hub of
-any number of members is neither one task's nor copied into every pair.
+Texts come as rows ``(sig, ranges, packed)``: the set's name, the counts of its hashes in ``RANGES`` equal
+ranges, and the compressed text, which takes a third of the room of the hashes that are made of it where
+it arrives. Pairs that share a hub are compared as a stream: the hub comes first, once for each block of
+its members, and is held while they pass by. So a hub of any number of members is neither one task's nor
+copied into every pair.
 """
 
 from __future__ import annotations
@@ -13,9 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pellucid.llm import bloom
 from pellucid.llm.common import materialize
+from pellucid.llm.shingles import shingle_sets
 
 RANGES = 128
+#: Texts that are made into sets at once.
+TEXTS_AT_ONCE = 128
 #: Members of a hub in a block, about.
 GROUP = 512
 #: Sets of a component in a block and bytes of their differences, about, and columns of a block's matrices.
@@ -34,8 +39,27 @@ def _counts(ranges: bytes) -> np.ndarray:
     return np.frombuffer(ranges, dtype="<u2" if len(ranges) == 2 * RANGES else "<u4").astype(np.int64)
 
 
-def _hashes(tokens: bytes) -> np.ndarray:
-    return np.frombuffer(tokens, dtype="<u8")
+def pack(text: bytes) -> bytes:
+    """A compressed text, led by its length."""
+    return len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _ranges_of(batch: pa.RecordBatch):
+    return map(_counts, batch.column("value").to_pylist())
+
+
+def _sets_of(width: int):
+    """The shingle sets of a batch's packed texts, some texts at a time."""
+
+    def run(batch: pa.RecordBatch):
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield from shingle_sets([_unpack(v) for v in batch.column("value").slice(at, TEXTS_AT_ONCE).to_pylist()], width)
+
+    return run
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -52,40 +76,43 @@ def _reaches(percent: int, sizes, common):
     return 100 * common >= percent * (sizes - common)
 
 
-def _beside_hubs(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """The members ``sig`` of each ``hub`` with their ``column``, in blocks that begin with the hub's own."""
+def _beside_hubs(pairs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
+    """The members ``sig`` of each ``hub`` with their ``column``, in blocks that begin with the hub's own.
+
+    ``pairs`` have to be written rows, as they are read several times.
+    """
     large = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("blocks")).where("blocks > 1")
     placed = pairs.join(large, "hub", "left").select("hub", "sig", F.pmod(F.xxhash64("sig"), F.coalesce("blocks", F.lit(1)).cast("long")).alias("block"))
-    side = sets.select("sig", F.col(column).alias("value"))
-    members = placed.join(side, "sig").select("hub", "block", F.lit(True).alias("member"), "sig", "value")
-    leaders = placed.select("hub", "block").distinct().join(side.withColumnRenamed("sig", "hub"), "hub")
-    leaders = leaders.select("hub", "block", F.lit(False).alias("member"), F.col("hub").alias("sig"), "value")
-    rows = leaders.unionAll(members).repartition("hub", "block").sortWithinPartitions("hub", "block", "member")
+    members = placed.select("sig", "hub", "block", F.lit(True).alias("member"))
+    leaders = placed.select("hub", "block").distinct().select(F.col("hub").alias("sig"), "hub", "block", F.lit(False).alias("member"))
+    places = materialize(leaders.unionAll(members))
+    side = bloom.sift(texts.select("sig", F.col(column).alias("value")), "sig", places.select("sig"))
+    rows = places.join(side, "sig").repartition("hub", "block").sortWithinPartitions("hub", "block", "member")
     return rows.select("hub", "member", "sig", "value")
 
 
-def _keep(view, test):
-    """Members whose viewed value passes the test with their hub's."""
+def _keep(views, test):
+    """Members whose view passes the test with their hub's."""
 
     def run(batches):
         hub = None
         for batch in batches:
             keep = []
-            for member, value in zip(batch.column("member").to_pylist(), batch.column("value"), strict=True):
+            for member, view in zip(batch.column("member").to_pylist(), views(batch), strict=True):
                 if member:
-                    keep.append(test(hub, view(value.as_buffer())))
+                    keep.append(test(hub, view))
                 else:
-                    hub = view(value.as_buffer().to_pybytes())
+                    hub = np.array(view)
                     keep.append(False)
             yield batch.select(["hub", "sig"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs ``(hub, sig)`` whose sets reach the similarity, each verified once.
 
-    Before whole sets travel, the counts by hash range bound a pair's overlap: each range adds its lesser
+    Before whole texts travel, the counts by hash range bound a pair's overlap: each range adds its lesser
     count at most.
     """
 
@@ -95,26 +122,29 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def does(x: np.ndarray, y: np.ndarray) -> bool:
         return bool(_reaches(percent, len(x) + len(y), _common(x, y)))
 
-    near = materialize(_beside_hubs(pairs, sets, "ranges").mapInArrow(_keep(_counts, may), "hub long, sig long"))
-    return materialize(_beside_hubs(near, sets, "tokens").mapInArrow(_keep(_hashes, does), "hub long, sig long"))
+    near = materialize(_beside_hubs(pairs, texts, "ranges").mapInArrow(_keep(_ranges_of, may), "hub long, sig long"))
+    return materialize(_beside_hubs(near, texts, "packed").mapInArrow(_keep(_sets_of(width), does), "hub long, sig long"))
 
 
-def _differences(batches):
+def _differences(width: int):
     """Of each member: its size, its hub's, the places of the hub's hashes that it lacks, and those it adds."""
-    hub = _NO_HASHES
-    for batch in batches:
-        out = []
-        for center, member, sig, value in zip(batch.column("hub").to_pylist(), batch.column("member").to_pylist(), batch.column("sig").to_pylist(), batch.column("value"), strict=True):
-            if not member:
-                hub = _hashes(value.as_buffer().to_pybytes())
-                continue
-            own = _hashes(value.as_buffer())
-            lacks = np.flatnonzero(~np.isin(hub, own, assume_unique=True)).astype("<u4")
-            adds = own[~np.isin(own, hub, assume_unique=True)]
-            out.append((center, sig, len(own), len(hub), lacks.tobytes(), adds.tobytes()))
-        if out:
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["hub", "sig", "n", "hub_n", "lacks", "adds"])
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+    def run(batches):
+        hub = _NO_HASHES
+        for batch in batches:
+            out = []
+            for center, member, sig, own in zip(*(batch.column(c).to_pylist() for c in ("hub", "member", "sig")), _sets_of(width)(batch), strict=True):
+                if not member:
+                    hub = np.array(own)
+                    continue
+                lacks = np.flatnonzero(~np.isin(hub, own, assume_unique=True)).astype("<u4")
+                adds = own[~np.isin(own, hub, assume_unique=True)]
+                out.append((center, sig, len(own), len(hub), lacks.tobytes(), adds.tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["hub", "sig", "n", "hub_n", "lacks", "adds"])
+
+    return run
 
 
 def _shared_entries(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -148,7 +178,7 @@ def _count_links(percent: int):
         table = table.combine_chunks()
         block, sizes = table.column("block").to_numpy(), table.column("n").to_numpy()
         lacks = [np.frombuffer(v.as_buffer(), dtype="<u4") for v in table.column("lacks")]
-        adds = [_hashes(v.as_buffer()) for v in table.column("adds")]
+        adds = [np.frombuffer(v.as_buffer(), dtype="<u8") for v in table.column("adds")]
         p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
         rows, columns = np.flatnonzero(block == p), np.flatnonzero(block == q)
         lost = np.array([len(x) for x in lacks], dtype=np.int64)
@@ -167,7 +197,7 @@ def _count_links(percent: int):
     return run
 
 
-def link_counts(sets: DataFrame, component: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def link_counts(texts: DataFrame, component: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
     """``(sig, n_links)`` of the ``(node, component)``: every pair of a component is held against each other.
 
     Sets are written down as what they lack and add to the member with the most links, so near copies
@@ -177,7 +207,7 @@ def link_counts(sets: DataFrame, component: DataFrame, links: DataFrame, percent
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
     hubs = component.join(degree, "node").groupBy("component").agg(F.max_by("node", F.struct("k", "node")).alias("hub"))
     members = materialize(component.join(hubs, "component").select("hub", F.col("node").alias("sig")))
-    parts = materialize(_beside_hubs(members, sets, "tokens").mapInArrow(_differences, "hub long, sig long, n long, hub_n long, lacks binary, adds binary"))
+    parts = materialize(_beside_hubs(members, texts, "packed").mapInArrow(_differences(width), "hub long, sig long, n long, hub_n long, lacks binary, adds binary"))
     weight = F.sum(F.octet_length("lacks") + F.octet_length("adds"))
     sizes = parts.groupBy("hub").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, weight / BLOCK_BYTES)).alias("blocks"))
     placed = parts.join(materialize(sizes), "hub").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
