@@ -56,7 +56,7 @@ def build(hashes: DataFrame) -> np.ndarray:
     bits = min(MOST_BITS, max(LEAST_BITS, (PER_HASH * hashes.count()).bit_length()))
     whole = np.zeros((1 << bits) // 8, dtype=np.uint8)
     schema = "segment int, part binary"
-    for row in hashes.mapInArrow(_part(bits), schema).repartition("segment").mapInArrow(_merge, schema).toLocalIterator():
+    for row in hashes.mapInArrow(_part(bits), schema).repartition("segment").mapInArrow(_merge, schema).collect():
         whole[row["segment"] * SEGMENT : (row["segment"] + 1) * SEGMENT] |= np.frombuffer(zlib.decompress(row["part"]), dtype=np.uint8)
     return whole
 
