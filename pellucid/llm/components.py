@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pellucid.llm.common import materialize
 
 
-def _summary(edges: DataFrame) -> tuple:
-    """What tells two edge tables apart: the number of rows and the sums of two hashes of them."""
-    hashes = [F.sum(F.xxhash64(*c).cast("decimal(38,0)")) for c in (["u", "v"], ["v", "u"])]
-    return tuple(edges.agg(F.count(F.lit(1)), *hashes).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node of ``(u, v)`` has either one edge to a root or only edges from others."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root"))
+    ends = ends.unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up + root > 1").isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -24,8 +25,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
-    now = _summary(edges)
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -35,11 +34,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("u", "v", "m")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        new = materialize(small.where("u <> v").distinct())
-        edges, before, now = new, now, _summary(new)
-        if before == now:
+        edges = materialize(small.where("u <> v").distinct())
+        if _are_stars(edges):
             break
     else:
         raise RuntimeError("components did not settle")
-    label = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    # each node is a leaf or a root now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select("v", "v").distinct())

@@ -357,6 +357,8 @@ def _extended(component: DataFrame | None, links: DataFrame) -> DataFrame:
     """``(node, component)`` after more links: only the components that they touch are put together anew."""
     if component is None:
         return materialize(connected_components(links, "hub", "sig"))
+    if links.isEmpty():
+        return component
     ends = links.select(F.col("hub").alias("node")).unionAll(links.select(F.col("sig").alias("node"))).distinct()
     nodes = ends.join(component, "node", "full").select("node", F.coalesce("component", "node").alias("component"))
     nodes = materialize(nodes)

@@ -2,9 +2,8 @@
 
 Texts come as rows ``(sig, ranges, packed)``: the set's name, the counts of its hashes in ``RANGES`` equal
 ranges, and the compressed text, which takes a third of the room of the hashes that are made of it where
-it arrives. Pairs that share a hub are compared as a stream: the hub comes first, once for each block of
-its members, and is held while they pass by. So a hub of any number of members is neither one task's nor
-copied into every pair.
+it arrives. Both ends of a pair are joined to it, the hub last: its many pairs arrive together, so that its
+set is made once, and Spark splits the join where a hub has too many for one task.
 """
 
 from __future__ import annotations
@@ -21,8 +20,6 @@ from pellucid.llm.shingles import shingle_sets
 RANGES = 128
 #: Texts that are made into sets at once.
 TEXTS_AT_ONCE = 128
-#: Members of a hub in a block, about.
-GROUP = 512
 #: Sets of a component in a block and bytes of their differences, about, and columns of a block's matrices.
 BLOCK_SETS, BLOCK_BYTES, COLUMNS = 1024, 1 << 23, 1024
 
@@ -48,18 +45,16 @@ def _unpack(packed: bytes) -> bytes:
     return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _ranges_of(batch: pa.RecordBatch):
-    return map(_counts, batch.column("value").to_pylist())
-
-
-def _sets_of(width: int):
-    """The shingle sets of a batch's packed texts, some texts at a time."""
-
-    def run(batch: pa.RecordBatch):
-        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-            yield from shingle_sets([_unpack(v) for v in batch.column("value").slice(at, TEXTS_AT_ONCE).to_pylist()], width)
-
-    return run
+def _pairs_of_sets(batch: pa.RecordBatch, width: int):
+    """(hub's set, member's set) of each pair of a batch, some texts at a time."""
+    last, hub = None, _NO_HASHES
+    for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+        part = batch.slice(at, TEXTS_AT_ONCE)
+        members = shingle_sets(map(_unpack, part.column("packed_sig").to_pylist()), width)
+        for name, packed, member in zip(part.column("hub").to_pylist(), part.column("packed_hub"), members, strict=True):
+            if name != last:
+                last, hub = name, next(shingle_sets([_unpack(packed.as_py())], width))
+            yield hub, member
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -76,37 +71,17 @@ def _reaches(percent: int, sizes, common):
     return 100 * common >= percent * (sizes - common)
 
 
-def _beside_hubs(pairs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
-    """The members ``sig`` of each ``hub`` with their ``column``, in blocks that begin with the hub's own.
+def _with_both(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
+    """The pairs ``(hub, sig)`` with the ``column`` of either, and rows of one hub together."""
+    side = side.select("sig", column)
+    with_member = pairs.join(side.toDF("sig", f"{column}_sig"), "sig")
+    return with_member.join(side.toDF("hub", f"{column}_hub"), "hub").select("hub", "sig", f"{column}_hub", f"{column}_sig")
 
-    ``pairs`` have to be written rows, as they are read several times.
-    """
-    large = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("blocks")).where("blocks > 1")
-    placed = pairs.join(large, "hub", "left").select("hub", "sig", F.pmod(F.xxhash64("sig"), F.coalesce("blocks", F.lit(1)).cast("long")).alias("block"))
-    members = placed.select("sig", "hub", "block", F.lit(True).alias("member"))
-    leaders = placed.select("hub", "block").distinct().select(F.col("hub").alias("sig"), "hub", "block", F.lit(False).alias("member"))
-    places = materialize(leaders.unionAll(members))
-    side = bloom.sift(texts.select("sig", F.col(column).alias("value")), "sig", places.select("sig"))
-    rows = places.join(side, "sig").repartition("hub", "block").sortWithinPartitions("hub", "block", "member")
-    return rows.select("hub", "member", "sig", "value")
 
-
-def _keep(views, test):
-    """Members whose view passes the test with their hub's."""
-
-    def run(batches):
-        hub = None
-        for batch in batches:
-            keep = []
-            for member, view in zip(batch.column("member").to_pylist(), views(batch), strict=True):
-                if member:
-                    keep.append(test(hub, view))
-                else:
-                    hub = np.array(view)
-                    keep.append(False)
-            yield batch.select(["hub", "sig"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs``, which are written rows, with both texts; a Bloom filter keeps most others at home."""
+    ends = pairs.select("sig").unionAll(pairs.select("hub"))
+    return _with_both(pairs, bloom.sift(texts.select("sig", "packed"), "sig", ends), "packed")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -116,14 +91,19 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     count at most.
     """
 
-    def may(x: np.ndarray, y: np.ndarray) -> bool:
-        return bool(_reaches(percent, x.sum() + y.sum(), np.minimum(x, y).sum()))
+    def may(batches):
+        for batch in batches:
+            hubs, members = ([_counts(v) for v in batch.column(f"ranges_{c}").to_pylist()] for c in ("hub", "sig"))
+            keep = [bool(_reaches(percent, x.sum() + y.sum(), np.minimum(x, y).sum())) for x, y in zip(hubs, members, strict=True)]
+            yield batch.select(["hub", "sig"]).filter(pa.array(keep, pa.bool_()))
 
-    def does(x: np.ndarray, y: np.ndarray) -> bool:
-        return bool(_reaches(percent, len(x) + len(y), _common(x, y)))
+    def does(batches):
+        for batch in batches:
+            keep = [bool(_reaches(percent, len(x) + len(y), _common(x, y))) for x, y in _pairs_of_sets(batch, width)]
+            yield batch.select(["hub", "sig"]).filter(pa.array(keep, pa.bool_()))
 
-    near = materialize(_beside_hubs(pairs, texts, "ranges").mapInArrow(_keep(_ranges_of, may), "hub long, sig long"))
-    return materialize(_beside_hubs(near, texts, "packed").mapInArrow(_keep(_sets_of(width), does), "hub long, sig long"))
+    near = materialize(_with_both(pairs, texts, "ranges").mapInArrow(may, "hub long, sig long"))
+    return materialize(_with_texts(near, texts).mapInArrow(does, "hub long, sig long"))
 
 
 def _differences(width: int):
@@ -131,13 +111,9 @@ def _differences(width: int):
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches):
-        hub = _NO_HASHES
         for batch in batches:
             out = []
-            for center, member, sig, own in zip(*(batch.column(c).to_pylist() for c in ("hub", "member", "sig")), _sets_of(width)(batch), strict=True):
-                if not member:
-                    hub = np.array(own)
-                    continue
+            for center, sig, (hub, own) in zip(batch.column("hub").to_pylist(), batch.column("sig").to_pylist(), _pairs_of_sets(batch, width), strict=True):
                 lacks = np.flatnonzero(~np.isin(hub, own, assume_unique=True)).astype("<u4")
                 adds = own[~np.isin(own, hub, assume_unique=True)]
                 out.append((center, sig, len(own), len(hub), lacks.tobytes(), adds.tobytes()))
@@ -207,7 +183,7 @@ def link_counts(texts: DataFrame, component: DataFrame, links: DataFrame, width:
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
     hubs = component.join(degree, "node").groupBy("component").agg(F.max_by("node", F.struct("k", "node")).alias("hub"))
     members = materialize(component.join(hubs, "component").select("hub", F.col("node").alias("sig")))
-    parts = materialize(_beside_hubs(members, texts, "packed").mapInArrow(_differences(width), "hub long, sig long, n long, hub_n long, lacks binary, adds binary"))
+    parts = materialize(_with_texts(members, texts).mapInArrow(_differences(width), "hub long, sig long, n long, hub_n long, lacks binary, adds binary"))
     weight = F.sum(F.octet_length("lacks") + F.octet_length("adds"))
     sizes = parts.groupBy("hub").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, weight / BLOCK_BYTES)).alias("blocks"))
     placed = parts.join(materialize(sizes), "hub").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))

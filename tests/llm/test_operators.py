@@ -100,7 +100,6 @@ def test_ngram_join_salted_lists(spark, monkeypatch):
 
 def test_ngram_join_counts_all_links(spark, monkeypatch):
     monkeypatch.setattr(set_pairs, "BLOCK_SETS", 7)
-    monkeypatch.setattr(set_pairs, "GROUP", 5)
     base = [f"w{k}" for k in range(80)]
     rows = [(k, " ".join(base[: 2 * k] + [f"own{k}"] + base[2 * k + 1 :])) for k in range(40)]
     rows += [(100 + k, " ".join(base[k:])) for k in range(12)] + [(200, rows[0][1]), (201, "alone among them all here"), (202, ""), (None, rows[3][1])]
