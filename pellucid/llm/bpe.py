@@ -12,6 +12,8 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Python takes these four for white space, Unicode's property (and so the library) doesn't.
@@ -19,14 +21,15 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 _PIECES = re.compile(r"\s*\S+")
 #: Longer pieces are encoded without being kept.
 PIECE_CHARS = 48
-#: Pieces kept at most, in two generations.
+#: Pieces kept at most; then all are forgotten.
 KEPT_PIECES = 400_000
+#: Pieces that the library encodes in one call.
+PIECES_AT_ONCE = 4096
 ID = "I"
 
 #: A word, with at most one space before it, that every Unicode version takes for letters, and ASCII marks.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
-
 def _byte_chars() -> list[str]:
     """How byte-level vocabularies write each byte.
 
@@ -42,25 +45,6 @@ _CHARS = _byte_chars()
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-class _Kept(dict):
-    """Encoded pieces; when half of the room is filled, only what is used again stays."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.old = encode, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = array(ID, self.encode(piece)).tobytes()
-        if len(piece) <= PIECE_CHARS:
-            if len(self) >= KEPT_PIECES // 2:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class PieceEncoder:
     """Encodes texts to unsigned 32-bit ids in native byte order.
 
@@ -69,13 +53,16 @@ class PieceEncoder:
 
     def __init__(self, path: str, drops_space: bool):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.drops_space = drops_space
-        self.model = self.tokenizer.model
-        self.kept = _Kept(self._encode_piece)
+        #: The merges alone, for words that need nothing before them.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = WhitespaceSplit()
+        self.kept: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, drops_space: bool) -> PieceEncoder:
@@ -84,28 +71,68 @@ class PieceEncoder:
             _encoders[path, drops_space] = cls(path, drops_space)
         return _encoders[path, drops_space]
 
-    def _encode_piece(self, piece: str) -> list[int]:
-        """A word of Latin letters with marks behind it goes straight to the merges, which is faster."""
-        if len(piece) > PIECE_CHARS or not (plain := _PLAIN.fullmatch(piece)):
-            return self.tokenizer.encode(piece, add_special_tokens=False).ids
-        word, marks = plain.groups()
+    def _pieces(self, text: str) -> list[str]:
         if self.drops_space:
-            word = word.lower()
-        ids = [t.id for t in self.model.tokenize("".join(map(_CHARS.__getitem__, word.encode())))]
-        return ids + memoryview(self.kept[marks]).cast(ID).tolist() if marks else ids
-
-    def encode(self, text: str) -> bytes:
-        if _SEPARATORS.search(text):
-            return array(ID, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if self.drops_space:
-            return b"".join(map(self.kept.__getitem__, text.split()))
+            return text.split()
         pieces = _PIECES.findall(text)
         if rest := len(text) - sum(map(len, pieces)):  # white space at the end belongs to the last piece
             if pieces:
                 pieces[-1] += text[-rest:]
             else:
                 pieces = [text]
-        return b"".join(map(self.kept.__getitem__, pieces))
+        return pieces
+
+    def _keep(self, names: list[str], encode) -> None:
+        """Encode what the names stand for, many in one call; numbers of words lead back to them."""
+        for at in range(0, len(names), PIECES_AT_ONCE):
+            part = names[at : at + PIECES_AT_ONCE]
+            found = encode(part)
+            ids = np.array(found.ids, dtype=np.uint32).tobytes()
+            edge = (4 * np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(part) + 1))).tolist()
+            self.kept.update((name, ids[a:b]) for name, a, b in zip(part, edge[:-1], edge[1:], strict=True))
+
+    def _merge(self, words: list[str]):
+        """Words of Latin letters, as the merges take them."""
+        return self.words.encode(" ".join(w if w.isascii() and w[0] != " " else "".join(map(_CHARS.__getitem__, w.encode())) for w in words), add_special_tokens=False)
+
+    def _add(self, fresh: list[str]) -> None:
+        """Encode new pieces: a word of Latin letters and the marks behind it are encoded apart, which is faster."""
+        split, words, others = [], set(), set()
+        for piece in fresh:
+            plain = _PLAIN.fullmatch(piece) if len(piece) <= PIECE_CHARS else None
+            if plain is None:
+                others.add(piece)
+                continue
+            word, marks = plain.groups()
+            if self.drops_space:
+                word = word.lower()
+            words.add(word)
+            if marks:
+                others.add(marks)
+            split.append((piece, word, marks))
+        self._keep([w for w in words if w not in self.kept], self._merge)
+        self._keep([p for p in others if p not in self.kept], lambda part: self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False))
+        self.kept.update((piece, self.kept[word] + self.kept[marks] if marks else self.kept[word]) for piece, word, marks in split)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what the texts have in new pieces is encoded first."""
+        if len(self.kept) > KEPT_PIECES:
+            self.kept.clear()
+        pieces = [None if _SEPARATORS.search(t) else self._pieces(t) for t in texts]
+        fresh = [p for p in set().union(*filter(None, pieces)) if p not in self.kept]
+        self._add(fresh)
+        get = self.kept.__getitem__
+        out = [
+            array(ID, self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if p is None else b"".join(map(get, p))
+            for t, p in zip(texts, pieces, strict=True)
+        ]
+        for piece in fresh:
+            if len(piece) > PIECE_CHARS:
+                del self.kept[piece]
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 def byte_table(tokenizer) -> list[bytes]:

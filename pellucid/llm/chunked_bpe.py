@@ -105,7 +105,10 @@ class _Codec:
         self.bytes_of, self.decimal = _tables[path]
 
     def encode(self, chunk: bytes) -> array:
-        return array(ID, self.encoder.encode(chunk.decode("utf-8", "replace")))
+        return self.encode_all([chunk])[0]
+
+    def encode_all(self, chunks: list[bytes]) -> list[array]:
+        return [array(ID, i) for i in self.encoder.encode_all([c.decode("utf-8", "replace") for c in chunks])]
 
     def text(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -144,7 +147,7 @@ class _Codec:
                 if agrees or (lower == low == 0 and higher == high == len(part)):
                     break
                 low, high = lower, higher
-            done = done[:lower]
+            del done[lower:]
             done.extend(fresh)
             done.extend(part[higher:])
         return done
@@ -176,7 +179,7 @@ def _encode(path: str, bits):
                     hashes = [_hash(c) for c in chunks]
                     shared = bloom.may_hold(have, np.array(hashes, dtype=np.int64)).tolist()
                     if not any(shared):
-                        ids = codec.join([codec.encode(c) for c in chunks])
+                        ids = codec.join(codec.encode_all(chunks))
                         out.append((row, key, *codec.digests(ids), None, None, None, None))
                         continue
                     for place, (chunk, h, away) in enumerate(zip(chunks, hashes, shared, strict=True)):

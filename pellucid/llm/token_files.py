@@ -23,6 +23,8 @@ from pellucid.llm.common import materialize, shared_dir, shuffle_partitions, utf
 from pellucid.llm.files import create, open_input
 
 LENGTH, BATCH = 2048, 128
+#: Texts that are encoded together.
+TEXTS_AT_ONCE = 256
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -101,13 +103,20 @@ class TokenFile:
 def _encode(path: str, end_id: int, bounds: list[int], width: str):
     edges = np.array(bounds, dtype=np.int64)
 
+    most = np.iinfo(width).max
+
+    def narrowed(ids: np.ndarray) -> bytes:
+        if ids.max() > most:
+            raise ValueError(f"id {ids.max()} does not fit the files' {width}")
+        return ids.astype(width).tobytes()
+
     def run(batches):
         encoder = PieceEncoder.of(path, drops_space=True)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ids = [np.frombuffer(encoder.encode(t or "") + end, dtype="<u4").astype(width).tobytes() for t in part.column("text").to_pylist()]
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                ids = [narrowed(np.frombuffer(i + end, dtype="<u4")) for i in encoder.encode_all([t or "" for t in part.column("text").to_pylist()])]
                 keys = [-1 if k is None else int(np.searchsorted(edges, k, side="right")) for k in part.column("id").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), part.column("id"), part.column("tie"), pa.array(ids, pa.binary())], names=["bucket", "id", "tie", "ids"])
 
@@ -147,12 +156,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     file takes a range of ids; the ranges are quantiles, so files are about equal in documents.
     """
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    n = max(2, shuffle_partitions(spark))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(utf8(text_col)).alias("tie"))
-    bounds = rows.select("id").where("id IS NOT NULL").approxQuantile("id", [k / n for k in range(1, n)], 0.25 / n) if n > 1 else []
+    bounds = rows.select("id").where("id IS NOT NULL").approxQuantile("id", [k / n for k in range(1, n - 1)], 0.25 / n)
     edges = sorted({int(b) for b in bounds})
     encoded = rows.mapInArrow(_encode(tokenizer_path, end_id, edges, width), "bucket int, id long, tie long, ids binary")
-    dealt = encoded.repartition(n, "bucket").sortWithinPartitions("bucket", "id", "tie").select("bucket", "id", "ids")
+    dealt = encoded.repartitionById(n, F.col("bucket") + 1).sortWithinPartitions("bucket", "id", "tie").select("bucket", "id", "ids")
     return materialize(dealt.mapInArrow(_write(folder, length, width), "bucket int, name string, n_tokens long"))
 
 
