@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pellucid.llm.common import WORD_PATTERN, broadcast_if_small, materialize
+from pellucid.llm.common import WORD_PATTERN, broadcast_if_small, materialize, shuffle_partitions
 
 WEIGHTS = (5, 2, 1)
 #: A source, and with it each of its blocks, is taken at most so often.
@@ -87,7 +87,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted: never more than MOST times ``size``. Sources in the order of their code points, null last,
     weigh 5, 2, 1, repeating; targets share the size of all sources. The result depends on the rows and
     the seed alone, not on their order or partitions; rows that are equal throughout may change places.
-    Sources without words have target 0. Other columns are ignored; an empty table gives an empty result.
+    Sources without words have target 0. Windows over all sources hold one row for each source. Other columns are ignored; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"), F.xxhash64(text).alias("tie"))
@@ -107,7 +107,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # of a shard's slots a source can only get those whose stratum meets its share
     shards = F.explode(F.sequence(F.lit(0), F.ceil(F.col("slots") / shard_slots).cast("long") - 1))
-    draws = wants.where("slots > 0").withColumn("shard", shards)
+    # a few rows stand for many slots, so they are dealt to all tasks before they are spread out
+    tasks = shuffle_partitions(docs.sparkSession)
+    draws = wants.where("slots > 0").withColumn("shard", shards).repartition(tasks, "source", "shard")
     draws = draws.withColumn("m", F.least(F.lit(shard_slots), F.col("slots") - F.col("shard") * shard_slots))
     low, high = F.floor(F.col("lower") * F.col("m")).cast("long"), F.least(F.floor(F.col("upper") * F.col("m")).cast("long"), F.col("m") - 1)
     draws = draws.withColumn("slot", F.explode(F.sequence(low, F.greatest(low, high))))
@@ -117,7 +119,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     across = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("before", F.sum("k").over(across) - F.col("k"))
     spread = counts.join(targets.select(F.col("source").alias("s"), "blocks"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    turn = spread.select("source", "blocks", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("k") - 1)).alias("turn"))
+    turn = spread.repartition(tasks, "source", "shard").select("source", "blocks", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("k") - 1)).alias("turn"))
     # rounding may draw a slot more than MOST passes have: it stays empty
     turn = turn.where(F.col("turn") < MOST * F.col("blocks"))
     key = F.xxhash64(F.lit(seed), "source", F.floor(F.col("turn") / F.col("blocks")))
