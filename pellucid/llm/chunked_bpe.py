@@ -235,6 +235,6 @@ def chunked_bpe(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     filled = places.where("hash IS NOT NULL").join(chunks, "hash").select("row", "id", "place", F.col("shared").alias("ids"))
     filled = filled.union(places.where("hash IS NULL").select("row", "id", "place", "ids"))
     whole = filled.groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("parts"))
-    joined = whole.select("id", "parts").mapInArrow(_finish(tokenizer_path), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    joined = materialize(whole.select("id", "parts").mapInArrow(_finish(tokenizer_path), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
     alone = encoded.where("n_tokens IS NOT NULL").select("id", "n_tokens", "ids_sha256", "decoded_sha256")
     return alone.union(joined).withColumnRenamed("id", id_col)

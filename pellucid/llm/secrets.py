@@ -167,7 +167,7 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield batch.set_column(k, batch.schema.field(k).name, pa.array(out, batch.schema.field(k).type)).drop_columns(["_spans"])
 
     joined = docs.withColumn("_key", F.xxhash64(text)).join(found, "_key", "left").drop("_key")
-    hit = joined.where("_spans IS NOT NULL").mapInArrow(cover, docs.schema)
+    hit = materialize(joined.where("_spans IS NOT NULL").mapInArrow(cover, docs.schema))
     if "n_chars" in docs.columns:
         hit = hit.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return joined.where("_spans IS NULL").drop("_spans").unionByName(hit)

@@ -221,4 +221,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             keep = [known.score(t.as_py() or "") < 0.5 for t in batch.column(text_col)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # whole rows pass through the workers, so they are written in small batches
+    return materialize(docs.mapInArrow(run, docs.schema))
