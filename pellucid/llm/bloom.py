@@ -66,12 +66,17 @@ def may_hold(whole: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (whole[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool).all(axis=0)
 
 
-def sift(df: DataFrame, column: str, hashes: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``column`` may be one of the hashes; what is kept is to be joined with them."""
-    bits = df.sparkSession.sparkContext.broadcast(build(hashes))
+def sieve(hashes: DataFrame, column: str):
+    """A step for ``mapInArrow`` that keeps the rows whose ``column`` may be one of the hashes."""
+    bits = hashes.sparkSession.sparkContext.broadcast(build(hashes))
 
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(may_hold(bits.value, batch.column(column).to_numpy())))
 
-    return df.mapInArrow(run, df.schema)
+    return run
+
+
+def sift(df: DataFrame, column: str, hashes: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be one of the hashes; what is kept is to be joined with them."""
+    return df.mapInArrow(sieve(hashes, column), df.schema)

@@ -271,11 +271,11 @@ def _lists(percent: int):
     return run
 
 
-def _packed_rows(width: int):
+def _packed_rows(width: int, sieve):
     names = ["at", "key", "ranges", "packed"]
 
     def run(batches):
-        for batch in batches:
+        for batch in sieve(batches):
             for part, sets in _sets(batch, width):
                 packed = [pack(t) for t in part.column("body").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("at"), part.column("key"), pa.array([range_counts(s) for s in sets], pa.binary()), pa.array(packed, pa.binary())], names=names)
@@ -289,8 +289,8 @@ def _whole_texts(classes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     Only those rows' texts are exchanged: a Bloom filter keeps most others out and the join on the row's
     id and text hash all of them.
     """
-    some = bloom.sift(rows.select("at", "key", "body"), "key", classes.select("key"))
-    some = some.mapInArrow(_packed_rows(width), "at long, key long, ranges binary, packed binary")
+    sieve = bloom.sieve(classes.select("key"), "key")
+    some = rows.select("at", "key", "body").mapInArrow(_packed_rows(width, sieve), "at long, key long, ranges binary, packed binary")
     return materialize(some.join(classes, ["at", "key"]).dropDuplicates(["at", "key"]).select("sig", "ranges", "packed"))
 
 
