@@ -106,7 +106,7 @@ def _running(d: Spark) -> str:
     order = "PARTITION BY page_id ORDER BY doc_id"
     sums = f"""(SELECT page_id, doc_id, length(text) AS n, row_number() OVER ({order}) AS k,
         sum(length(text)) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM {seeded_docs(d)} s)"""
-    return f"SELECT page_id, doc_id, k <= {CANDIDATE_BUDGET} AND total <= {CHAR_BUDGET} // 10 AS analysed FROM {sums} x".replace("//", "div" if d.name == "spark" else "//")
+    return f"SELECT page_id, doc_id, k <= {CANDIDATE_BUDGET} AND total <= {CHAR_BUDGET} AS analysed FROM {sums} x"
 
 
 def _snapshot(d: Spark) -> str:

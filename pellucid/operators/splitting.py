@@ -27,11 +27,11 @@ def windows(d: Spark) -> str:
     """Two to four consecutive fragments of one source in one region."""
     base = f"(SELECT conv_id, run, chunk, turn, source_type, text AS t0, {_lead(1)}, {_lead(2)}, {_lead(3)} FROM {regions(d)} r)"
     sizes = " UNION ALL ".join(
-        f"SELECT conv_id, turn, source_type, {n} AS size, turn{n - 1} AS last_turn, t0, t1, {'t2' if n > 2 else 'NULL AS t2'}, {'t3' if n > 3 else 'NULL AS t3'} FROM {base} b WHERE t{n - 1} IS NOT NULL"
+        f"SELECT conv_id, run, chunk, turn, source_type, {n} AS size, turn{n - 1} AS last_turn, t0, t1, {'t2' if n > 2 else 'NULL AS t2'}, {'t3' if n > 3 else 'NULL AS t3'} FROM {base} b WHERE t{n - 1} IS NOT NULL"
         for n in (2, 3, 4)
     )
     total = "length(t0) + length(t1) + coalesce(length(t2), 0) + coalesce(length(t3), 0)"
-    ranked = f"(SELECT w.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn, size) AS k FROM ({sizes}) w WHERE {total} <= {LONGEST_WINDOW})"
+    ranked = f"(SELECT w.*, row_number() OVER (PARTITION BY conv_id, run, chunk ORDER BY turn, size) AS k FROM ({sizes}) w WHERE {total} <= {LONGEST_WINDOW})"
     return f"(SELECT * FROM {ranked} r WHERE k <= {WINDOWS_PER_REGION})"
 
 
