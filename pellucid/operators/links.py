@@ -12,9 +12,10 @@ LOOKALIKES = "аеорсхуіјѕԁԛԝӏѵԍһ" + "οαρνιχϲευϳ"
 LATIN_LOOKALIKES = "ɡɟɪɩʏʙʜɴʀʟɑɐɢʁɜɹʇʞ" + "ᴀᴄᴅᴇᴋᴍᴏᴘᴛᴜᴠᴡᴢᴊ"
 ZONES = "com net org info biz edu gov mil app dev page site online store shop tech cloud blog news live top xyz club fun life world space website digital wiki art icu vip link click work today best рф рус москва дети онлайн сайт бел укр қаз срб мкд ею"
 FILE_ENDINGS = "ai apk asp aspx avi bak bat bmp css csv dll dmg doc docx dtd eot exe flv gif gz htm html ico iso jar jpeg jpg js json jsp log md mov mp mpeg mpg msi odt otf pdf php png ppt pptx psd py rar rb rtf sh so sql svg tar tgz tiff tmp ttf txt wav webp xls xlsx xml yaml yml zip"
+WRAPPERS = ("()", "[]", "{}", '""', "''", "«»", "“”", "‘’")
 # End of the fixed values.
 
-LONGEST_TARGET, OPAQUE_CHARS, CAPTION_HOSTS, RING, DEDUPE_KEYS = 8_192, 12, 8, 20, 5_000
+LONGEST_TARGET, OPAQUE_CHARS, CAPTION_HOSTS, RING, DEDUPE_KEYS, WRAPPER_DEPTH = 8_192, 12, 8, 20, 5_000, 8
 
 
 def _script(d: Spark, name: str) -> str:
@@ -73,13 +74,15 @@ def host_findings(d: Spark) -> str:
 
 
 def captions(d: Spark) -> str:
-    """Captions without white-space runs, marks at the end and matched wrappers, in lower case."""
-    e = d.replace("trim(caption)", r"\s+", " ")
-    for _ in range(3):
-        e = d.replace(e, "[.,;:!?]+$")
-        for a, b in (("[(]", "[)]"), (r"\[", r"\]"), ("«", "»"), ('"', '"'), ("“", "”")):
-            e = f"CASE WHEN {d.matches(e, '^' + a + '.*' + b + '$')} THEN substr({e}, 2, length({e}) - 2) ELSE {e} END"
-        break
+    """Captions without white-space runs, marks at the end and matched wrappers (eight deep at most), in lower case."""
+    pairs = ", ".join(d.text(p) for p in WRAPPERS)
+    bare = f"CASE WHEN length(x) >= 2 AND substr(x, 1, 1) || substr(x, length(x), 1) IN ({pairs}) THEN trim(substr(x, 2, length(x) - 2)) ELSE x END"
+    marks = "[.,;:!?]+$"
+    e = f"trim({d.replace('trim(' + d.replace('caption', r'\s+', ' ') + ')', marks)})"
+    for _ in range(WRAPPER_DEPTH):
+        # the lambda's variable stands for what is made so far, which is so written only once
+        e = d.at(d.apply(d.array(e), bare), 1)
+    e = f"trim({d.replace(e, marks)})"
     return f"(SELECT t.page_id, t.ord, t.scheme, t.host, t.page_host, t.caption AS raw_caption, lower({e}) AS caption FROM {targets(d)} t)"
 
 
@@ -124,7 +127,7 @@ def _ring(d: Spark) -> str:
 
 QUERIES = {
     "l01_targets": lambda d: f"SELECT page_id, ord, href, scheme, host FROM {targets(d)} t",
-    "l04_base_origin": lambda d: f"SELECT page_id, ord, host, page_host, host <> '' AND host <> page_host AS foreign_origin FROM {targets(d)} t",
+    "foreign_hosts": lambda d: f"SELECT page_id, ord, host, page_host, host <> '' AND host <> page_host AS foreign_origin FROM {targets(d)} t",
     "l05_unsafe_protocol": lambda d: f"SELECT page_id, ord, type, severity FROM {findings(d)} f WHERE type = 'unsafe-protocol'",
     "l06_redirect_parameters": lambda d: f"SELECT page_id, ord, name, dest, leads FROM {parameters(d)} p",
     "l07_destination_gate": lambda d: f"SELECT page_id, ord, pos, is_url FROM {parameters(d)} p",
@@ -134,7 +137,7 @@ QUERIES = {
     "l13_mixed_script": lambda d: f"SELECT host, mixed_script FROM {host_signals(d)} s",
     "l14_whole_script": lambda d: f"SELECT host, whole_script FROM {host_signals(d)} s",
     "l15_latin_lookalike": lambda d: f"SELECT host, latin_lookalike FROM {host_signals(d)} s",
-    "l16_idn_zone": lambda d: f"SELECT host, idn_zone, has_punycode FROM {host_signals(d)} s",
+    "idn_zones": lambda d: f"SELECT host, idn_zone, has_punycode FROM {host_signals(d)} s",
     "l18_hostname_findings": lambda d: f"SELECT host, type, severity FROM {host_findings(d)} f",
     "l19_caption": lambda d: f"SELECT page_id, ord, caption FROM {captions(d)} c",
     "l20_caption_hosts": lambda d: f"SELECT page_id, ord, pos, named FROM {caption_hosts(d)} c",

@@ -32,9 +32,13 @@ def findings(d: Spark) -> str:
 
 
 def pages(d: Spark) -> str:
-    """Counts by module and in total for each page."""
-    counts = ", ".join(f"CAST(sum(CASE WHEN module = '{m}' THEN 1 ELSE 0 END) AS BIGINT) AS {m}" for m in ("visual", "links", "trigger", "splitting"))
-    return f"(SELECT page_id, {counts}, CAST(count(*) AS BIGINT) AS total, max(rank) AS worst FROM {findings(d)} f GROUP BY page_id)"
+    """Counts by module and in total for each page, those without findings too."""
+    modules = ("visual", "links", "trigger", "splitting")
+    counts = ", ".join(f"sum(CASE WHEN module = '{m}' THEN 1 ELSE 0 END) AS {m}" for m in modules)
+    found = f"(SELECT page_id, {counts}, count(*) AS total, max(rank) AS worst FROM {findings(d)} f GROUP BY page_id)"
+    filled = ", ".join(f"CAST(coalesce(c.{m}, 0) AS BIGINT) AS {m}" for m in (*modules, "total"))
+    every = "(SELECT DISTINCT page_id FROM pages WHERE page_id IS NOT NULL)"
+    return f"(SELECT coalesce(e.page_id, c.page_id) AS page_id, {filled}, coalesce(c.worst, 0) AS worst FROM {every} e FULL JOIN {found} c ON e.page_id = c.page_id)"
 
 
 def _flat(d: Spark) -> str:
@@ -61,13 +65,13 @@ QUERIES = {
     "g01_module_counts": lambda d: f"SELECT module, CAST(count(*) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS occurrences FROM {findings(d)} f GROUP BY module",
     "g02_page_rollup": lambda d: f"SELECT p.*, CASE WHEN total > 0 THEN 'issues' ELSE 'clean' END AS status FROM {pages(d)} p",
     "g04_partial_modules": lambda d: f"SELECT page_id, {d.joined('module')} AS modules FROM {findings(d)} f GROUP BY page_id",
-    "g05_clipped": lambda d: f"SELECT page_id, module, substr(dedupe_key, 1, 96) AS clipped_key, rank FROM {findings(d)} f",
+    "g05_clipped": lambda d: f"SELECT page_id, module, substr(type, 1, 96) AS clipped_type, rank FROM {findings(d)} f",
     "g06_page_identity": lambda d: f"SELECT page_id, substr({d.extract('url', '^(https?://[^/?#]+[^?#]*)')}, 1, 2048) AS identity FROM pages",
     "g07_badge": lambda d: f"SELECT page_id, CASE WHEN total = 0 THEN '' WHEN total > 99 THEN '99+' ELSE CAST(total AS VARCHAR(9)) END AS badge FROM {pages(d)} p",
     "g08_flat_list": _flat,
     "g11_context_block": lambda d: f"SELECT page_id, least(total, 100) AS total, least(greatest(links, 0), 100) AS links FROM {pages(d)} p",
     "g12_scannable": lambda d: f"SELECT page_id, {d.matches('url', '^https?://')} AS scannable FROM pages",
-    "g14_reconciled": lambda d: f"SELECT v.page_id, v.node_id, v.type FROM {visual.findings(d)} v WHERE EXISTS (SELECT 1 FROM {visual.elements(d)} e WHERE e.page_id = v.page_id AND e.node_id = v.node_id AND e.chars > 5)",
+    "nodes_with_text": lambda d: f"SELECT v.page_id, v.node_id, v.type FROM {visual.findings(d)} v WHERE EXISTS (SELECT 1 FROM {visual.elements(d)} e WHERE e.page_id = v.page_id AND e.node_id = v.node_id AND e.chars > 5)",
     "r01_remediation_plan": lambda d: f"""SELECT page_id, type, CASE WHEN type IN ({', '.join(repr(t) for t in ANNOTATABLE)}) THEN 'annotate' WHEN type IN ({', '.join(repr(t) for t in SIBLING_ONLY)}) THEN 'sibling' ELSE 'ignore' END AS plan, CAST(count(*) AS BIGINT) AS n
         FROM {findings(d)} f GROUP BY page_id, type""",
     "n01_network_rules": _network,

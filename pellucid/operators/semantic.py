@@ -1,8 +1,8 @@
 """Rule matching and assessment of texts (S), and what is made of assessments (T).
 
 A phrase matches where its words follow each other: texts and phrases are joined word by word with one
-space between and around, so that containment is alignment. Every rule is compared with every text; the
-rules are a constant of the plan and texts are never shuffled for it.
+space between and around, so that containment is alignment. A text is searched for those phrases alone whose
+first word it has; the rules are a constant of the plan and texts are never shuffled for it.
 """
 
 from __future__ import annotations
@@ -35,10 +35,21 @@ def rules(d: Spark) -> str:
     return values("ord, rule_id, category, action_group, is_primary, language, n_required, n_optional, n_forbidden", rows, d)
 
 
+def phrase_hits(d: Spark) -> str:
+    """Texts with the phrases in them. Spark finds them by first words; the checking form holds every phrase against every text."""
+    found = f"(SELECT t.doc_id, t.padded, p.* FROM {texts(d)} t JOIN {phrases(d)} p ON contains(t.padded, ' ' || p.phrase || ' '))"
+    if d.name != "spark":
+        return found
+    distinct = sorted({(row[-1].split(" ")[0], row[-1]) for row in phrase_rows()})
+    first = ", ".join(d.text(w) for w in sorted({w for w, _ in distinct}))
+    words = f"(SELECT t.doc_id, t.padded, explode(array_intersect(split(t.padded, ' '), array({first}))) AS first FROM {texts(d)} t)"
+    named = f"(SELECT w.doc_id, w.padded, q.phrase FROM {words} w JOIN {values('first, phrase', distinct, d)} q ON w.first = q.first AND contains(w.padded, ' ' || q.phrase || ' '))"
+    return f"(SELECT n.doc_id, n.padded, p.* FROM {named} n JOIN {phrases(d)} p ON n.phrase = p.phrase)"
+
+
 def matches(d: Spark) -> str:
     """One row per text and rule that holds: all required signals, no forbidden one."""
-    hits = f"""(SELECT t.doc_id, p.rule_id, p.kind, p.signal_id FROM {texts(d)} t JOIN {phrases(d)} p ON contains(t.padded, ' ' || p.phrase || ' ')
-        GROUP BY t.doc_id, p.rule_id, p.kind, p.signal_id)"""
+    hits = f"(SELECT doc_id, rule_id, kind, signal_id FROM {phrase_hits(d)} p GROUP BY doc_id, rule_id, kind, signal_id)"
     per_rule = f"""(SELECT doc_id, rule_id, sum(CASE WHEN kind = 'required' THEN 1 ELSE 0 END) AS n_hit, sum(CASE WHEN kind = 'forbidden' THEN 1 ELSE 0 END) AS n_bad,
         {d.joined("CASE WHEN kind = 'optional' THEN signal_id END")} AS supporting FROM {hits} h GROUP BY doc_id, rule_id)"""
     return f"""(SELECT m.doc_id, r.ord, r.rule_id, r.category, r.action_group, r.is_primary, m.supporting, row_number() OVER (PARTITION BY m.doc_id ORDER BY r.ord) AS rn
@@ -120,9 +131,9 @@ def _state(d: Spark) -> str:
 
 
 def _related(d: Spark) -> str:
-    """Action groups of the primary rules all of whose required signals a literal's own text satisfies."""
+    """For each literal found in a text: action groups of the primary rules all of whose required signals its own text satisfies."""
     hits = f"(SELECT c.literal_id, p.rule_id, count(DISTINCT p.signal_id) AS n FROM {custom(d)} c JOIN {phrases(d)} p ON p.kind = 'required' AND p.is_primary AND contains(' ' || c.phrase || ' ', ' ' || p.phrase || ' ') GROUP BY c.literal_id, p.rule_id)"
-    return f"SELECT c.literal_id, r.action_group, (SELECT count(*) FROM documents) AS n_docs FROM {custom(d)} c LEFT JOIN {hits} h ON c.literal_id = h.literal_id LEFT JOIN {rules(d)} r ON h.rule_id = r.rule_id AND h.n = r.n_required"
+    return f"SELECT c.doc_id, c.literal_id, r.action_group FROM {custom_hits(d)} c LEFT JOIN {hits} h ON c.literal_id = h.literal_id LEFT JOIN {rules(d)} r ON h.rule_id = r.rule_id AND h.n = r.n_required"
 
 
 QUERIES = {
@@ -134,7 +145,7 @@ QUERIES = {
     "s07_rule_classify": lambda d: f"SELECT doc_id, rule_id, supporting FROM {matches(d)} m",
     "s08_match_cap": lambda d: f"SELECT doc_id, rule_id, rn FROM {matches(d)} m WHERE rn <= {MATCH_CAP}",
     "s09_boundary_match": lambda d: f"SELECT doc_id, literal_id FROM {custom_hits(d)} h",
-    "s10_phrase_range": lambda d: f"SELECT t.doc_id, p.phrase, length({d.replace('substr(t.padded, 1, instr(t.padded, concat(chr(32), p.phrase, chr(32))))', '[^ ]')}) AS first_token FROM {texts(d)} t JOIN {phrases(d)} p ON p.kind = 'required' AND contains(t.padded, ' ' || p.phrase || ' ') GROUP BY ALL",
+    "s10_phrase_range": lambda d: f"SELECT t.doc_id, t.phrase, length({d.replace('substr(t.padded, 1, instr(t.padded, concat(chr(32), t.phrase, chr(32))))', '[^ ]')}) AS first_token FROM {phrase_hits(d)} t WHERE kind = 'required' GROUP BY ALL",
     "s11_base_evidence": lambda d: f"SELECT doc_id, rule_id, base_evidence FROM {assessments(d)} a",
     "s12_base_impact": lambda d: f"SELECT doc_id, rule_id, base_impact FROM {assessments(d)} a",
     "s13_disclosure_escalation": lambda d: f"SELECT doc_id, rule_id, impact FROM {assessments(d)} a WHERE category = 'sensitive-disclosure'",
@@ -146,7 +157,8 @@ QUERIES = {
     "s20_related_groups": _related,
     "s22_literal_cap": lambda d: f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n, count(*) > 2 AS partial FROM {custom_hits(d)} h GROUP BY doc_id",
     "s23_envelope": lambda d: f"SELECT doc_id, CASE WHEN length(trim(text)) = 0 THEN 'complete' WHEN length(text) > {LONGEST_CANDIDATE} THEN 'partial' ELSE 'complete' END AS status, length(text) <= {LONGEST_CANDIDATE} AS analysed FROM {seeded_docs(d)} s",
-    "s25_catalog": lambda d: f"SELECT rule_id, kind, signal_id, CAST(count(*) AS BIGINT) AS n_phrases, (SELECT count(*) FROM documents) AS n_docs FROM {phrases(d)} p GROUP BY rule_id, kind, signal_id",
+    "s25_catalog": lambda d: f"""SELECT p.rule_id, p.kind, p.signal_id, CAST(count(DISTINCT p.phrase) AS BIGINT) AS n_phrases, CAST(count(DISTINCT h.doc_id) AS BIGINT) AS n_docs FROM {phrases(d)} p
+        LEFT JOIN {phrase_hits(d)} h ON p.rule_id = h.rule_id AND p.kind = h.kind AND p.signal_id = h.signal_id AND p.phrase = h.phrase GROUP BY p.rule_id, p.kind, p.signal_id""",
     "t06_eligible_text": lambda d: f"SELECT doc_id, length(trim(text)) > 0 AND {d.matches('text', r'[\p{L}\p{N}]')} AS eligible FROM documents t",
     "t09_scan_budgets": _running,
     "t10_findings": lambda d: f"SELECT doc_id, rule_id, category, severity FROM {assessments(d)} a WHERE eligible",

@@ -92,9 +92,9 @@ QUERIES = {
     "p09_variants": lambda d: f"SELECT conv_id, turn, size, path, length(text) AS chars FROM {variants(d)} v",
     "p10_separator": lambda d: f"SELECT conv_id, turn, {_separator(d, 't0', 't1')} = '' AS tight FROM {windows(d)} w WHERE size = 2",
     "p11_spans": lambda d: f"SELECT conv_id, turn, size, length(t0) AS end0, length(t0) + length({_separator(d, 't0', 't1')}) AS start1, length(t0) + length({_separator(d, 't0', 't1')}) + length(t1) AS end1 FROM {windows(d)} w",
-    "p12_context": lambda d: f"SELECT conv_id, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) = 1 AS any_user, min(CASE WHEN role = 'user' THEN 1 ELSE 0 END) = 1 AS all_user FROM {seeded_turns(d)} t GROUP BY conv_id",
+    "speakers": lambda d: f"SELECT conv_id, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) = 1 AS any_user, min(CASE WHEN role = 'user' THEN 1 ELSE 0 END) = 1 AS all_user FROM {seeded_turns(d)} t GROUP BY conv_id",
     "p13_variant_dedupe": lambda d: f"SELECT path, CAST(count(*) AS BIGINT) AS n FROM {variants(d)} v GROUP BY path",
-    "p14_contributions": lambda d: f"SELECT conv_id, turn, size, path, rule_id, last_turn FROM {decisions(d)} x",
+    "split_decisions": lambda d: f"SELECT conv_id, turn, size, path, rule_id, last_turn FROM {decisions(d)} x",
     "p15_standalone": lambda d: f"SELECT conv_id, turn, size, path, rule_id, standalone FROM {decisions(d)} x",
     "p16_confidence": lambda d: f"SELECT conv_id, turn, size, path, rule_id, rank FROM {decisions(d)} x",
     "p17_eligible": lambda d: f"SELECT conv_id, turn, size, path, rule_id FROM {decisions(d)} x WHERE rank >= 2 AND standalone = 0",

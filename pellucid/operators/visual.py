@@ -94,7 +94,7 @@ QUERIES = {
     "v11_contrast": _of("contrast"),
     "v13_off_screen": _of("off-screen"),
     "v17_colour_signals": lambda d: f"SELECT page_id, node_id, round(contrast, 4) AS contrast, distance FROM {elements(d)} e",
-    "v20_length_px": lambda d: f"SELECT page_id, node_id, font_px * 1.5e0 AS em_px, width / {VIEW_WIDTH} * 100.0e0 AS vw FROM {elements(d)} e",
+    "planted_lengths": lambda d: f"SELECT page_id, node_id, font_px * 1.5e0 AS em_px, width / {VIEW_WIDTH} * 100.0e0 AS vw FROM {elements(d)} e",
     "v21_viewport_coverage": lambda d: f"SELECT page_id, node_id, round(coverage, 6) AS coverage FROM {elements(d)} e",
     "v24_covered_inputs": _covered,
     "v26_full_screen_overlay": lambda d: f"SELECT page_id, node_id, rank FROM {overlays(d)} o",
