@@ -180,7 +180,11 @@ def _route(router, probes: int):
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of rows, in double precision; the same for the same two vectors wherever they stand."""
+    """Cosines of rows, in double precision; the same for the same two vectors wherever they stand.
+
+    Rows are scaled by powers of two first, which leaves the result as it is and keeps squares in range.
+    """
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (a, b))
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 

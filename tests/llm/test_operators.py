@@ -175,6 +175,19 @@ def test_nearest_is_exact_on_small_tables(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_of_huge_and_tiny_vectors(spark):
+    x = np.random.default_rng(5).normal(size=(60, 8))
+    scaled = x * np.where(np.arange(60) % 2, 1e200, 1e-200)[:, None]
+    found = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(scaled)], "vec_id long, embedding array<double>")).collect()
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    for q in (0, 50):
+        score = unit @ unit[q]
+        score[q] = -2
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q)
+        assert [v for _, v, _ in mine] == np.argsort(-score, kind="stable")[:5].tolist()
+        assert np.allclose([s for _, _, s in mine], np.sort(score)[::-1][:5])
+
+
 def test_nearest_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.select("vec_id", "embedding").collect()
