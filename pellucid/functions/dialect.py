@@ -64,9 +64,12 @@ class Spark:
     def at(self, array: str, k: int) -> str:
         return f"try_element_at({array}, {k})"
 
-    def slice(self, array: str, n: int) -> str:
+    def slice(self, array: str, n: int | str) -> str:
         return f"slice({array}, 1, {n})"
 
+    def last(self, array: str) -> str:
+        return f"try_element_at({array}, -1)"
+
     def millis(self, e: str) -> str:
         return f"unix_millis(CAST({e} AS TIMESTAMP))"
 
@@ -76,6 +79,29 @@ class Spark:
     def unquote(self, e: str) -> str:
         return f"coalesce(try_url_decode(replace({e}, '+', '%20')), {e})"
 
+    def chars(self, e: str) -> str:
+        return f"filter(split({e}, ''), x -> x <> '')"
+
+    def long(self, value: int) -> str:
+        return f"CAST({value} AS BIGINT)"
+
+    def struct(self, fields: dict[str, str]) -> str:
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+    def let(self, e: str, name: str, made: str) -> str:
+        """made: an expression of ``name``, which stands for e; e is written and computed once."""
+        return f"element_at(transform(array({e}), {name} -> {made}), 1)"
+
+    def fold(self, array: str, first: str, acc: str, item: str, step: str) -> str:
+        return f"aggregate({array}, {first}, ({acc}, {item}) -> {step})"
+
+    def inserted(self, array: str, at: str, e: str) -> str:
+        """The array with e before the element at an index from 0."""
+        return f"concat(slice({array}, 1, CAST({at} AS INT)), array({e}), slice({array}, CAST({at} AS INT) + 1, size({array})))"
+
+    def from_points(self, array: str) -> str:
+        return f"decode(unhex(array_join(transform({array}, p -> lpad(hex(p), 8, '0')), '')), 'UTF-32')"
+
 
 class Duck(Spark):
     name = "duckdb"
@@ -127,9 +153,12 @@ class Duck(Spark):
     def at(self, array: str, k: int) -> str:
         return f"({array})[{k}]"
 
-    def slice(self, array: str, n: int) -> str:
+    def slice(self, array: str, n: int | str) -> str:
         return f"({array})[1:{n}]"
 
+    def last(self, array: str) -> str:
+        return f"({array})[-1]"
+
     def millis(self, e: str) -> str:
         return f"epoch_ms({e})"
 
@@ -139,6 +168,24 @@ class Duck(Spark):
     def unquote(self, e: str) -> str:
         return f"url_decode(replace({e}, '+', '%20'))"
 
+    def chars(self, e: str) -> str:
+        return f"list_filter(string_split({e}, ''), lambda x: x <> '')"
+
+    def struct(self, fields: dict[str, str]) -> str:
+        return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+
+    def let(self, e: str, name: str, made: str) -> str:
+        return f"list_transform([{e}], lambda {name}: {made})[1]"
+
+    def fold(self, array: str, first: str, acc: str, item: str, step: str) -> str:
+        return f"list_reduce({array}, lambda {acc}, {item}: {step}, {first})"
+
+    def inserted(self, array: str, at: str, e: str) -> str:
+        return f"list_concat(list_concat(({array})[1:{at}], [{e}]), ({array})[{at} + 1:])"
+
+    def from_points(self, array: str) -> str:
+        return f"array_to_string(list_transform({array}, lambda p: chr(CAST(p AS INTEGER))), '')"
+
 
 def values(columns: str, rows: list[tuple], d: Spark) -> str:
     """A table of constants; columns: their names, comma-separated."""

@@ -28,7 +28,7 @@ def findings(d: Spark) -> str:
     return f"""(SELECT page_id, 1 AS module_ord, 'visual' AS module, type, rank, CAST(1 AS BIGINT) AS n, dedupe_key FROM {visual.findings(d)} v
         UNION ALL SELECT page_id, 2, 'links', type, {_RANK}, CAST(1 AS BIGINT), dedupe_key FROM {links.findings(d)} l WHERE rn = 1
         UNION ALL SELECT page_id, 3, 'trigger', 'trigger', rank, occurrence_count, concat(source_type, '|', action_group) FROM {semantic.findings(d)} s
-        UNION ALL SELECT conv_id % 40, 4, 'splitting', 'split-prompt', rank, CAST(1 AS BIGINT), concat(CAST(conv_id AS VARCHAR(20)), '|', action_group) FROM {splitting._merged(d)} p)"""
+        UNION ALL SELECT {d.div('conv_id', '40')}, 4, 'splitting', 'split-prompt', rank, CAST(1 AS BIGINT), concat(CAST(conv_id AS VARCHAR(20)), '|', action_group) FROM {splitting._merged(d)} p)"""
 
 
 def pages(d: Spark) -> str:

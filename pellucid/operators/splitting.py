@@ -54,7 +54,7 @@ def variants(d: Spark) -> str:
 
 
 def _phrases(d: Spark) -> str:
-    rows = [(r.rule_id, r.action_group, len(r.of("required")), kind, s, tokens(p)) for r in RULES if r.primary for kind, s, ps in r.signals if kind != "optional" for p in ps]
+    rows = [(r.rule_id, r.action_group, len(r.of("required")), kind, s, tokens(p)) for r in RULES if r.primary for kind in ("required", "forbidden") for s, ps in r.of(kind) for p in ps]
     return values("rule_id, action_group, n_required, kind, signal_id, phrase", list(dict.fromkeys(rows)), d)
 
 

@@ -21,7 +21,7 @@ DOC_SEEDS = [
 
 def seeded_docs(d: Spark) -> str:
     """Documents with a sentence at the end, by ``doc_id % 17``; code and quote by other residues."""
-    return f"""(SELECT s.doc_id, s.lang, s.doc_id % 7 = 0 AS in_code, s.doc_id % 5 = 0 AS in_quote, s.doc_id % 40 AS page_id,
+    return f"""(SELECT s.doc_id, s.lang, s.doc_id % 7 = 0 AS in_code, s.doc_id % 5 = 0 AS in_quote, {d.div('s.doc_id', '40')} AS page_id,
         CASE s.doc_id % 4 WHEN 0 THEN 'title' WHEN 1 THEN 'alt' ELSE 'text' END AS source_type,
         s.text || coalesce(' ' || p.phrase, '') AS text
         FROM documents s LEFT JOIN {values('residue, phrase', DOC_SEEDS, d)} p ON s.doc_id % 17 = p.residue)"""
@@ -34,15 +34,20 @@ LINK_SEEDS = [
     (7, "https://shop.example.org/b", "example.org, shop"), (8, "https://xn--pypal-4ve.com/", "pay"),
     (9, "https://pаypal.com/", "paypal"), (10, "data:text/html,x", "data"), (11, "https://аррӏе.com/", "news"),
     (12, "https://site.example/?dest=/home&continue=%2F%2Fsite.example%2Fx", "stay"), (13, "https://localhost/a", "archive.zip"),
-    (14, "https://10.0.0.1/a", "host.io"), (15, "file:///etc/x", "file"), (16, "https://paypᴀl.com/", "«paypal.com»."),
+    (14, "https://10.0.0.1/a", "host.io"), (15, "file:///etc/x", "file"), (16, "https://paypᴀl.com/", "«paypal.com»."), (17, "https://xn--80aa0cbo65f.com/", "https://bank.example/login"),
+    (18, "https://xn--80aag1cjd3a.xn--p1ai/", "сайт"),
 ]
 
+BASE_SEEDS = [(1, "https://elsewhere.example/x/"), (2, "//cdn.example/"), (3, "/docs/")]
+
 
 def seeded_links(d: Spark) -> str:
-    """Anchors of the pages in order, some with another target and caption, by page and place."""
+    """Anchors of the pages in order, some with another target and caption, by page and place; some pages have a base element."""
     anchors = d.unnest("(SELECT page_id, url, html FROM pages WHERE html IS NOT NULL)", d.extract_all("html", '<a [^>]*href="([^"]*)"', 1))
-    return f"""(SELECT a.page_id, a.pos AS ord, a.url AS page_url, coalesce(l.href, a.val) AS href, coalesce(l.caption, 'link') AS caption
-        FROM {anchors} a LEFT JOIN {values('residue, href, caption', LINK_SEEDS, d)} l ON (a.page_id * 7 + a.pos) % 19 = l.residue)"""
+    base = f"coalesce(b.base_href, {d.extract('a.html', '<base [^>]*href=.([^ >]*).[ >]')})"
+    return f"""(SELECT a.page_id, a.pos AS ord, a.url AS page_url, {base} AS base_href, coalesce(l.href, a.val) AS href, coalesce(l.caption, 'link') AS caption
+        FROM {anchors} a LEFT JOIN {values('residue, href, caption', LINK_SEEDS, d)} l ON (a.page_id * 7 + a.pos) % 19 = l.residue
+        LEFT JOIN {values('residue, base_href', BASE_SEEDS, d)} b ON a.page_id % 13 = b.residue)"""
 
 
 TURN_SEEDS = [

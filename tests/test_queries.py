@@ -9,8 +9,9 @@ import sys
 import duckdb
 import pytest
 
-from pellucid.functions import unicode
+from pellucid.functions import punycode, unicode
 from pellucid.functions.catalog import RULES, tokens
+from pellucid.functions.dialect import Spark
 from pellucid.plans import jobs, queries
 from pellucid.sources.html import page_rows
 from pellucid.streaming.requests import rate_limited
@@ -107,3 +108,52 @@ def test_entry_without_training_data_operators(tmp_path):
                 shutil.copy(root / name, tmp_path)
         run = subprocess.run([sys.executable, "-c", show], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
         assert run.stdout.split() == [str(len(queries.QUERIES) + len(jobs.QUERIES)), str(len(queries.oracle_sql()))]
+
+
+def _encoded(host):
+    return ".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in host.split("."))
+
+
+def _unseeded_pages(spark, anchors):
+    """A table of pages with one anchor each, of ids whose first anchor and base no seed replaces."""
+    ids = [k for k in range(8, 19 * 40 * (1 + len(anchors)), 19) if k % 13 not in (1, 2, 3)]
+    rows = [(k, "https://page.example:443/a/b", html) for k, html in zip(ids, anchors)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").createOrReplaceTempView("fixture_pages")
+    return [r[0] for r in rows]
+
+
+#: Host, then: mixed scripts, one look-alike script throughout, a look-alike letter in Latin, a script foreign to the zone.
+HOSTS = [
+    ("сахар.рф", 0, 0, 0, 0), ("www.сахар.рф", 0, 0, 0, 0), ("пример.рф", 0, 0, 0, 0), ("оса.com", 0, 0, 0, 1), ("рос.net", 0, 0, 0, 1),
+    ("аррӏе.com", 0, 1, 0, 1), ("ѕсоре.com", 0, 1, 0, 1), ("раураӏ.net", 0, 1, 0, 1), ("gogleɟ.com", 0, 0, 1, 1), ("paypᴀl.com", 0, 0, 1, 1), ("ɡoogle.com", 0, 0, 1, 1),
+    ("münchen.de", 0, 0, 0, 1), ("łódź.pl", 0, 0, 0, 1), ("ελλάδα.gr", 0, 0, 0, 1), ("shop.example.com", 0, 0, 0, 0), ("pаypal.com", 1, 0, 0, 1), ("中国.рф", 0, 0, 0, 1),
+]
+
+
+def test_hosts_are_judged_in_their_characters(spark):
+    _unseeded_pages(spark, [f'<a href="https://{h}/x">t</a>' for host, *_ in HOSTS for h in {host, _encoded(host)}])
+    rows = spark.sql("WITH pages AS (SELECT * FROM fixture_pages) " + queries.QUERIES["l17_host_analysis"](Spark())).collect()
+    got = {r["host"]: tuple(int(r[c]) for c in ("mixed_script", "whole_script", "latin_lookalike", "zone_mismatch")) for r in rows}
+    for host, *flags in HOSTS:
+        assert got[host] == got[_encoded(host)] == tuple(flags), host
+    assert "page.example" in got
+
+
+def test_relative_targets_follow_the_base_element(spark):
+    ids = _unseeded_pages(spark, [
+        '<base href="https://evil.example:8443/x/"><a href="/login">t</a>', '<base href="https://page.example/z/"><a href="login">t</a>',
+        '<base href="/docs/"><a href="?q=1">t</a>', '<base href="//other.example/"><a href="HTTPS://user@Named.example:90/a">t</a>', '<a href="b">t</a>',
+    ])
+    run = lambda name: spark.sql("WITH pages AS (SELECT * FROM fixture_pages) " + queries.QUERIES[name](Spark())).collect()
+    assert {r["page_id"]: r["host"] for r in run("l03_base_resolution")} == dict(zip(ids, ["evil.example", "page.example", "page.example", "named.example", "page.example"]))
+    assert {r["page_id"]: r["base_origin"] for r in run("l04_foreign_base")} == {ids[0]: "https://evil.example:8443", ids[3]: "https://other.example"}
+
+
+def test_labels_decode_as_the_codec_does(spark):
+    alphabet = "abcdeаеорсхжαρνü漢字日ᴀ-x😀"
+    words = {"".join(alphabet[(k * 7 + j * j * (k % 5 + 1)) % len(alphabet)] for j in range(k % 13 + 1)) for k in range(200)}
+    labels = ["xn--" + w.encode("punycode").decode() for w in words if not w.isascii()]
+    labels += ["xn--99999999999999999999999999999999999", "xn--zzzzzzzzzzz", "xn--abc!", "abc", "", "xn--80ak6aa92e"]
+    spark.createDataFrame([(x,) for x in labels], "label string").createOrReplaceTempView("fixture_labels")
+    for r in spark.sql(f"SELECT label, {punycode.decoded(Spark(), 'label')} AS decoded FROM fixture_labels").collect():
+        assert r["decoded"] == unicode.decode_label(r["label"])
