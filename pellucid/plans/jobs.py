@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pellucid.functions import unicode
 from pellucid.functions.dialect import Spark
 from pellucid.operators.links import hosts
+from pellucid.operators.requests import normalized
 from pellucid.sources import html
 from pellucid.sources.seeds import seeded_docs, seeded_requests
 from pellucid.streaming import requests
@@ -46,19 +47,28 @@ def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _sql(spark, sf_dir, f"SELECT seq, request_id AS sender, now_ms FROM {seeded_requests(Spark())} e", "events")
-    return requests.rate_limited(log.withColumn("sender", F.col("sender") % 100))
+    return requests.rate_limited(_sql(spark, sf_dir, f"SELECT seq, request_id AS sender, now_ms FROM {seeded_requests(Spark())} e", "events"))
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where all run on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="pellucid-")
+    return root.rstrip("/")
 
 
 def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request table replayed as a stream; finished requests are appended to a table and read back."""
-    path = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.rsplit("/", 1)[0] + "/events.parquet*")
-    view = "request_stream_events"
+    run = uuid.uuid4().hex
+    # a pattern that the table's own name alone meets: the source takes folders or patterns
+    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]")
+    view, out = f"request_stream_{run}", f"{_shared_folder(spark)}/request-stream-{run}"
     events.createOrReplaceTempView(view)
-    rows = spark.sql(f"SELECT session, request_id, seq, kind FROM {seeded_requests(Spark()).replace('FROM events', f'FROM {view}')} e WHERE frame_id = 0 AND tab_id = 1 AND type IN ('xmlhttprequest', 'image')")
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pellucid-")
-    out = f"{root.rstrip('/')}/request-stream-{uuid.uuid4().hex}"
+    rows = spark.sql(f"WITH events AS (SELECT * FROM {view}) SELECT * FROM {normalized(Spark())} n")
+    spark.catalog.dropTempView(view)
     query = requests.assemble(rows).writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(requests.OBSERVED).parquet(f"{out}/table")

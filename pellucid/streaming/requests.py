@@ -1,11 +1,12 @@
 """The request stream: sessions' requests assembled in keyed state (A02, A10), and a rate limiter.
 
-State is one small record for each open request and ends with it or with the timeout; batch queries over
-the same events (:mod:`pellucid.operators.requests`) give the same observations.
+State is one small record for each request, which goes when nothing has come for it for a while; batch queries
+over the same events (:mod:`pellucid.operators.requests`) give the same observations.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,55 +16,77 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MOST_REDIRECTS = 8
 LIMIT, WINDOW_MS = 20, 10_000
+IDLE_MS = 86_400_000
 
-OBSERVED = "session long, request_id long, end_seq long, completed boolean, redirect_count long"
-_STATE = "begun boolean, done boolean, redirects long"
+EVENT = ("session", "request_id", "seq", "kind", "type", "norm_method", "norm_status", "mime_state", "mime", "now_ms")
+OBSERVED = (
+    "session long, request_id long, end_seq long, resource_type string, method string, response_status int, declared_mime_state string, declared_mime string, "
+    "completed boolean, network_error boolean, redirected boolean, redirect_count long"
+)
+_STATE = "begun boolean, done boolean, redirects long, type string, method string, status int, mime_state string, mime string"
+_NEW = (False, False, 0, None, None, None, "missing", None)
 
 
-def assemble(events: DataFrame) -> DataFrame:
-    """One row per finished request of a stream (session, request_id, seq, kind).
+def assemble(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """One observation per finished request of a stream of normalised events (the columns of EVENT).
 
-    Events before a request's begin, and after its end, don't count; more than eight redirects drop it.
-    Within a batch events are taken in the order of ``seq``.
+    Events before a request's begin, and after its end, don't count; a redirect makes its headers void; more than
+    eight redirects drop it. Within a batch events are taken in the order of ``seq``. A request, finished or not,
+    is forgotten once the watermark, ``idle_ms`` behind the latest event, is as far beyond its own last event: state
+    stays in proportion to what comes within that time. The default is a day, as long as a session lasts.
     """
+    columns = [c.split()[0] for c in OBSERVED.split(", ")]
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        begun, done, redirects = state.get if state.exists else (False, False, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        begun, done, redirects, kind, method, status, mime_state, mime = state.get if state.exists else _NEW
         out = []
-        for _, e in pd.concat(list(frames)).sort_values("seq").iterrows():
+        rows = pd.concat(list(frames)).sort_values("seq")
+        last = int(rows["now_ms"].max())
+        for e in rows.itertuples(index=False):
             if done:
-                continue
-            if e["kind"] == "begin" and not begun:
-                begun = True
-            elif begun and e["kind"] == "redirect":
-                redirects += 1
-            elif begun and e["kind"] in ("completed", "error"):
+                break
+            if not begun:
+                if e.kind == "begin":
+                    begun, kind, method = True, e.type, e.norm_method
+            elif e.kind == "redirect":
+                redirects, status, mime_state, mime = redirects + 1, None, "missing", None
+            elif e.kind == "headers":
+                status, mime_state, mime = (None if pd.isna(e.norm_status) else int(e.norm_status)), e.mime_state, e.mime
+            elif e.kind in ("completed", "error"):
                 done = True
                 if redirects <= MOST_REDIRECTS:
-                    out.append((key[0], key[1], e["seq"], e["kind"] == "completed", redirects))
-        state.update((begun, done, redirects))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OBSERVED.split(", ")])
+                    out.append((*key, e.seq, kind, method, status, mime_state, mime, e.kind == "completed", e.kind == "error", redirects > 0, redirects))
+        state.update((begun, done, redirects, kind, method, status, mime_state, mime))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
+        made = pd.DataFrame(out, columns=columns)
+        yield made.assign(response_status=made["response_status"].astype("Int32"))
 
-    keyed = events.select("session", "request_id", "seq", "kind").groupBy("session", "request_id")
-    return keyed.applyInPandasWithState(step, OBSERVED, _STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = events.select(*EVENT, F.timestamp_millis("now_ms").alias("at")).withWatermark("at", f"{idle_ms} milliseconds")
+    keyed = timed.groupBy("session", "request_id")
+    return keyed.applyInPandasWithState(step, OBSERVED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_limited(log: DataFrame) -> DataFrame:
     """Requests (seq, sender, now_ms) with ``allowed``: at most LIMIT accepted in WINDOW_MS per sender.
 
-    A rejected request isn't counted, so each depends on those before it: a fold per sender, in order.
+    A rejected request isn't counted, so each depends on those before it: senders' requests pass in order through
+    a fold that holds a sender's last LIMIT accepted times only, however many requests it has.
     """
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["now_ms", "seq"])
-        recent: list[int] = []
-        allowed = []
-        for now in frame["now_ms"]:
-            recent = [t for t in recent if t > now - WINDOW_MS]
-            allowed.append(len(recent) < LIMIT)
-            if allowed[-1]:
-                recent.append(now)
-        return frame.assign(allowed=allowed)
-
-    rows = log.select(F.col("seq").cast("long"), F.col("sender").cast("long"), F.col("now_ms").cast("long"))
-    return rows.groupBy("sender").applyInPandas(fold, "seq long, sender long, now_ms long, allowed boolean")
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, accepted = None, deque(maxlen=LIMIT)
+        for frame in frames:
+            allowed = []
+            for sender, now in zip(frame["sender"].tolist(), frame["now_ms"].tolist()):
+                if sender != of:
+                    of, accepted = sender, deque(maxlen=LIMIT)
+                allowed.append(len(accepted) < LIMIT or accepted[0] <= now - WINDOW_MS)
+                if allowed[-1]:
+                    accepted.append(now)
+            yield frame.assign(allowed=allowed)
+
+    rows = log.select(F.col("seq").cast("long"), F.col("sender").cast("long"), F.col("now_ms").cast("long")).where("sender IS NOT NULL AND now_ms IS NOT NULL")
+    return rows.repartition("sender").sortWithinPartitions("sender", "now_ms", "seq").mapInPandas(fold, "seq long, sender long, now_ms long, allowed boolean")
