@@ -132,11 +132,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("first"), F.col("block") * block)
     parts = parts.select("source", "block", "first", words.alias("words"))
     u = uses.select(F.col("source").alias("s"), F.col("block").alias("b"), "uses")
-    met = parts.join(u, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    # both sides of these joins grow with the table: neither may be broadcast, however few bytes its exchange takes
+    met = parts.hint("merge").join(u.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     # a row's first word is its name within its source, if it has words
     taken = met.groupBy("source", "first").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     taken = taken.select(F.col("source").alias("s"), F.col("first").alias("f"), "taken")
-    out = rows.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("first") == F.col("f")) & (F.col("size") > 0), "left")
+    out = rows.hint("merge").join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("first") == F.col("f")) & (F.col("size") > 0), "left")
     t = broadcast_if_small(targets.select(F.col("source").alias("r"), "source_size", "target"))
     out = out.drop("s").join(t, F.col("source").eqNullSafe(F.col("r")))
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
