@@ -165,7 +165,9 @@ def _matrix(column) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-def _route(router, probes: int):
+def _route(router, probes: int, sizes: np.ndarray | None = None, least: int = 0):
+    """Adds the most probable partitions: ``probes`` of them, and more where those hold fewer than ``least`` candidates."""
+
     def run(batches):
         r = router.value
         for batch in batches:
@@ -173,8 +175,13 @@ def _route(router, probes: int):
                 continue
             logits = r.logits(_unit(_matrix(batch.column("v"))))
             n = min(probes, logits.shape[1])
-            top = np.argsort(-logits, axis=1, kind="stable")[:, :n].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(top.tolist(), pa.list_(pa.int32()))], names=[*batch.schema.names, "parts"])
+            order = np.argsort(-logits, axis=1, kind="stable").astype(np.int32)
+            if sizes is None:
+                top = order[:, :n].tolist()
+            else:
+                enough = (np.cumsum(sizes[order], axis=1) < least).sum(axis=1) + 1
+                top = [row[: max(n, m)] for row, m in zip(order.tolist(), enough.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(top, pa.list_(pa.int32()))], names=[*batch.schema.names, "parts"])
 
     return run
 
@@ -226,7 +233,8 @@ def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str =
     or hold a null or non-finite component, and rows with a null id, take no part; of vectors of several
     lengths, those of the most frequent length (of equals the least) do. Of rows that repeat an id the
     one of the least vector does. Other columns are ignored; an empty table gives an empty result. The
-    index is approximate only in which partitions a query visits.
+    index is approximate only in which partitions a query visits; it visits further ones, in the router's order,
+    until they hold ``k`` candidates.
     """
     spark = vectors.sparkSession
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
@@ -252,11 +260,16 @@ def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5, id_col: str =
     schema = "ids array<long>, v array<double>, parts array<int>"
     index = distinct.select("ids", "v").mapInArrow(_route(routed, 1), schema)
     index = materialize(index.select("ids", "v", F.col("parts")[0].alias("part")))
-    queries = rows.where(F.col("id") % query_every == 0).select(F.array("id").alias("ids"), "v").mapInArrow(_route(routed, probes), schema)
-
-    blocks = {r["part"]: -(-r["count"] // BLOCK) for r in index.groupBy("part").count().collect()}
+    held = index.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("n_ids")).collect()
+    blocks = {r["part"]: -(-r["n"] // BLOCK) for r in held}
     if not blocks:
         return spark.createDataFrame([], empty)
+    sizes_of = np.zeros(parts, dtype=np.int64)
+    for r in held:
+        sizes_of[r["part"]] = r["n_ids"]
+    # k candidates and the query itself; all partitions where even they hold fewer
+    queries = rows.where(F.col("id") % query_every == 0).select(F.array("id").alias("ids"), "v").mapInArrow(_route(routed, probes, sizes_of, k + 1), schema)
+
     many = F.coalesce(F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])[F.col("part")], F.lit(0))
     index = index.withColumn("block", F.pmod(F.xxhash64("v"), many.cast("long")).cast("int")).withColumn("is_query", F.lit(False))
     # queries come in batches too, so that a partition with many of them is not one task's either

@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from pellucid.llm.bpe import PieceEncoder
 from pellucid.llm.common import materialize
 from pellucid.llm.cutting_stock import packing_patterns, width_classes
+from pellucid.llm.word_ids import encode_texts
 
 CAPACITY = 4096
 #: One remainder in so many is held back to be cut.
 POOL = 16
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 1000
 #: Pool documents and open places are joined by stretches of so many positions on one line.
 STRETCH = 256
 #: Sequences that are numbered together.
@@ -38,19 +39,20 @@ _ENCODED = [
 _DDL = "row long, task int, id long, doc_tokens long, chunks array<long>, chunk_first long, rest int, rest_crc long, width int, rank long, pool_first long, pool_ids binary"
 
 
-def _encode(path: str, end_id: int, capacity: int, pool: int, drops_space: bool):
+def _encode(path: str, end_id: int, capacity: int, pool: int):
     """Ids of each text, as checksums: of its full sequences and of its remainder; places are counted within the task."""
     widths = width_classes(capacity)
 
     def run(batches):
-        encoder, end = PieceEncoder.of(path, drops_space), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = PieceEncoder.of(path, drops_space=True), np.array([end_id], dtype="<u4").tobytes()
         task, rows, chunks, pooled = TaskContext.get().partitionId(), 0, 0, 0
         ranks = [0] * len(widths)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part, out = batch.slice(at, TEXTS_AT_ONCE), []
-                for key, ids in zip(part.column("id").to_pylist(), encoder.encode_all([t or "" for t in part.column("text").to_pylist()]), strict=True):
-                    ids += end
+                every, edges = encode_texts(encoder, part.column("text"))
+                for key, begin, behind in zip(part.column("id").to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    ids = every[begin:behind].tobytes() + end
                     n = len(ids) // 4
                     full, rest = divmod(n, capacity)
                     sums = [zlib.crc32(ids[4 * capacity * k : 4 * capacity * (k + 1)]) for k in range(full)]
@@ -116,17 +118,17 @@ def _stretches(df: DataFrame) -> DataFrame:
     return df.where("hi > lo").withColumn("stretch", F.explode(F.sequence(F.expr(f"lo div {STRETCH}"), F.expr(f"(hi - 1) div {STRETCH}"))))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", pool: int = POOL, drops_space: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", pool: int = POOL) -> DataFrame:
     """One row per piece: id, ``start`` in its document, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
-    Each document's ids end with ``end_id``; a missing text has this id alone. A piece longer than no sequence lies
+    The vocabulary is one whose words white space parts. Each document's ids end with ``end_id``; a missing text has this id alone. A piece longer than no sequence lies
     at its offset in one; sequences have no gaps and hold at most ``capacity`` ids (a power of two). Full sequences come
     from long texts, of any length; repeated rows and null ids are packed like others; other columns, whatever their
     names, are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    encoded = materialize(rows.mapInArrow(_encode(tokenizer_path, end_id, capacity, pool, drops_space), _DDL))
+    encoded = materialize(rows.mapInArrow(_encode(tokenizer_path, end_id, capacity, pool), _DDL))
 
     # the patterns, from the histogram of widths, and each document's place in them
     by_task = encoded.where("width IS NOT NULL").groupBy("width", "task").agg(F.count(F.lit(1)).alias("n"))

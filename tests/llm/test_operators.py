@@ -375,3 +375,16 @@ def test_sharding(table, request):
 
 def test_all_ten_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_every_query_gets_k_neighbours(spark, seed):
+    """Three queries point away from all others, whose partitions hold too few candidates for them."""
+    rng = np.random.default_rng(seed)
+    away = {50, 100, 150}
+    rows = [(k, (rng.normal(size=8) * 0.02 + (-1 if k in away else 1)).tolist(), "x") for k in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, ids string")
+    found = ann.nearest(frame).groupBy("query_id").count().collect()
+    assert len(found) == 8 and {r["count"] for r in found} == {5}
+    few = ann.nearest(frame.where("vec_id IN (0, 50, 60, 70)")).groupBy("query_id").count().collect()
+    assert len(few) == 2 and {r["count"] for r in few} == {3}

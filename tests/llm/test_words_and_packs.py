@@ -261,3 +261,21 @@ def test_copies_across_ranges_and_tasks(spark, labels):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got == _expected_audit(rows, labels.collect())
+
+
+def test_ids_by_distinct_words(ids_of):
+    import pyarrow as pa
+
+    from pellucid.llm.bpe import PieceEncoder
+    from pellucid.llm.word_ids import encode_texts
+
+    rng = random.Random(1)
+    texts = [None, "", "  ", " a  b\n\nc ", "don't 'S I'll x's", "é日本  <|endoftext|>x\x1cy", "A" * 100 + " b" + "!" * 60, "Ça va? été!!! -- a_b 12,3   x﻿", "a b c\u0085d e", LOREM.upper()]
+    texts += ["".join(rng.choice("abéÉ ,.!'’\n12日́ 　\x1d\t\x0b") for _ in range(rng.randint(0, 40))) for _ in range(1000)]
+    encoder = PieceEncoder(vocabulary("word_bpe_49k.json"), True)
+    for at in range(0, len(texts), 300):
+        part = texts[at : at + 300]
+        flat, edges = encode_texts(encoder, pa.array(part, pa.string()))
+        for k, t in enumerate(part):
+            assert flat[edges[k] : edges[k + 1]].tolist() == ids_of(t or "")[:-1]
+    assert encode_texts(encoder, pa.array([], pa.string()))[1].tolist() == [0]
