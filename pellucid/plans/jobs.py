@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from pellucid.functions import unicode
 from pellucid.functions.dialect import Spark
+from pellucid.operators import evidence, literals
 from pellucid.operators.links import hosts
 from pellucid.operators.requests import normalized
-from pellucid.sources import html
-from pellucid.sources.seeds import seeded_docs, seeded_requests
+from pellucid.operators.splitting import regions
+from pellucid.sources import dom, html
+from pellucid.sources.seeds import LITERAL_SEEDS, seeded_docs, seeded_requests
 from pellucid.streaming import requests
 
 
@@ -74,6 +76,67 @@ def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(requests.OBSERVED).parquet(f"{out}/table")
 
 
+def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _sql(spark, sf_dir, f"SELECT doc_id, text FROM {seeded_docs(Spark())} s", "documents")
+    return evidence.segments(docs, ["doc_id"]).select("doc_id", F.col("segment").cast("long").alias("segment"), "start", "stop")
+
+
+def segment_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _sql(spark, sf_dir, f"SELECT doc_id, text FROM {seeded_docs(Spark())} s", "documents")
+    return evidence.segment_evidence(docs, ["doc_id"])
+
+
+def signal_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the required signals of rules that hold in whole texts; a long text is segmented, so its places are unreliable."""
+    docs = _sql(spark, sf_dir, f"SELECT doc_id, text, length(text) <= 4096 AS whole FROM {seeded_docs(Spark())} s", "documents")
+    rows = evidence.rule_evidence(docs, ["doc_id", "whole"])
+    return rows.select("doc_id", "rule_id", (F.col("reliable") & F.col("whole")).alias("reliable"), F.explode("signals").alias("s")).select("doc_id", "rule_id", "reliable", "s.signal_id", "s.start", "s.stop")
+
+
+def split_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.split_decisions(_sql(spark, sf_dir, f"SELECT * FROM {regions(Spark())} r", "conversations"))
+
+
+def _literals(spark: SparkSession, sf_dir: str) -> list[literals.Literal]:
+    """A catalogue of some fixed items and the first three words of benchmark passages, as far as a catalogue goes."""
+    passages = _sql(spark, sf_dir, "SELECT item_id, array_join(slice(split(text, ' '), 1, 3), ' ') AS source FROM benchmark WHERE text IS NOT NULL", "benchmark")
+    rows = passages.orderBy("item_id").limit(2 * literals.MOST_LITERALS).collect()
+    return literals.prepare_literals([*LITERAL_SEEDS, *((f"b{r['item_id']}", r["source"], True, "literal") for r in rows)])
+
+
+def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _sql(spark, sf_dir, f"SELECT doc_id, in_code OR in_quote AS mitigated, text FROM {seeded_docs(Spark())} s", "documents")
+    return evidence.segments(docs, ["doc_id", "mitigated"]).select("doc_id", "mitigated", F.col("segment").cast("long").alias("segment"), "text")
+
+
+def literals_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literals.literal_matches(_segmented(spark, sf_dir), ["doc_id", "segment"], _literals(spark, sf_dir)).select("doc_id", "segment", "literal_id", "place")
+
+
+def literal_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches kept of each segment under a cap of two, and whether there were more."""
+    found = literals.literal_matches(_segmented(spark, sf_dir), ["doc_id", "segment"], _literals(spark, sf_dir))
+    return found.where("place <= 2").groupBy("doc_id", "segment").agg(F.count(F.lit(1)).alias("kept"), F.max(F.col("n_found") > 2).alias("partial"))
+
+
+def literal_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literals.folded_groups(_segmented(spark, sf_dir), ["doc_id", "segment"], _literals(spark, sf_dir))
+
+
+def owned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dom.phrase_candidates(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "node_id", "tag", "kind", "source", "code", "quote", F.length("text").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def split_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dom.split_candidates(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.withColumn("chars", F.length("text")).withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
+def link_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.captions(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "s03_normalize": normalize,
     "s05_word_breaks": word_breaks,
@@ -82,4 +145,14 @@ QUERIES = {
     "t03_page_candidates": page_candidates,
     "g10_rate_limit": rate_limit,
     "a02_request_stream": request_stream,
+    "t08_segments": text_segments,
+    "t08_segment_findings": segment_findings,
+    "s24_signal_places": signal_places,
+    "t04_owned_texts": owned_texts,
+    "p02_split_fragments": split_fragments,
+    "l02_link_captions": link_captions,
+    "p14_contributions": split_contributions,
+    "s09_literals": literals_found,
+    "s22_literal_cap_kept": literal_caps,
+    "s19_literal_groups": literal_groups,
 }

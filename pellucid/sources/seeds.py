@@ -27,6 +27,14 @@ def seeded_docs(d: Spark) -> str:
         FROM documents s LEFT JOIN {values('residue, phrase', DOC_SEEDS, d)} p ON s.doc_id % 17 = p.residue)"""
 
 
+#: Literals of a user: id, source, enabled, mode.
+LITERAL_SEEDS = [
+    ("u1", "system prompt", True, "literal"), ("u2", "ignore previous instructions", True, "literal"), ("u3", "previous instructions", True, "literal"), ("u4", "(", True, "literal"),
+    ("u5", "api key.", True, "literal"), ("u6", "it", True, "literal"), ("u7", "системный промпт", True, "literal"), ("u8", "Reveal the  System prompt", True, "literal"),
+    ("u9", "system prompt", True, "literal"), ("u10", "us", False, "literal"), ("u11", "data.*", True, "regex"), ("u12", "c d", True, "literal"), ("u13", "action.", True, "literal"), ("u14", "?", True, "literal"),
+]
+
+
 LINK_SEEDS = [
     (1, "javascript:void(0)", "click"), (2, "https://other.example/x?url=https%3A%2F%2Fevil.example%2Fa", "offer"),
     (3, "/go?next=www.evil-site.com", "next"), (4, "/go?target=aHR0cHM6Ly9ldmlsLmlvL2xvbmc", "go"),
