@@ -160,7 +160,7 @@ class Duck(Spark):
         return f"({array})[-1]"
 
     def millis(self, e: str) -> str:
-        return f"epoch_ms({e})"
+        return f"(epoch_us({e}) // 1000)"
 
     def day(self, e: str) -> str:
         return f"CAST(date_diff('day', DATE '1970-01-01', CAST({e} AS DATE)) AS BIGINT)"

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import ahocorasick
 import regex
 
-from pellucid.functions.unicode import normalize_text
+from pellucid.functions.unicode import collapsed, normalize_text
 
 # Characters that hide in a text, and those that make up words.
 INVISIBLE, BIDI, JOIN = "­​⁠﻿", "؜‎‏‪-‮⁦-⁩", "‌‍"
@@ -55,7 +55,7 @@ def mapping_reliable(text: str) -> bool:
     """Whether places in the normalised text are places in the text: same words, nothing hidden, no compatibility forms."""
     if _HIDDEN.search(text):
         return False
-    whole = unicodedata.normalize("NFC", normalize_text(text, lower=False))
+    whole = unicodedata.normalize("NFC", collapsed(text))
     if unicodedata.normalize("NFKC", whole) != whole:
         return False
     own = [unicodedata.normalize("NFKC", t.lower()) for t in TOKEN.findall(text)]

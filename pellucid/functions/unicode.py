@@ -14,9 +14,14 @@ _BREAK = regex.compile(r"\b", flags=regex.WORD)
 _WORDLIKE = regex.compile(r"[\p{L}\p{N}\p{Extended_Pictographic}]")
 
 
+def collapsed(text: str | None) -> str:
+    """White-space runs as one space, ends trimmed."""
+    return _SPACE.sub(" ", text or "").strip()
+
+
 def normalize_text(text: str | None, lower: bool = True) -> str:
     """White-space runs become one space, ends are trimmed, then NFC, NFKC and lower case."""
-    text = _SPACE.sub(" ", text or "").strip()
+    text = collapsed(text)
     text = unicodedata.normalize("NFKC", unicodedata.normalize("NFC", text))
     return text.lower() if lower else text
 

@@ -82,7 +82,7 @@ def phrase_places(texts: DataFrame, keys: list[str], phrases: list[str], text_co
 def rule_evidence(texts: DataFrame, keys: list[str], text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
     """The keys with each rule that holds: all required signals, no forbidden one.
 
-    ``signals`` lists the required ones with the place of the first alternative, in the catalogue's order, that occurs,
+    The keys may hold arrays. ``signals`` lists the required ones with the place of the first alternative, in the catalogue's order, that occurs,
     at its first occurrence; ``reliable`` tells whether these places may be mapped to what the text was made of.
     """
     names, asked = phrase_table(texts.sparkSession, rules)
@@ -109,26 +109,22 @@ def segment_evidence(docs: DataFrame, keys: list[str], text_col: str = "text") -
     return places.groupBy(*keys, "rule_id").agg(F.countDistinct("segment").alias("n_segments"), F.countDistinct("signal_id", "start").alias("n_places"), F.min("start").alias("first"))
 
 
-def contributions(evidence: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Evidence mapped to the fragments it overlaps; ``spans``: keys, ``candidate``, ``fragment``, ``lo``, ``hi`` in the same text.
+def contributions(evidence: DataFrame) -> DataFrame:
+    """Evidence mapped to the fragments it overlaps; its rows carry ``spans``, each with ``candidate``, ``fragment``, ``lo`` and ``hi``.
 
     A rule is ``mapped`` if its places are reliable, each required signal overlaps a fragment, and no more than four
-    candidates and four fragments take part; the counts are zero otherwise. ``split_signal``: a signal lies
-    across candidates.
+    candidates (``contributing``) and four fragments take part; the counts are zero otherwise. ``split_signal``: a signal lies
+    across candidates. Signals and fragments of one text are few, so they meet in its row.
     """
-    signals = evidence.select(*keys, "rule_id", F.explode("signals").alias("s"))
-    on = [signals[k] == spans[k] for k in keys] + [F.col("s.start") < F.col("hi"), F.col("s.stop") > F.col("lo")]
-    met = signals.join(spans, on).select(*(signals[k] for k in keys), "rule_id", "s.signal_id", "candidate", "fragment")
-    by_signal = met.groupBy(*keys, "rule_id", "signal_id").agg(F.collect_set("candidate").alias("candidates"), F.collect_set("fragment").alias("fragments"))
-    joined = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))  # noqa: E731  no more than a window's fragments
-    by_rule = by_signal.groupBy(*keys, "rule_id").agg(
-        F.count(F.lit(1)).alias("n_met"), F.size(joined("candidates")).alias("n_candidates"), F.size(joined("fragments")).alias("n_fragments"), F.max((F.size("candidates") > 1).cast("int")).alias("split")
-    )
-    rows = evidence.join(by_rule, [*keys, "rule_id"], "left")
-    mapped = F.col("reliable") & (F.coalesce("n_met", F.lit(0)) == F.size("signals")) & (F.col("n_candidates") <= MOST_CANDIDATES) & (F.col("n_fragments") <= MOST_FRAGMENTS)
-    mapped = F.coalesce(mapped, F.lit(False))
-    held = lambda c: F.when(mapped, F.col(c)).otherwise(0).cast("long")
-    return rows.select(*keys, "rule_id", "action_group", mapped.alias("mapped"), held("n_candidates").alias("n_candidates"), held("n_fragments").alias("n_fragments"), (held("split") == 1).alias("split_signal"))
+    met = "filter(spans, s -> g.start < s.hi AND g.stop > s.lo)"
+    rows = evidence.withColumn("met", F.expr(f"transform(signals, g -> struct(array_distinct({met}.candidate) AS candidates, array_distinct({met}.fragment) AS fragments))"))
+    rows = rows.withColumn("contributing", F.array_sort(F.array_distinct(F.flatten("met.candidates"))))
+    rows = rows.withColumns({"all_candidates": F.size("contributing"), "all_fragments": F.size(F.array_distinct(F.flatten("met.fragments")))})
+    within = (F.col("all_candidates") <= MOST_CANDIDATES) & (F.col("all_fragments") <= MOST_FRAGMENTS)
+    rows = rows.withColumn("mapped", F.col("reliable") & within & F.forall("met", lambda m: F.size(m["candidates"]) > 0))
+    held = lambda c: F.when(F.col("mapped"), F.col(c)).otherwise(0).cast("long")
+    rows = rows.withColumns({"n_candidates": held("all_candidates"), "n_fragments": held("all_fragments"), "split_signal": F.col("mapped") & F.exists("met", lambda m: F.size(m["candidates"]) > 1)})
+    return rows.drop("met", "all_candidates", "all_fragments")
 
 
 def reassembled(regions: DataFrame, longest: int = 4_096, per_region: int = 48) -> DataFrame:
@@ -157,7 +153,7 @@ def reassembled(regions: DataFrame, longest: int = 4_096, per_region: int = 48)
     ends = F.expr("transform(sequence(1, size), i -> aggregate(slice(separators, 1, i), 0, (n, s) -> n + length(s)) + aggregate(slice(texts, 1, i), 0, (n, t) -> n + length(t)))")
     rows = rows.withColumn("ends", ends)
     spans = F.expr("transform(sequence(0, size - 1), i -> struct(parts[i].turn AS candidate, parts[i].turn AS fragment, ends[i] - length(texts[i]) AS lo, ends[i] AS hi))")
-    return rows.select(*key, "path", "text", "parts", spans.alias("spans"))
+    return rows.select(*key, "path", "text", spans.alias("spans"), F.col("parts")[F.col("size") - 1]["turn"].alias("last_turn"))
 
 
 # How sure a decision is.
@@ -171,23 +167,19 @@ def split_decisions(regions: DataFrame) -> DataFrame:
     With the mapping to fragments (P14), whether a fragment alone holds the same group (P15), the confidence
     (P16) and whether the decision counts at the usual policy (P17).
     """
-    windows = reassembled(regions)
-    key = ["conv_id", "run", "chunk", "turn", "source_type", "size", "path"]
-    found = rule_evidence(windows, key).where("is_primary")
+    key = ["conv_id", "run", "chunk", "turn", "last_turn", "source_type", "size", "path"]
+    found = rule_evidence(reassembled(regions), [*key, "spans"]).where("is_primary")
     first = Window.partitionBy(*key, "action_group").orderBy("ord")
-    found = found.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
-    spans = windows.select(*key, F.explode("spans").alias("s")).select(*key, "s.*")
-    mapped = contributions(found, spans, key)
-    alone = rule_evidence(regions, ["conv_id", "run", "chunk", "turn"]).where("is_primary").select("conv_id", "run", "chunk", F.col("turn").alias("own_turn"), F.col("action_group").alias("own_group")).distinct()
-    last = windows.select(*key, F.col("parts")[F.col("size") - 1]["turn"].alias("last_turn"))
-    told = mapped.join(last, key)
-    on = [told[k] == alone[k] for k in ("conv_id", "run", "chunk")] + [F.col("own_group") == F.col("action_group"), F.col("own_turn").between(F.col("turn"), F.col("last_turn"))]
-    standalone = told.join(alone, on, "left_semi").select(*key, "action_group", F.lit(True).alias("standalone"))
-    rows = told.join(standalone, [*key, "action_group"], "left").withColumn("standalone", F.coalesce("standalone", F.lit(False)))
+    told = contributions(found.withColumn("nth", F.row_number().over(first)).where("nth = 1"))
+    alone = rule_evidence(regions, ["conv_id", "run", "chunk", "turn"]).where("is_primary")
+    alone = alone.select("conv_id", "run", "chunk", "action_group", F.col("turn").alias("own_turn"))
+    rows = told.join(alone, ["conv_id", "run", "chunk", "action_group"], "left")
+    inside = F.coalesce(F.col("own_turn").between(F.col("turn"), F.col("last_turn")), F.lit(False))
+    rows = rows.groupBy(*key, "spans", "rule_id", "ord", "action_group", "supporting", "mapped", "n_candidates", "contributing", "split_signal").agg(F.max(inside).alias("standalone"))
     text = F.col("source_type") == "text"
     confidence = F.when(~F.col("mapped") | F.col("standalone") | (F.col("n_candidates") < 2), INSUFFICIENT)
     confidence = confidence.when(~text | (F.col("path") == 3), WEAK).when((F.col("path") == 1) & (F.col("n_candidates") == F.col("size")) & (F.col("size") <= 3), STRONG).otherwise(MODERATE)
     rows = rows.withColumn("confidence", confidence.cast("long"))
-    return rows.select(
-        "conv_id", "turn", "size", "path", "rule_id", "mapped", "n_candidates", "split_signal", "standalone", "confidence", (text & (F.col("confidence") >= MODERATE)).alias("eligible"),
-    )
+    # complete primary constructions are strong evidence; of their impacts only one makes a high severity
+    severity = F.when(F.col("rule_id").startswith("sensitive-disclosure.") & F.array_contains("supporting", "external-transfer"), 3).otherwise(2)
+    return rows.withColumns({"severity": severity.cast("long"), "eligible": text & (F.col("confidence") >= MODERATE)}).drop("supporting")

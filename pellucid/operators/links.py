@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pellucid.functions import punycode
 from pellucid.functions.dialect import Spark
 from pellucid.sources.seeds import seeded_links
@@ -27,6 +29,9 @@ FILE_ENDINGS = "ai apk asp aspx avi bak bat bmp css csv dll dmg doc docx dtd eot
 WRAPPERS = ("()", "[]", "{}", '""', "''", "«»", "“”", "‘’")
 # End of the fixed values.
 
+#: Zones of countries: the two-letter codes of ISO 3166 that the time-zone database lists, and three that are in use besides.
+COUNTRIES = sorted({"eu", "su", "uk"} | {line[:2].lower() for line in resources.files("tzdata.zoneinfo").joinpath("iso3166.tab").read_text(encoding="utf-8").splitlines() if line and not line.startswith("#")})
+
 NOT_ASCII = r"[^\x00-\x7F]"
 LONGEST_TARGET, OPAQUE_CHARS, CAPTION_HOSTS, RING, DEDUPE_KEYS, WRAPPER_DEPTH = 8_192, 12, 8, 20, 5_000, 8
 
@@ -143,14 +148,13 @@ def captions(d: Spark) -> str:
 
 def caption_hosts(d: Spark) -> str:
     parts = d.slice(d.keep(d.split("caption", r"[\s,;]+"), "x LIKE '%.%'"), CAPTION_HOSTS)
-    zones = ", ".join(f"'{z}'" for z in ZONES.split())
+    zones = ", ".join(f"'{z}'" for z in [*ZONES.split(), *COUNTRIES])
     endings = ", ".join(f"'{z}'" for z in FILE_ENDINGS.split())
     bare = d.replace(d.replace("val", "^(https?:)?//"), "[/?#].*$")
     clean = d.replace(d.replace(d.replace(bare, r"^[(\x22'«“‘\[{]+"), r"[)\x22'»”’\]}.,;:!?]+$"), r"^www[.]")
     rows = f"(SELECT page_id, ord, scheme, host, raw_caption, pos, {clean} AS named FROM {d.unnest(captions(d), parts)} u)"
     tld = d.extract("named", "[.]([^.]+)$")
-    # any two ASCII letters are a country's zone
-    plausible = f"NOT ({tld} IN ({endings})) AND (({d.matches(tld, '^[a-z]{2}$')}) OR {tld} IN ({zones}))"
+    plausible = f"NOT ({tld} IN ({endings})) AND {tld} IN ({zones})"
     grammar = d.matches("named", r"^([\p{L}\p{N}]([\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?[.])+[\p{L}]{2,}$")
     return f"(SELECT r.*, {grammar} AS domain_like, {plausible} AS plausible_tld FROM {rows} r)"
 

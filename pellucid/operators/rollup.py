@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pellucid.functions.dialect import Spark, values
 from pellucid.operators import links, semantic, splitting, visual
+from pellucid.sources.seeds import seeded_snapshots
 
 PUBLISHED = 10
 _RANK = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
@@ -61,7 +62,18 @@ def _network(d: Spark) -> str:
     return f"SELECT page_id, ord, id AS rule_id, action FROM {hits} h WHERE k = 1"
 
 
+def _frames(d: Spark) -> str:
+    """What pages total if a frame's report replaces its last one, and if reports add up; late ones replace nothing."""
+    own = "PARTITION BY page_id, frame_id"
+    told = f"""(SELECT s.*, row_number() OVER ({own} ORDER BY now_ms DESC, seq DESC) AS newest,
+        now_ms < max(now_ms) OVER ({own} ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM {seeded_snapshots(d)} s)"""
+    latest = lambda e: f"sum(CASE WHEN newest = 1 THEN {e} ELSE 0 END)"
+    return f"""SELECT page_id, CAST({latest('1')} AS BIGINT) AS n_frames, CAST({latest('n')} AS BIGINT) AS replaced, CAST(sum(n) AS BIGINT) AS accumulated, CAST(sum(CASE WHEN late THEN 1 ELSE 0 END) AS BIGINT) AS late,
+        {latest('CASE WHEN partial THEN 1 ELSE 0 END')} > 0 AS partial, CASE WHEN {latest('n')} > 0 THEN 'issues' ELSE 'clean' END AS status FROM {told} t GROUP BY page_id"""
+
+
 QUERIES = {
+    "g03_frame_snapshots": _frames,
     "g01_module_counts": lambda d: f"SELECT module, CAST(count(*) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS occurrences FROM {findings(d)} f GROUP BY module",
     "g02_page_rollup": lambda d: f"SELECT p.*, CASE WHEN total > 0 THEN 'issues' ELSE 'clean' END AS status FROM {pages(d)} p",
     "g04_partial_modules": lambda d: f"SELECT page_id, {d.joined('module')} AS modules FROM {findings(d)} f GROUP BY page_id",

@@ -70,12 +70,20 @@ def assessments(d: Spark) -> str:
 
 def grouped(d: Spark) -> str:
     """One assessment per action group with a primary match; without any, one per supporting match."""
-    a = f"(SELECT a.*, max(CASE WHEN is_primary THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS any_primary FROM {assessments(d)} a)"
-    support = f"(SELECT doc_id AS sd, {d.joined('category')} AS support FROM {a} s WHERE NOT is_primary GROUP BY doc_id)"
-    primary = f"""(SELECT doc_id, action_group, min(rule_id) AS rule_id, max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS rank, count(*) AS n_rules
-        FROM {a} p WHERE is_primary GROUP BY doc_id, action_group)"""
-    return f"""(SELECT p.doc_id, p.action_group, p.rule_id, p.rank, CAST(p.n_rules AS BIGINT) AS n_rules, coalesce(s.support, '') AS support FROM {primary} p LEFT JOIN {support} s ON p.doc_id = s.sd
-        UNION ALL SELECT doc_id, action_group, rule_id, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END, CAST(1 AS BIGINT), '' FROM {a} q WHERE any_primary = 0)"""
+    rank = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
+    # groups of primary matches, and each supporting match by itself, told apart by their first key
+    groups = f"""(SELECT doc_id, is_primary, action_group, CASE WHEN is_primary THEN '' ELSE rule_id END AS own, min(rule_id) AS rule_id, max({rank}) AS rank, count(*) AS n_rules, min(category) AS category
+        FROM {assessments(d)} a GROUP BY doc_id, is_primary, action_group, CASE WHEN is_primary THEN '' ELSE rule_id END)"""
+    told = f"(SELECT g.*, max(CASE WHEN is_primary THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS any_primary, {_support(d)} AS support FROM {groups} g)"
+    return f"""(SELECT doc_id, action_group, rule_id, rank, CAST(n_rules AS BIGINT) AS n_rules, CASE WHEN is_primary THEN support ELSE '' END AS support FROM {told} t WHERE is_primary OR any_primary = 0)"""
+
+
+def _support(d: Spark) -> str:
+    """The categories of a text's supporting matches, as a window over it."""
+    category = "CASE WHEN NOT is_primary THEN category END"
+    if d.name == "spark":
+        return f"array_join(sort_array(collect_set({category}) OVER (PARTITION BY doc_id)), ',')"
+    return f"coalesce(array_to_string(list_sort(list_distinct(list_filter(list({category}) OVER (PARTITION BY doc_id), lambda x: x IS NOT NULL))), ','), '')"
 
 
 def findings(d: Spark) -> str:
@@ -152,7 +160,7 @@ QUERIES = {
     "s14_context_mitigation": lambda d: f"SELECT doc_id, rule_id, evidence, mitigation FROM {assessments(d)} a",
     "s15_severity": lambda d: f"SELECT doc_id, rule_id, severity FROM {assessments(d)} a",
     "s16_short_literal": lambda d: f"SELECT doc_id, literal_id, CASE WHEN short THEN 'low' ELSE 'medium' END AS severity FROM {custom_hits(d)} h",
-    "s17_sensitivity": lambda d: " UNION ALL ".join(f"SELECT '{k}' AS sensitivity, severity, CAST(count(*) AS BIGINT) AS n FROM {assessments(d)} a WHERE severity IN ({', '.join(repr(x) for x in v)}) GROUP BY severity" for k, v in SENSITIVITY.items()),
+    "s17_sensitivity": lambda d: f"SELECT s.sensitivity, s.severity, CAST(sum(a.n) AS BIGINT) AS n FROM (SELECT severity, count(*) AS n FROM {assessments(d)} x GROUP BY severity) a JOIN {values('sensitivity, severity', [(k, x) for k, v in SENSITIVITY.items() for x in v], d)} s ON a.severity = s.severity GROUP BY s.sensitivity, s.severity",
     "s18_grouping": lambda d: f"SELECT * FROM {grouped(d)} g",
     "s20_related_groups": _related,
     "s22_literal_cap": lambda d: f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n, count(*) > 2 AS partial FROM {custom_hits(d)} h GROUP BY doc_id",

@@ -26,12 +26,11 @@ def _lead(k: int) -> str:
 def windows(d: Spark) -> str:
     """Two to four consecutive fragments of one source in one region."""
     base = f"(SELECT conv_id, run, chunk, turn, source_type, text AS t0, {_lead(1)}, {_lead(2)}, {_lead(3)} FROM {regions(d)} r)"
-    sizes = " UNION ALL ".join(
-        f"SELECT conv_id, run, chunk, turn, source_type, {n} AS size, turn{n - 1} AS last_turn, t0, t1, {'t2' if n > 2 else 'NULL AS t2'}, {'t3' if n > 3 else 'NULL AS t3'} FROM {base} b WHERE t{n - 1} IS NOT NULL"
-        for n in (2, 3, 4)
-    )
+    sizes = d.unnest(base, d.array("2", "3", "4"), "CASE val WHEN 2 THEN t1 WHEN 3 THEN t2 ELSE t3 END IS NOT NULL")
+    sized = f"""(SELECT conv_id, run, chunk, turn, source_type, val AS size, CASE val WHEN 2 THEN turn1 WHEN 3 THEN turn2 ELSE turn3 END AS last_turn, t0, t1,
+        CASE WHEN val > 2 THEN t2 END AS t2, CASE WHEN val > 3 THEN t3 END AS t3 FROM {sizes} z)"""
     total = "length(t0) + length(t1) + coalesce(length(t2), 0) + coalesce(length(t3), 0)"
-    ranked = f"(SELECT w.*, row_number() OVER (PARTITION BY conv_id, run, chunk ORDER BY turn, size) AS k FROM ({sizes}) w WHERE {total} <= {LONGEST_WINDOW})"
+    ranked = f"(SELECT w.*, row_number() OVER (PARTITION BY conv_id, run, chunk ORDER BY turn, size) AS k FROM {sized} w WHERE {total} <= {LONGEST_WINDOW})"
     return f"(SELECT * FROM {ranked} r WHERE k <= {WINDOWS_PER_REGION})"
 
 
@@ -46,10 +45,9 @@ def variants(d: Spark) -> str:
     rest = "".join(f" || coalesce(({_separator(d, f't{k - 1}', f't{k}')}) || t{k}, '')" for k in (1, 2, 3))
     spaced = "trim(t0)" + "".join(f" || coalesce(' ' || trim(t{k}), '')" for k in (1, 2, 3))
     compact = "trim(t0)" + "".join(f" || coalesce(trim(t{k}), '')" for k in (1, 2, 3))
-    w = windows(d)
-    keep = "conv_id, turn, source_type, size, last_turn"
-    every = f"""(SELECT {keep}, 1 AS path, t0{rest} AS text FROM {w} a UNION ALL SELECT {keep}, 2, {spaced} FROM {w} b
-        UNION ALL SELECT {keep}, 3, {compact} FROM {w} c WHERE {d.matches('t0', r'[\p{L}\p{N}]$')} AND {d.matches('t1', r'^[\p{L}\p{N}]')})"""
+    word = f"{d.matches('t0', r'[\p{L}\p{N}]$')} AND {d.matches('t1', r'^[\p{L}\p{N}]')}"
+    paths = d.unnest(windows(d), d.array("1", "2", "3"), f"val < 3 OR ({word})")
+    every = f"""(SELECT conv_id, turn, source_type, size, last_turn, val AS path, CASE val WHEN 1 THEN t0{rest} WHEN 2 THEN {spaced} ELSE {compact} END AS text FROM {paths} a)"""
     return f"(SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY conv_id, turn, size, text ORDER BY path) AS rn FROM {every} e) x WHERE rn = 1)"
 
 
@@ -61,8 +59,13 @@ def _phrases(d: Spark) -> str:
 def _matches(d: Spark, table: str, key: str) -> str:
     """Primary rules that hold in a table's ``text``, by its key columns."""
     padded = f"(SELECT t.*, ' ' || {d.join_array(d.extract_all('lower(text)', TOKEN, 0))} || ' ' AS padded FROM {table} t)"
+    met = f"{padded} t JOIN {_phrases(d)} p ON contains(t.padded, ' ' || p.phrase || ' ')"
+    if d.name == "spark":  # only texts that have a phrase's first word are searched for it
+        firsts = sorted({tokens(p).split(" ")[0] for r in RULES if r.primary for kind in ("required", "forbidden") for _, ps in r.of(kind) for p in ps})
+        words = f"(SELECT {key}, padded, explode(array_intersect(split(padded, ' '), array({', '.join(map(d.text, firsts))}))) AS first FROM {padded} t)"
+        met = f"{words} w JOIN (SELECT p.*, split_part(phrase, ' ', 1) AS begins FROM {_phrases(d)} p) p ON w.first = p.begins AND contains(w.padded, ' ' || p.phrase || ' ')"
     hits = f"""(SELECT {key}, rule_id, action_group, n_required, count(DISTINCT CASE WHEN kind = 'required' THEN signal_id END) AS n_hit, sum(CASE WHEN kind = 'forbidden' THEN 1 ELSE 0 END) AS n_bad
-        FROM {padded} t JOIN {_phrases(d)} p ON contains(t.padded, ' ' || p.phrase || ' ') GROUP BY {key}, rule_id, action_group, n_required)"""
+        FROM {met} GROUP BY {key}, rule_id, action_group, n_required)"""
     return f"(SELECT {key}, rule_id, action_group FROM {hits} h WHERE n_hit = n_required AND n_bad = 0)"
 
 

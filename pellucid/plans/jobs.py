@@ -15,8 +15,8 @@ from pellucid.operators.links import hosts
 from pellucid.operators.requests import normalized
 from pellucid.operators.splitting import regions
 from pellucid.sources import dom, html
-from pellucid.sources.seeds import LITERAL_SEEDS, seeded_docs, seeded_requests
-from pellucid.streaming import requests
+from pellucid.sources.seeds import LITERAL_SEEDS, seeded_calls, seeded_docs, seeded_requests
+from pellucid.streaming import findings, requests
 
 
 def _sql(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
@@ -52,6 +52,10 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.rate_limited(_sql(spark, sf_dir, f"SELECT seq, request_id AS sender, now_ms FROM {seeded_requests(Spark())} e", "events"))
 
 
+def serving_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.gated(_sql(spark, sf_dir, f"SELECT * FROM {seeded_calls(Spark())} c", "events"), [0, 1, 2, 3, 4, 5])
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where all run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -93,10 +97,25 @@ def signal_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "rule_id", (F.col("reliable") & F.col("whole")).alias("reliable"), F.explode("signals").alias("s")).select("doc_id", "rule_id", "reliable", "s.signal_id", "s.start", "s.stop")
 
 
-def split_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.split_decisions(_sql(spark, sf_dir, f"SELECT * FROM {regions(Spark())} r", "conversations"))
 
 
+def split_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _decisions(spark, sf_dir)
+    return rows.select("conv_id", "turn", "size", "path", "rule_id", "mapped", "n_candidates", "split_signal", "standalone", "confidence", "eligible")
+
+
+def merged_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = findings.merge_decisions(_decisions(spark, sf_dir))
+    return rows.select("conv_id", "run", "chunk", "source_type", "action_group", "rule_id", "confidence", "severity", "path", F.array_join("candidates", ",").alias("candidates"), "n_decisions")
+
+
+def finding_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's findings committed whole, then a region anew, then more of them in part, then some candidates removed."""
+    return findings.revisions(findings.replayed(findings.merge_decisions(_decisions(spark, sf_dir))))
+
+
 def _literals(spark: SparkSession, sf_dir: str) -> list[literals.Literal]:
     """A catalogue of some fixed items and the first three words of benchmark passages, as far as a catalogue goes."""
     passages = _sql(spark, sf_dir, "SELECT item_id, array_join(slice(split(text, ' '), 1, 3), ' ') AS source FROM benchmark WHERE text IS NOT NULL", "benchmark")
@@ -144,6 +163,7 @@ QUERIES = {
     "t01_page_elements": page_elements,
     "t03_page_candidates": page_candidates,
     "g10_rate_limit": rate_limit,
+    "g09_serving_gates": serving_gates,
     "a02_request_stream": request_stream,
     "t08_segments": text_segments,
     "t08_segment_findings": segment_findings,
@@ -152,6 +172,8 @@ QUERIES = {
     "p02_split_fragments": split_fragments,
     "l02_link_captions": link_captions,
     "p14_contributions": split_contributions,
+    "p19_merged_decisions": merged_decisions,
+    "p20_finding_revisions": finding_revisions,
     "s09_literals": literals_found,
     "s22_literal_cap_kept": literal_caps,
     "s19_literal_groups": literal_groups,

@@ -6,7 +6,7 @@ from pellucid.functions.catalog import RULES, tokens
 from pellucid.functions.dialect import Duck, values
 from pellucid.operators.semantic import TOKEN
 from pellucid.operators.splitting import regions
-from pellucid.sources.seeds import LITERAL_SEEDS, seeded_docs
+from pellucid.sources.seeds import LITERAL_SEEDS, seeded_calls, seeded_docs, seeded_requests
 
 _D = Duck()
 
@@ -100,15 +100,34 @@ def _standalone() -> str:
     return found.replace("pd.*", "pd2.*")
 
 
-def _p14() -> str:
+def _decided() -> str:
+    """CTEs ending in ``e``: decisions of windows."""
     key = "conv_id, run, chunk, turn, source_type, size, path"
     return f"""{_split()} {_standalone()},
         own AS (SELECT DISTINCT conv_id, run, chunk, turn, action_group FROM ev2 WHERE is_primary),
         d AS (SELECT g.*, EXISTS (SELECT 1 FROM own o, w b WHERE {' AND '.join(f'g.{k} = b.{k}' for k in key.split(', '))} AND o.conv_id = g.conv_id AND o.run = g.run AND o.chunk = g.chunk
             AND o.action_group = g.action_group AND list_contains(list_transform(b.parts, lambda p: p.turn), o.turn)) AS standalone FROM good g),
         e AS (SELECT *, CASE WHEN mapped THEN n_all ELSE 0 END AS n_candidates, CASE WHEN NOT mapped OR standalone OR n_all < 2 THEN 0 WHEN source_type <> 'text' OR path = 3 THEN 1
-            WHEN path = 1 AND n_all = size AND size <= 3 THEN 3 ELSE 2 END AS confidence FROM d)
-        SELECT conv_id, turn, size, path, rule_id, mapped, n_candidates, mapped AND most > 1 AS split_signal, standalone, confidence, source_type = 'text' AND confidence >= 2 AS eligible FROM e"""
+            WHEN path = 1 AND n_all = size AND size <= 3 THEN 3 ELSE 2 END AS confidence FROM d)"""
+
+
+def _p14() -> str:
+    return f"""{_decided()} SELECT conv_id, turn, size, path, rule_id, mapped, n_candidates, mapped AND most > 1 AS split_signal, standalone, confidence, source_type = 'text' AND confidence >= 2 AS eligible FROM e"""
+
+
+def _p19() -> str:
+    """Windows are stretches of a region, so those that meet are islands: a new one begins beyond all that came before."""
+    group = "conv_id, run, chunk, source_type, action_group"
+    better = "confidence * 100 + CASE WHEN rule_id LIKE 'sensitive-disclosure.%' AND transfer THEN 30 ELSE 20 END + CASE path WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END"
+    return f"""{_decided()},
+        k AS (SELECT e.*, w.parts, list_max(list_transform(w.parts, lambda p: p.turn)) AS last_turn, EXISTS (SELECT 1 FROM one o WHERE o.conv_id = e.conv_id AND o.run = e.run AND o.chunk = e.chunk AND o.turn = e.turn
+            AND o.source_type = e.source_type AND o.size = e.size AND o.path = e.path AND o.rule_id = e.rule_id AND o.signal_id = 'external-transfer') AS transfer
+            FROM e JOIN w USING (conv_id, run, chunk, turn, source_type, size, path) WHERE e.source_type = 'text' AND e.confidence >= 2),
+        m AS (SELECT *, CASE WHEN turn > max(last_turn) OVER (PARTITION BY {group} ORDER BY turn, size, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM k),
+        n AS (SELECT *, sum(fresh) OVER (PARTITION BY {group} ORDER BY turn, size, path) AS island FROM m),
+        o2 AS (SELECT *, row_number() OVER (PARTITION BY {group}, island ORDER BY {better} DESC, turn, size, path) AS best FROM n),
+        c2 AS (SELECT {group}, island, array_to_string(list_sort(list_distinct(flatten(list(list_transform(parts, lambda p: p.turn))))), ',') AS candidates, count(*) AS n_decisions FROM o2 GROUP BY {group}, island)
+        SELECT {group}, rule_id, confidence, CASE WHEN rule_id LIKE 'sensitive-disclosure.%' AND transfer THEN 3 ELSE 2 END AS severity, path, candidates, n_decisions FROM o2 JOIN c2 USING ({group}, island) WHERE best = 1"""
 
 
 def _literals() -> str:
@@ -141,13 +160,31 @@ def _folded() -> str:
         SELECT doc_id, segment, action_group, coalesce(max(rule_id), action_group) AS rule_id, {_D.joined('literal_id')} AS literals, max(severity) AS severity FROM every GROUP BY doc_id, segment, action_group"""
 
 
+def _limited(rows: str) -> str:
+    """CTEs ending in ``walk``: calls of each sender one after the other, with the accepted ones of the last ten seconds."""
+    recent = "list_filter(w.times, lambda t: t > p.now_ms - 10000)"
+    return f"""asked AS (SELECT seq, sender, now_ms, row_number() OVER (PARTITION BY sender ORDER BY now_ms, seq) AS k FROM {rows} r),
+        walk AS (SELECT seq, sender, now_ms, k, true AS allowed, [now_ms] AS times FROM asked WHERE k = 1 UNION ALL
+            SELECT p.seq, p.sender, p.now_ms, p.k, len({recent}) < 20, CASE WHEN len({recent}) < 20 THEN list_append({recent}, p.now_ms) ELSE {recent} END FROM walk w JOIN asked p ON p.sender = w.sender AND p.k = w.k + 1)"""
+
+
+def _gates() -> str:
+    first = "CASE WHEN NOT sender IN (0, 1, 2, 3, 4, 5) THEN 'allowlist' WHEN from_page THEN 'page' WHEN action NOT IN ('hello', 'get-findings') THEN 'action' END"
+    return f"""WITH RECURSIVE calls AS (SELECT *, {first} AS gate FROM {seeded_calls(_D)} c), counted AS (SELECT * FROM calls WHERE gate IS NULL), {_limited('counted')}
+        SELECT c.seq, c.sender, c.action, coalesce(c.gate, CASE WHEN NOT w.allowed THEN 'rate' WHEN c.action = 'hello' THEN 'ok' WHEN NOT c.in_front THEN 'front' WHEN c.tab_id <> 1 THEN 'tab' ELSE 'ok' END) AS gate
+        FROM calls c LEFT JOIN walk w ON c.seq = w.seq"""
+
+
 ORACLES = {
     "t08_segments": f"WITH RECURSIVE {_segments()} SELECT doc_id, segment, start, stop FROM seg",
     "t08_segment_findings": f"""WITH RECURSIVE {_segments()}, src AS (SELECT doc_id, segment, start AS origin, substring(text, start + 1, stop - start) AS text FROM seg), {_evidence('src', 'doc_id, segment, origin')}
         SELECT doc_id, rule_id, count(DISTINCT segment) AS n_segments, count(DISTINCT signal_id || ':' || (start + origin)) AS n_places, CAST(min(start + origin) AS BIGINT) AS first FROM ev GROUP BY doc_id, rule_id""",
     "s24_signal_places": f"""WITH src AS (SELECT doc_id, text FROM {seeded_docs(_D)} q), {_evidence('src', 'doc_id')}
         SELECT e.doc_id, e.rule_id, e.signal_id, CAST(e.start AS BIGINT) AS start, CAST(e.stop AS BIGINT) AS stop, length(s.text) <= 4096 AND NOT regexp_matches(s.text, '{_HIDDEN}') AS reliable FROM ev e JOIN src s ON e.doc_id = s.doc_id""",
+    "g09_serving_gates": _gates(),
+    "g10_rate_limit": f"WITH RECURSIVE requests AS (SELECT seq, request_id AS sender, now_ms FROM {seeded_requests(_D)} q WHERE request_id IS NOT NULL AND now_ms IS NOT NULL), {_limited('requests')} SELECT seq, sender, now_ms, allowed FROM walk",
     "p14_contributions": _p14(),
+    "p19_merged_decisions": _p19(),
     "s09_literals": f"WITH RECURSIVE {_segments()}, {_literals()} SELECT doc_id, segment, literal_id, place FROM lh",
     "s22_literal_cap_kept": f"WITH RECURSIVE {_segments()}, {_literals()} SELECT doc_id, segment, least(count(*), 2) AS kept, count(*) > 2 AS partial FROM lh GROUP BY doc_id, segment",
     "s19_literal_groups": _folded(),

@@ -49,11 +49,21 @@ LINK_SEEDS = [
 BASE_SEEDS = [(1, "https://elsewhere.example/x/"), (2, "//cdn.example/"), (3, "/docs/")]
 
 
+def caption(d: Spark, anchor: str) -> str:
+    """The text between a link's tags, of at most 2,048 characters, with the common entities as characters."""
+    text = d.replace(d.extract(anchor, "^<a [^>]*>((?s:.*))$"), "<[^>]*>")
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{char}')"
+    return f"substr({text}, 1, 2048)"
+
+
 def seeded_links(d: Spark) -> str:
-    """Anchors of the pages in order, some with another target and caption, by page and place; some pages have a base element."""
-    anchors = d.unnest("(SELECT page_id, url, html FROM pages WHERE html IS NOT NULL)", d.extract_all("html", '<a [^>]*href="([^"]*)"', 1))
+    """Anchors of the pages in order, with their captions; some with another target and caption, by page and place; some pages have a base element."""
+    # up to the end tag, or the next link where there is none
+    anchors = d.unnest("(SELECT page_id, url, html FROM pages WHERE html IS NOT NULL)", d.extract_all("html", '<a [^>]*href="[^"]*"[^>]*>[^<]*(?:<(?:[^aA/]|/[^aA])[^<]*)*', 0))
     base = f"coalesce(b.base_href, {d.extract('a.html', '<base [^>]*href=.([^ >]*).[ >]')})"
-    return f"""(SELECT a.page_id, a.pos AS ord, a.url AS page_url, {base} AS base_href, coalesce(l.href, a.val) AS href, coalesce(l.caption, 'link') AS caption
+    href = d.extract("a.val", '^<a [^>]*href="([^"]*)"')
+    return f"""(SELECT a.page_id, a.pos AS ord, a.url AS page_url, {base} AS base_href, coalesce(l.href, {href}) AS href, coalesce(l.caption, {caption(d, 'a.val')}) AS caption
         FROM {anchors} a LEFT JOIN {values('residue, href, caption', LINK_SEEDS, d)} l ON (a.page_id * 7 + a.pos) % 19 = l.residue
         LEFT JOIN {values('residue, base_href', BASE_SEEDS, d)} b ON a.page_id % 13 = b.residue)"""
 
@@ -67,10 +77,9 @@ TURN_SEEDS = [
 
 def seeded_turns(d: Spark) -> str:
     """Turns of the conversations as candidates of one region each; some are replaced by split phrases."""
-    first = "(SELECT conv_id, min(turn) AS t0 FROM conversations GROUP BY conv_id)"
+    placed = "(SELECT x.*, min(turn) OVER (PARTITION BY conv_id) AS t0 FROM conversations x WHERE conv_id IS NOT NULL)"
     return f"""(SELECT c.conv_id, c.turn, c.role, coalesce(s.phrase, c.text) AS text, CASE WHEN c.turn % 6 = 5 THEN 'title' ELSE 'text' END AS source_type
-        FROM conversations c JOIN {first} f ON c.conv_id = f.conv_id
-        LEFT JOIN {values('residue, place, phrase', TURN_SEEDS, d)} s ON c.conv_id % 9 = s.residue AND c.turn - f.t0 = s.place
+        FROM {placed} c LEFT JOIN {values('residue, place, phrase', TURN_SEEDS, d)} s ON c.conv_id % 9 = s.residue AND c.turn - c.t0 = s.place
         WHERE c.text IS NOT NULL)"""
 
 
@@ -86,6 +95,19 @@ def seeded_requests(d: Spark) -> str:
         {d.millis('ts')} AS now_ms FROM events)"""
 
 
+def seeded_snapshots(d: Spark) -> str:
+    """Reports of frames in the order of arrival (``seq``), some of them older than what their frame has reported before."""
+    return f"""(SELECT event_id AS seq, user_id % 40 AS page_id, event_id % 3 AS frame_id, event_id % 4 AS n, event_id % 5 = 0 AS partial,
+        event_id * 100 - CASE WHEN event_id % 7 = 0 THEN 500000 ELSE 0 END AS now_ms FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL)"""
+
+
+def seeded_calls(d: Spark) -> str:
+    """Requests for findings: who asks, whether from a page, for what, which tab is named, and whether a page is in front."""
+    return """(SELECT event_id AS seq, user_id % 7 AS sender, event_id * 20 AS now_ms, event_id % 11 = 0 AS from_page,
+        CASE event_id % 5 WHEN 0 THEN 'hello' WHEN 4 THEN 'purge' ELSE 'get-findings' END AS action, CASE WHEN event_id % 17 = 0 THEN 2 WHEN event_id % 3 = 0 THEN 1 END AS tab_id, event_id % 13 <> 0 AS in_front
+        FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL)"""
+
+
 STYLE_SEEDS = [
     # residue, display, visibility, opacity, font_px, left, top, width, height, z, position, pointer, color, background
     (0, "none", "visible", 1.0, 16.0, 0.0, 0.0, 0.0, 0.0, 0, "static", True, 0, 255),

@@ -90,3 +90,21 @@ def rate_limited(log: DataFrame) -> DataFrame:
 
     rows = log.select(F.col("seq").cast("long"), F.col("sender").cast("long"), F.col("now_ms").cast("long")).where("sender IS NOT NULL AND now_ms IS NOT NULL")
     return rows.repartition("sender").sortWithinPartitions("sender", "now_ms", "seq").mapInPandas(fold, "seq long, sender long, now_ms long, allowed boolean")
+
+
+# What may be asked for.
+ACTIONS = ("hello", "get-findings")
+# End of the fixed values.
+
+
+def gated(calls: DataFrame, allowed: list[int]) -> DataFrame:
+    """Which gate ends each call, or ok (G09): allowlist, page, action, rate, front, tab, in this order.
+
+    Calls that an earlier gate refuses do not count for the rate limit; those refused behind it do. ``calls``: seq, sender,
+    now_ms, from_page, action, tab_id (null: none named), in_front; the tab in front is 1. Without a sender a call is not allowed.
+    """
+    first = F.when(~F.coalesce(F.col("sender").isin(allowed), F.lit(False)), "allowlist").when(F.col("from_page"), "page").when(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "action")
+    rows = calls.withColumn("gate", first)
+    counted = rate_limited(rows.where("gate IS NULL")).select("seq", "allowed")
+    late = F.when(~F.col("allowed"), "rate").when(F.col("action") == "hello", "ok").when(~F.col("in_front"), "front").when(F.coalesce(F.col("tab_id") != 1, F.lit(False)), "tab").otherwise("ok")
+    return rows.join(counted, "seq", "left").select("seq", "sender", "action", F.coalesce("gate", late).alias("gate"))

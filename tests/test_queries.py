@@ -13,7 +13,7 @@ from pellucid.functions import punycode, unicode
 from pellucid.functions.catalog import RULES, tokens
 from pellucid.functions.dialect import Spark
 from pellucid.operators.requests import observations
-from pellucid.plans import jobs, queries
+from pellucid.plans import jobs, oracles, queries
 from pellucid.sources.html import page_rows
 from pellucid.streaming.requests import rate_limited
 
@@ -125,7 +125,7 @@ def test_entry_without_training_data_operators(tmp_path):
             if (root / name).exists():
                 shutil.copy(root / name, tmp_path)
         run = subprocess.run([sys.executable, "-c", show], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
-        assert run.stdout.split() == [str(len(queries.QUERIES) + len(jobs.QUERIES)), str(len(queries.oracle_sql()))]
+        assert run.stdout.split() == [str(len(queries.QUERIES) + len(jobs.QUERIES)), str(len(queries.oracle_sql()) + len(oracles.ORACLES))]
 
 
 def _encoded(host):
@@ -175,3 +175,13 @@ def test_labels_decode_as_the_codec_does(spark):
     spark.createDataFrame([(x,) for x in labels], "label string").createOrReplaceTempView("fixture_labels")
     for r in spark.sql(f"SELECT label, {punycode.decoded(Spark(), 'label')} AS decoded FROM fixture_labels").collect():
         assert r["decoded"] == unicode.decode_label(r["label"])
+
+
+def test_captions_are_the_links_own_and_name_hosts_of_real_zones(spark):
+    shown = [
+        ("<b>shop</b>.example.com &amp; more", "shop.example.com"), ("torch.nn", None), ("os.fn", None), ("bank.de", "bank.de"), ("archive.zip", None), ("сайт.рф", "сайт.рф"), ("site.uk", "site.uk"), ("no host", None),
+    ]
+    ids = _unseeded_pages(spark, [f'<p>x</p><a class="k" href="https://real.example/a">{c}</a> after.com' for c, _ in shown])
+    run = lambda name: spark.sql("WITH pages AS (SELECT * FROM fixture_pages) " + queries.QUERIES[name](Spark())).collect()
+    named = {r["page_id"]: r["named"] for r in run("l22_plausible_tld") if r["plausible_tld"]}
+    assert named == {k: host for k, (_, host) in zip(ids, shown) if host}
