@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from pellucid.functions import unicode
 from pellucid.functions.dialect import Spark
-from pellucid.operators import evidence, literals
+from pellucid.operators import evidence, literals, stacking
+from pellucid.operators import regions as page_regions
 from pellucid.operators.links import hosts
 from pellucid.operators.requests import normalized
 from pellucid.operators.splitting import regions
 from pellucid.sources import dom, html
-from pellucid.sources.seeds import LITERAL_SEEDS, seeded_calls, seeded_docs, seeded_requests
+from pellucid.sources.seeds import LITERAL_SEEDS, seeded_calls, seeded_docs, seeded_elements, seeded_requests
 from pellucid.streaming import findings, requests
 
 
@@ -156,6 +157,20 @@ def link_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.captions(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def regions_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_regions.page_regions(dom.split_candidates(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+def windows_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fragments = dom.split_candidates(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return page_regions.page_windows(fragments, page_regions.page_regions(fragments))
+
+
+def click_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sql(spark, sf_dir, f"SELECT e.*, node_id % 2 = 0 OR is_input AS is_target, is_input AS is_critical FROM {seeded_elements(Spark())} e", "pages")
+    return stacking.click_captures(rows)
+
+
 QUERIES = {
     "s03_normalize": normalize,
     "s05_word_breaks": word_breaks,
@@ -169,6 +184,9 @@ QUERIES = {
     "t08_segment_findings": segment_findings,
     "s24_signal_places": signal_places,
     "t04_owned_texts": owned_texts,
+    "p06_page_regions": regions_of_pages,
+    "p08_page_windows": windows_of_pages,
+    "v25_click_captures": click_captures,
     "p02_split_fragments": split_fragments,
     "l02_link_captions": link_captions,
     "p14_contributions": split_contributions,

@@ -6,7 +6,7 @@ from pellucid.functions.catalog import RULES, tokens
 from pellucid.functions.dialect import Duck, values
 from pellucid.operators.semantic import TOKEN
 from pellucid.operators.splitting import regions
-from pellucid.sources.seeds import LITERAL_SEEDS, seeded_calls, seeded_docs, seeded_requests
+from pellucid.sources.seeds import LITERAL_SEEDS, seeded_calls, seeded_docs, seeded_elements, seeded_requests
 
 _D = Duck()
 
@@ -175,6 +175,24 @@ def _gates() -> str:
         FROM calls c LEFT JOIN walk w ON c.seq = w.seq"""
 
 
+def _captures() -> str:
+    """Every point held against every box of its page."""
+    up = "floor({} + 0.5)"
+    ix, iy = (f"greatest(4, {up.format(f'({a}) * 0.25')})" for a in ("r - l", "b - t"))
+    points = [("l + (r - l) / 2", "t + (b - t) / 2"), (f"l + {ix}", f"t + {iy}"), (f"r - {ix}", f"t + {iy}"), (f"l + {ix}", f"b - {iy}"), (f"r - {ix}", f"b - {iy}")]
+    listed = ", ".join(f"({k}, least(greatest({up.format(x)}, 0), 1279), least(greatest({up.format(y)}, 0), 719))" for k, (x, y) in enumerate(points))
+    return f"""WITH e AS (SELECT *, node_id % 2 = 0 OR is_input AS is_target, greatest(0, x) AS l, greatest(0, y) AS t, least(1280, x + width) AS r, least(720, y + height) AS b FROM {seeded_elements(_D)} q),
+        v AS (SELECT * FROM e WHERE r > l AND b > t AND pointer),
+        ly AS (SELECT * FROM v WHERE position IN ('fixed', 'absolute', 'sticky') AND (z >= 1 OR opacity <= 0.35 OR position = 'fixed') AND r - l >= 32 AND b - t >= 24),
+        pt AS (SELECT ly.page_id, ly.node_id AS layer_id, ly.z AS layer_z, ly.opacity <= 0.35 AS weak, nr, CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py FROM ly, LATERAL (SELECT * FROM (VALUES {listed}) p(nr, px, py))),
+        st AS (SELECT pt.*, v.node_id, v.is_target, v.is_input, row_number() OVER (PARTITION BY pt.page_id, layer_id, nr ORDER BY v.z DESC, v.node_id DESC) AS depth
+            FROM pt JOIN v ON pt.page_id = v.page_id AND v.l <= px AND px < v.r AND v.t <= py AND py < v.b),
+        un AS (SELECT page_id, layer_id, layer_z, weak, nr, px, py, arg_min(node_id, depth) FILTER (is_target AND node_id <> layer_id) AS target_id, arg_min(is_input, depth) FILTER (is_target AND node_id <> layer_id) AS critical
+            FROM st GROUP BY ALL HAVING bool_or(depth = 1 AND node_id = layer_id)),
+        f AS (SELECT *, row_number() OVER (PARTITION BY page_id, layer_id ORDER BY nr) AS k FROM un WHERE target_id IS NOT NULL)
+        SELECT page_id, layer_id, target_id, px, py, CASE WHEN critical AND (layer_z >= 20 OR weak) THEN 'high' ELSE 'medium' END AS severity FROM f WHERE k = 1"""
+
+
 ORACLES = {
     "t08_segments": f"WITH RECURSIVE {_segments()} SELECT doc_id, segment, start, stop FROM seg",
     "t08_segment_findings": f"""WITH RECURSIVE {_segments()}, src AS (SELECT doc_id, segment, start AS origin, substring(text, start + 1, stop - start) AS text FROM seg), {_evidence('src', 'doc_id, segment, origin')}
@@ -183,6 +201,7 @@ ORACLES = {
         SELECT e.doc_id, e.rule_id, e.signal_id, CAST(e.start AS BIGINT) AS start, CAST(e.stop AS BIGINT) AS stop, length(s.text) <= 4096 AND NOT regexp_matches(s.text, '{_HIDDEN}') AS reliable FROM ev e JOIN src s ON e.doc_id = s.doc_id""",
     "g09_serving_gates": _gates(),
     "g10_rate_limit": f"WITH RECURSIVE requests AS (SELECT seq, request_id AS sender, now_ms FROM {seeded_requests(_D)} q WHERE request_id IS NOT NULL AND now_ms IS NOT NULL), {_limited('requests')} SELECT seq, sender, now_ms, allowed FROM walk",
+    "v25_click_captures": _captures(),
     "p14_contributions": _p14(),
     "p19_merged_decisions": _p19(),
     "s09_literals": f"WITH RECURSIVE {_segments()}, {_literals()} SELECT doc_id, segment, literal_id, place FROM lh",
