@@ -63,9 +63,8 @@ def single_anomalies(d: Spark) -> str:
         WHERE type = 'image' AND kind = 'completed' AND mime_state = 'valid' AND norm_status BETWEEN 200 AND 299 AND norm_status NOT IN (204, 205) AND mime IN ({documents}, {scripts}))"""
 
 
-def _by_revision(d: Spark) -> str:
-    """Counts by category in the newest revision of each tab's requester; older ones are counted as late."""
-    s = single_anomalies(d)
+def _by_revision(d: Spark, s: str) -> str:
+    """Counts of anomalies ``s`` by category in the newest revision of each tab's requester; older ones are counted as late."""
     newest = f"(SELECT request_id % 10 AS tab, max(session) AS revision FROM {s} m GROUP BY request_id % 10)"
     return f"""SELECT n.tab, n.revision, CAST(least(sum(CASE WHEN s.session = n.revision AND s.category = 'document' THEN 1 ELSE 0 END), {MOST_COUNT}) AS BIGINT) AS documents,
         CAST(least(sum(CASE WHEN s.session = n.revision AND s.category = 'script' THEN 1 ELSE 0 END), {MOST_COUNT}) AS BIGINT) AS scripts, CAST(sum(CASE WHEN s.session < n.revision THEN 1 ELSE 0 END) AS BIGINT) AS late
@@ -83,7 +82,9 @@ QUERIES = {
     "a08_observation": lambda d: f"SELECT * FROM {observations(d)} o",
     "a09_image_anomaly": lambda d: f"SELECT seq, session, category FROM {single_anomalies(d)} x",
     "a09b_assembled_anomaly": lambda d: f"SELECT session, request_id, category FROM {anomalies(d)} x",
-    "a10_by_revision": _by_revision,
+    "a10_by_revision": lambda d: _by_revision(d, single_anomalies(d)),
+    "a10_assembled_by_revision": lambda d: _by_revision(d, anomalies(d)),
+    "a11_assembled_snapshot": lambda d: f"SELECT session, category, CAST(least(count(*), {MOST_COUNT}) AS BIGINT) AS n FROM {anomalies(d)} x GROUP BY session, category",
     "a11_candidate_snapshot": lambda d: f"SELECT session, category, CAST(count(*) AS BIGINT) AS n FROM {single_anomalies(d)} x GROUP BY session, category",
     "a14_api_surface": lambda d: f"SELECT page_id, {d.size(d.extract_all('lower(html)', '(?:action|src|data-api|href)=\"[^\"]*(?:api|/v1/|/graphql)', 0))} AS n FROM pages WHERE html IS NOT NULL",
 }

@@ -6,7 +6,7 @@ from pellucid.functions.dialect import Spark, values
 from pellucid.operators import links, semantic, splitting, visual
 from pellucid.sources.seeds import seeded_snapshots
 
-PUBLISHED = 10
+PUBLISHED, QUEUED, CLIPS = 10, 50, (96, 300, 600)
 _RANK = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
 _SEVERITY = "CASE rank WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END"
 
@@ -47,6 +47,21 @@ def _flat(d: Spark) -> str:
     return f"SELECT page_id, module_ord, module, substr(type, 1, 96) AS type, {_SEVERITY} AS severity, rn FROM {ranked} r WHERE rn <= {PUBLISHED}"
 
 
+def _published(d: Spark) -> str:
+    """At most ten findings of each module and page, their fields clipped to 96, 300 and 600 characters; more are counted."""
+    over = "PARTITION BY page_id, module"
+    ranked = f"(SELECT f.*, row_number() OVER ({over} ORDER BY rank DESC, type, dedupe_key) AS rn, count(*) OVER ({over}) AS n_all FROM {findings(d)} f)"
+    return f"""SELECT page_id, module, rn, substr(type, 1, {CLIPS[0]}) AS type, {_SEVERITY} AS severity, substr(concat(module, ': ', type), 1, {CLIPS[1]}) AS summary, substr(dedupe_key, 1, {CLIPS[2]}) AS details,
+        CAST(greatest(n_all - {PUBLISHED}, 0) AS BIGINT) AS omitted FROM {ranked} r WHERE rn <= {PUBLISHED}"""
+
+
+def _queued(d: Spark) -> str:
+    """Findings that a page's remediation takes, in the order of modules and keys: no more than fifty."""
+    plan = f"CASE WHEN type IN ({', '.join(repr(t) for t in ANNOTATABLE)}) THEN 'annotate' WHEN type IN ({', '.join(repr(t) for t in SIBLING_ONLY)}) THEN 'sibling' END"
+    planned = f"(SELECT page_id, module_ord, type, dedupe_key, {plan} AS plan FROM {findings(d)} f)"
+    return f"SELECT page_id, type, dedupe_key, plan, rn FROM (SELECT p.*, row_number() OVER (PARTITION BY page_id ORDER BY module_ord, dedupe_key, type) AS rn FROM {planned} p WHERE plan IS NOT NULL) q WHERE rn <= {QUEUED}"
+
+
 def _redacted(d: Spark) -> str:
     e = "concat('page=', CAST(page_id AS VARCHAR(20)), '&token=', substr(md5(url), 1, 6), ' auth=', CAST(page_id % 7 AS VARCHAR(9)), ' name=x')"
     for key in SENSITIVE_KEYS:
@@ -84,6 +99,8 @@ QUERIES = {
     "g11_context_block": lambda d: f"SELECT page_id, least(total, 100) AS total, least(greatest(links, 0), 100) AS links FROM {pages(d)} p",
     "g12_scannable": lambda d: f"SELECT page_id, {d.matches('url', '^https?://')} AS scannable FROM pages",
     "nodes_with_text": lambda d: f"SELECT v.page_id, v.node_id, v.type FROM {visual.findings(d)} v WHERE EXISTS (SELECT 1 FROM {visual.elements(d)} e WHERE e.page_id = v.page_id AND e.node_id = v.node_id AND e.chars > 5)",
+    "r01_queued": _queued,
+    "g05_published_items": _published,
     "r01_remediation_plan": lambda d: f"""SELECT page_id, type, CASE WHEN type IN ({', '.join(repr(t) for t in ANNOTATABLE)}) THEN 'annotate' WHEN type IN ({', '.join(repr(t) for t in SIBLING_ONLY)}) THEN 'sibling' ELSE 'ignore' END AS plan, CAST(count(*) AS BIGINT) AS n
         FROM {findings(d)} f GROUP BY page_id, type""",
     "n01_network_rules": _network,

@@ -12,7 +12,9 @@ from pellucid.functions.dialect import Spark, values
 from pellucid.sources.seeds import seeded_docs
 
 TOKEN = r"[\p{L}\p{M}\p{N}]+"
-MATCH_CAP, SNAPSHOT_CAP, CANDIDATE_BUDGET, CHAR_BUDGET = 10, 10, 3_000, 500_000
+MATCH_CAP, SNAPSHOT_CAP, CANDIDATE_BUDGET, CHAR_BUDGET, EVALUATION_BUDGET = 10, 10, 3_000, 500_000, 30_000
+#: Texts that a scan takes for one page.
+SCANNED_TOGETHER = 250
 LONGEST_CANDIDATE = 4_096
 
 #: Literals that a user has added: id, text, the number of its visible characters.
@@ -115,17 +117,26 @@ def flags(d: Spark) -> str:
     return f"SELECT s.doc_id, {', '.join(f'{d.matches(t, p)} AS {n}' for n, p in has.items())} FROM {seeded_docs(d)} s"
 
 
+#: Scripts of which a text has one as a rule.
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Georgian", "Arabic", "Hebrew", "Devanagari", "Thai", "Han", "Hiragana", "Katakana", "Hangul")
+
+
 def _s06(d: Spark) -> str:
-    one = f"(SELECT doc_id, CASE WHEN has_latin THEN 1 ELSE 0 END + CASE WHEN has_cyrillic THEN 1 ELSE 0 END + CASE WHEN has_greek THEN 1 ELSE 0 END AS n FROM ({flags(d)}) f)"
-    return f"SELECT doc_id, n > 1 AS mixed_scripts FROM {one} o"
+    """Texts with letters of more than one script; a character that scripts share counts for its own script alone."""
+    named = (d.matches("s.text", rf"\p{{Is{x}}}" if d.name == "spark" else rf"\p{{{x}}}") for x in SCRIPTS)
+    return f"SELECT doc_id, {' + '.join(f'CASE WHEN {m} THEN 1 ELSE 0 END' for m in named)} > 1 AS mixed_scripts FROM {seeded_docs(d)} s"
 
 
 def _running(d: Spark) -> str:
-    """Texts in a page's order under the budgets of texts and characters: what is analysed."""
-    order = "PARTITION BY page_id ORDER BY doc_id"
-    sums = f"""(SELECT page_id, doc_id, length(text) AS n, row_number() OVER ({order}) AS k,
+    """Texts of a scan in order under the budgets of texts, characters and evaluations of rules: what is analysed.
+
+    The first text beyond a budget ends the scan, so sums of what came before decide.
+    """
+    scan = d.div("doc_id", str(SCANNED_TOGETHER))
+    order = f"PARTITION BY {scan} ORDER BY doc_id"
+    sums = f"""(SELECT {scan} AS scan_id, doc_id, row_number() OVER ({order}) AS k,
         sum(length(text)) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM {seeded_docs(d)} s)"""
-    return f"SELECT page_id, doc_id, k <= {CANDIDATE_BUDGET} AND total <= {CHAR_BUDGET} AS analysed FROM {sums} x"
+    return f"SELECT scan_id, doc_id, k <= {CANDIDATE_BUDGET} AND total <= {CHAR_BUDGET} AND k * {len(RULES)} <= {EVALUATION_BUDGET} AS analysed FROM {sums} x"
 
 
 def _snapshot(d: Spark) -> str:
@@ -134,8 +145,8 @@ def _snapshot(d: Spark) -> str:
 
 
 def _state(d: Spark) -> str:
-    return f"""SELECT page_id, CASE WHEN sum(CASE WHEN analysed THEN 0 ELSE 1 END) > 0 THEN 'partial' ELSE 'complete' END AS state,
-        CAST(sum(CASE WHEN analysed THEN 0 ELSE 1 END) AS BIGINT) AS left_out FROM ({_running(d)}) r GROUP BY page_id"""
+    return f"""SELECT scan_id, CASE WHEN sum(CASE WHEN analysed THEN 0 ELSE 1 END) > 0 THEN 'partial' ELSE 'complete' END AS state,
+        CAST(sum(CASE WHEN analysed THEN 0 ELSE 1 END) AS BIGINT) AS left_out FROM ({_running(d)}) r GROUP BY scan_id"""
 
 
 def _related(d: Spark) -> str:

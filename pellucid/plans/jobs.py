@@ -171,6 +171,18 @@ def click_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stacking.click_captures(rows)
 
 
+def retracted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that are left when every eleventh element of a page, with all in it, is removed."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    removed = dom.nodes(pages).where("tag IS NOT NULL AND node_id > 40 AND node_id % 11 = 0")
+    return dom.retracted(dom.phrase_candidates(pages).select("page_id", "node_id", "kind", "source"), removed)
+
+
+def change_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dom.nodes(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return dom.change_roots(rows.withColumn("changed", F.expr("tag IS NOT NULL AND (page_id + node_id) % 7 = 0 AND node_id > 20")))
+
+
 QUERIES = {
     "s03_normalize": normalize,
     "s05_word_breaks": word_breaks,
@@ -184,6 +196,8 @@ QUERIES = {
     "t08_segment_findings": segment_findings,
     "s24_signal_places": signal_places,
     "t04_owned_texts": owned_texts,
+    "t15_retracted": retracted_texts,
+    "t16_change_roots": change_roots,
     "p06_page_regions": regions_of_pages,
     "p08_page_windows": windows_of_pages,
     "v25_click_captures": click_captures,

@@ -242,3 +242,36 @@ def captions(pages: DataFrame) -> DataFrame:
     )
     links = rows.where((F.col("link") == F.col("node_id")) & ~F.col("in_private")).select(_PAGE, "node_id", "private_self", _attribute("href").alias("href")).join(texts, [_PAGE, "node_id"], "left")
     return links.select(_PAGE, "node_id", "href", F.coalesce(F.when(~F.col("private_self"), F.col("caption")), F.lit("")).alias("caption"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
+def change_roots(rows: DataFrame, most: int = 200) -> DataFrame:
+    """Changed nodes (``changed``) as the roots to be searched again (T16): ``page_id, root_id, rescan``.
+
+    A node's root is the nearest element that owns texts, itself included, among itself and seven levels above, else the node
+    itself; roots inside others go. A page with more roots than ``most`` is searched as a whole.
+    """
+    # a parent's level is known by its own beginnings and ends: the number of elements around a node
+    element = F.col("tag").isNotNull()
+    rows = nearest(rows, owner=_is(PRIMARY + INTERACTIVE + FALLBACK))
+    level = Window.partitionBy(_PAGE).orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
+    begun = rows.where(element).select(_PAGE, "node_id", "owner", "changed", "last_id", F.col("node_id").cast("double").alias("__at"), F.lit(1).alias("__step"))
+    ended = begun.withColumns({"__at": F.col("last_id") + 0.5, "__step": F.lit(-1)})
+    depths = begun.unionByName(ended).withColumn("depth", F.sum("__step").over(level)).where("__step = 1")
+    owners = depths.select(_PAGE, F.col("node_id").alias("owner"), F.col("depth").alias("owner_depth"))
+    changed = depths.where("changed").join(owners, [_PAGE, "owner"], "left")
+    root = F.when(F.col("depth") - F.col("owner_depth") < 8, F.col("owner")).otherwise(F.col("node_id"))
+    roots = changed.select(_PAGE, root.alias("root_id")).distinct()
+    labels = rows.select(_PAGE, F.col("node_id").alias("root_id"), "node_id", "last_id")
+    kept = covered(roots.join(labels, [_PAGE, "root_id"]), strictly=True, inside=F.lit(True)).where("NOT inside")
+    return kept.select(_PAGE, "root_id", (F.count(F.lit(1)).over(Window.partitionBy(_PAGE)) > most).alias("rescan"))
+
+
+def retracted(findings: DataFrame, removed: DataFrame) -> DataFrame:
+    """``findings`` (``page_id, node_id``) outside all ``removed`` subtrees (``page_id, node_id, last_id``): those inside are gone."""
+    mine = findings.withColumns({"last_id": F.col("node_id"), "__gone": F.lit(False)})
+    theirs = removed.select(_PAGE, "node_id", "last_id", F.lit(True).alias("__gone"))
+    both = mine.unionByName(theirs, allowMissingColumns=True)
+    # a removed element begins before what is inside it, and before a finding of its own
+    before = Window.partitionBy(_PAGE).orderBy("node_id", F.col("__gone").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.max(F.when(F.col("__gone"), F.col("last_id"))).over(before) >= F.col("node_id")
+    return both.withColumn("__inside", F.coalesce(inside, F.lit(False))).where("NOT __gone AND NOT __inside").select(*findings.columns)

@@ -87,10 +87,10 @@ def seeded_requests(d: Spark) -> str:
     """Request events from the event table: five types, one per kind of event."""
     return f"""(SELECT event_id AS seq, {d.day('ts')} AS session, user_id AS request_id, user_id % 3 AS tab_id, CASE WHEN event_id % 23 = 0 THEN 1 ELSE 0 END AS frame_id,
         CASE event_type WHEN 'view' THEN 'begin' WHEN 'click' THEN 'headers' WHEN 'signup' THEN 'redirect' WHEN 'purchase' THEN 'completed' ELSE 'error' END AS kind,
-        CASE event_id % 4 WHEN 0 THEN 'script' WHEN 1 THEN 'xmlhttprequest' ELSE 'image' END AS type,
+        CASE user_id % 4 WHEN 0 THEN 'script' WHEN 1 THEN 'xmlhttprequest' ELSE 'image' END AS type,
         CASE event_id % 9 WHEN 0 THEN ' post' WHEN 1 THEN 'PUT' WHEN 2 THEN 'BREW' ELSE 'get' END AS method,
         CASE event_id % 8 WHEN 0 THEN 204 WHEN 1 THEN 404 WHEN 2 THEN 700 ELSE 200 END AS status_code,
-        CASE event_id % 10 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/javascript' WHEN 2 THEN ' Text/JavaScript' WHEN 3 THEN 'bad mime'
+        CASE (user_id + event_id % 2) % 10 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/javascript' WHEN 2 THEN ' Text/JavaScript' WHEN 3 THEN 'bad mime'
              WHEN 4 THEN '' WHEN 5 THEN NULL ELSE 'image/png' END AS content_type,
         {d.millis('ts')} AS now_ms FROM events)"""
 

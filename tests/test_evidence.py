@@ -344,3 +344,25 @@ def test_empty_pages(spark):
     none = spark.createDataFrame([], "page_id long, html string")
     assert dom.phrase_candidates(none).count() == dom.split_candidates(none).count() == dom.captions(none).count() == 0
     assert evidence.segments(spark.createDataFrame([(1, None), (2, "")], "k long, text string"), ["k"]).where(F.col("k") == 1).count() == 0
+
+
+def test_removed_subtrees_and_change_roots(pages):
+    rows, frame = pages
+    trees = {page: _Walk(html) for page, html in rows if page is not None}
+    gone = {(p, k) for p, w in trees.items() for k in range(len(w.rows)) if w.tag(k) and (p + k) % 9 == 0 and k}
+    nodes = dom.nodes(frame)
+    removed = nodes.where("tag IS NOT NULL AND (page_id + node_id) % 9 = 0 AND node_id > 0")
+    findings = nodes.where("tag IS NOT NULL").select("page_id", "node_id", F.lit("x").alias("kind"))
+    left = {tuple(r) for r in dom.retracted(findings, removed).collect()}
+    assert left == {(p, k, "x") for p, w in trees.items() for k in range(len(w.rows)) if w.tag(k) and not any((p, a) in gone for a in w.up(k))}
+    expected = set()
+    for p, w in trees.items():
+        roots = set()
+        for k in range(len(w.rows)):
+            if w.tag(k) and (p + k) % 5 == 0:
+                near = list(w.up(k))[:8]
+                roots.add(next((a for a in near if w.tag(a) in dom.PRIMARY + dom.INTERACTIVE + dom.FALLBACK), k))
+        kept = {k for k in roots if not any(a in roots for a in list(w.up(k))[1:])}
+        expected |= {(p, k, len(kept) > 4) for k in kept}
+    changed = nodes.withColumn("changed", F.expr("tag IS NOT NULL AND (page_id + node_id) % 5 = 0"))
+    assert {tuple(r) for r in dom.change_roots(changed, most=4).collect()} == expected and {e[2] for e in expected} == {True, False}
