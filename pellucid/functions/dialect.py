@@ -79,6 +79,10 @@ class Spark:
     def unquote(self, e: str) -> str:
         return f"coalesce(try_url_decode(replace({e}, '+', '%20')), {e})"
 
+    def unbase64(self, e: str) -> str:
+        """The text that base64, with its end marks, stands for; null if there is none."""
+        return f"CAST(try_to_binary({e}, 'base64') AS STRING)"
+
     def chars(self, e: str) -> str:
         return f"filter(split({e}, ''), x -> x <> '')"
 
@@ -168,6 +172,9 @@ class Duck(Spark):
     def unquote(self, e: str) -> str:
         return f"url_decode(replace({e}, '+', '%20'))"
 
+    def unbase64(self, e: str) -> str:
+        return f"TRY(decode(from_base64({e})))"
+
     def chars(self, e: str) -> str:
         return f"list_filter(string_split({e}, ''), lambda x: x <> '')"
 

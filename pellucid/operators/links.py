@@ -74,10 +74,27 @@ def parameters(d: Spark) -> str:
 
 
 def opaque(d: Spark) -> str:
-    """Signs that an unknown destination is a URL in disguise."""
-    return f"""(SELECT p.*, {d.matches('dest', '%[0-9A-Fa-f]{2}')} AND length(dest) >= {OPAQUE_CHARS} AS encoded_url,
-        {d.matches('dest', '^(www[.])?([a-z0-9-]+[.])+[a-z]{2,}(/.*)?$')} AS bare_hostname,
-        {d.matches('dest', '^[A-Za-z0-9+/_-]{16,}={0,2}$')} AS base64_url FROM {parameters(d)} p WHERE leads = 'unknown')"""
+    return f"(SELECT * FROM {signals(d)} s WHERE leads = 'unknown')"
+
+
+def signals(d: Spark) -> str:
+    """Signs that an unknown destination is a URL in disguise: encoded twice, a host alone, or base64 of an address."""
+    plain = "replace(translate(dest, '-_', '+/'), '=', '')"
+    decoded = d.unbase64(f"concat({plain}, repeat('=', (4 - length({plain}) % 4) % 4))")
+    host = f"NOT {d.matches('dest', '[' + chr(92) + 's/?#@:]')} AND {domain_like(d, 'lower(dest)')} AND {plausible_zone(d, 'lower(dest)')}"
+    return f"""(SELECT p.*, length(dest) >= {OPAQUE_CHARS} AND {d.matches('lower(dest)', '%25(?:2f|3a)|%3a%2f%2f|%2f%2f|https?%3a')} AS encoded_url, {host} AS bare_hostname,
+        CASE WHEN {d.matches('dest', '^[A-Za-z0-9+/_-]{16,}={0,2}$')} THEN coalesce({decoded} LIKE '%://%', false) ELSE false END AS base64_url FROM {parameters(d)} p)"""
+
+
+def domain_like(d: Spark, e: str) -> str:
+    return d.matches(e, r"^([\p{L}\p{N}]([\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?[.])+[\p{L}]{2,}$")
+
+
+def plausible_zone(d: Spark, e: str) -> str:
+    """Whether a host ends in a known zone that is no file ending."""
+    zones, endings = (", ".join(f"'{z}'" for z in zs) for zs in ([*ZONES.split(), *COUNTRIES], FILE_ENDINGS.split()))
+    zone = d.extract(e, "[.]([^.]+)$")
+    return f"({zone} IN ({zones}) AND NOT {zone} IN ({endings}))"
 
 
 def hosts(d: Spark) -> str:
@@ -148,15 +165,10 @@ def captions(d: Spark) -> str:
 
 def caption_hosts(d: Spark) -> str:
     parts = d.slice(d.keep(d.split("caption", r"[\s,;]+"), "x LIKE '%.%'"), CAPTION_HOSTS)
-    zones = ", ".join(f"'{z}'" for z in [*ZONES.split(), *COUNTRIES])
-    endings = ", ".join(f"'{z}'" for z in FILE_ENDINGS.split())
     bare = d.replace(d.replace("val", "^(https?:)?//"), "[/?#].*$")
     clean = d.replace(d.replace(d.replace(bare, r"^[(\x22'«“‘\[{]+"), r"[)\x22'»”’\]}.,;:!?]+$"), r"^www[.]")
     rows = f"(SELECT page_id, ord, scheme, host, raw_caption, pos, {clean} AS named FROM {d.unnest(captions(d), parts)} u)"
-    tld = d.extract("named", "[.]([^.]+)$")
-    plausible = f"NOT ({tld} IN ({endings})) AND {tld} IN ({zones})"
-    grammar = d.matches("named", r"^([\p{L}\p{N}]([\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?[.])+[\p{L}]{2,}$")
-    return f"(SELECT r.*, {grammar} AS domain_like, {plausible} AS plausible_tld FROM {rows} r)"
+    return f"(SELECT r.*, {domain_like(d, 'named')} AS domain_like, {plausible_zone(d, 'named')} AS plausible_tld FROM {rows} r)"
 
 
 def mismatches(d: Spark) -> str:
@@ -167,17 +179,26 @@ def mismatches(d: Spark) -> str:
         FROM {shown} s WHERE host <> '' GROUP BY page_id, ord, host)"""
 
 
+def unsafe(d: Spark) -> str:
+    high, medium = (", ".join(f"'{p}'" for p in ps) for ps in (HIGH_PROTOCOLS, MEDIUM_PROTOCOLS))
+    return f"(SELECT page_id, ord, 'unsafe-protocol' AS type, CASE WHEN scheme IN ({high}) THEN 'high' ELSE 'medium' END AS severity, concat('protocol|', substr(href, 1, 96)) AS dedupe_key FROM {targets(d)} t WHERE scheme IN ({high}, {medium}))"
+
+
+def redirects(d: Spark) -> str:
+    """Links whose parameters lead elsewhere, or to what can't be told: the parameters are read once."""
+    strange = "leads = 'unknown' AND (encoded_url OR bare_hostname OR base64_url)"
+    found = f"""(SELECT page_id, ord, host, min(CASE WHEN leads = 'external' THEN pos END) AS ext, min(CASE WHEN {strange} THEN pos END) AS odd
+        FROM {signals(d)} r GROUP BY page_id, ord, host)"""
+    return f"(SELECT page_id, ord, 'redirect' AS type, CASE WHEN ext IS NOT NULL THEN 'medium' ELSE 'low' END AS severity, concat('redirect|', host) AS dedupe_key FROM {found} r WHERE ext IS NOT NULL OR odd IS NOT NULL)"
+
+
 def findings(d: Spark) -> str:
     """All findings of links, with the key by which a page's repeats are dropped."""
-    high, medium = (", ".join(f"'{p}'" for p in ps) for ps in (HIGH_PROTOCOLS, MEDIUM_PROTOCOLS))
-    redirects = f"""(SELECT page_id, ord, host, min(CASE WHEN leads = 'external' THEN pos END) AS ext, min(CASE WHEN leads = 'unknown' AND (encoded_url OR bare_hostname OR base64_url) THEN pos END) AS odd
-        FROM (SELECT page_id, ord, host, pos, leads, false AS encoded_url, false AS bare_hostname, false AS base64_url FROM {parameters(d)} a WHERE leads = 'external'
-              UNION ALL SELECT page_id, ord, host, pos, leads, encoded_url, bare_hostname, base64_url FROM {opaque(d)} b) r GROUP BY page_id, ord, host)"""
-    every = f"""(SELECT page_id, ord, 'unsafe-protocol' AS type, CASE WHEN scheme IN ({high}) THEN 'high' ELSE 'medium' END AS severity, concat('protocol|', substr(href, 1, 96)) AS dedupe_key FROM {targets(d)} t WHERE scheme IN ({high}, {medium})
-        UNION ALL SELECT page_id, ord, 'redirect', CASE WHEN ext IS NOT NULL THEN 'medium' ELSE 'low' END, concat('redirect|', host) FROM {redirects} r WHERE ext IS NOT NULL OR odd IS NOT NULL
+    named = f"(SELECT DISTINCT page_id, CASE WHEN val = 1 THEN ord ELSE CAST(0 AS BIGINT) END AS ord, CASE WHEN val = 1 THEN host ELSE page_host END AS host FROM {d.unnest(targets(d), d.array('1', '2'))} t)"
+    every = f"""(SELECT * FROM {unsafe(d)} u UNION ALL SELECT * FROM {redirects(d)} r
         UNION ALL SELECT page_id, ord, 'link-mismatch', 'high', concat('mismatch|', host) FROM {mismatches(d)} m WHERE mismatch
         UNION ALL SELECT page_id, CAST(0 AS BIGINT), 'base-origin-mismatch', 'high', concat('base|', base_origin) FROM {base_origins(d)} b
-        UNION ALL SELECT t.page_id, t.ord, f.type, f.severity, concat(f.type, '|', f.host) FROM (SELECT page_id, ord, host FROM {targets(d)} t1 UNION SELECT page_id, CAST(0 AS BIGINT), page_host FROM {targets(d)} t2) t JOIN {host_findings(d)} f ON t.host = f.host)"""
+        UNION ALL SELECT t.page_id, t.ord, f.type, f.severity, concat(f.type, '|', f.host) FROM {named} t JOIN {host_findings(d)} f ON t.host = f.host)"""
     return f"""(SELECT page_id, ord, type, severity, dedupe_key, rn FROM (SELECT e.*, row_number() OVER (PARTITION BY page_id, dedupe_key ORDER BY ord, type) AS rn FROM {every} e) x)"""
 
 
@@ -191,11 +212,11 @@ QUERIES = {
     "foreign_hosts": lambda d: f"SELECT page_id, ord, host, page_host, host <> '' AND host <> page_host AS foreign_origin FROM {targets(d)} t",
     "l03_base_resolution": lambda d: f"SELECT page_id, ord, scheme, base_host, host FROM {targets(d)} t",
     "l04_foreign_base": lambda d: f"SELECT page_id, base_origin, page_origin, 'high' AS severity FROM {base_origins(d)} b",
-    "l05_unsafe_protocol": lambda d: f"SELECT page_id, ord, type, severity FROM {findings(d)} f WHERE type = 'unsafe-protocol'",
+    "l05_unsafe_protocol": lambda d: f"SELECT page_id, ord, type, severity FROM {unsafe(d)} f",
     "l06_redirect_parameters": lambda d: f"SELECT page_id, ord, name, dest, leads FROM {parameters(d)} p",
     "l07_destination_gate": lambda d: f"SELECT page_id, ord, pos, is_url FROM {parameters(d)} p",
     "l08_opaque_signals": lambda d: f"SELECT page_id, ord, pos, encoded_url, bare_hostname, base64_url FROM {opaque(d)} p",
-    "l09_redirect_finding": lambda d: f"SELECT page_id, ord, severity FROM {findings(d)} f WHERE type = 'redirect'",
+    "l09_redirect_finding": lambda d: f"SELECT page_id, ord, severity FROM {redirects(d)} f",
     "l10_hostname_exclusion": lambda d: f"SELECT host, {d.size('labels')} AS n_labels FROM {hosts(d)} h",
     "l12_label_scripts": lambda d: f"SELECT host, pos, is_zone, label, scripts FROM {labels(d)} s",
     "l13_mixed_script": lambda d: f"SELECT host, mixed_script FROM {host_signals(d)} s",

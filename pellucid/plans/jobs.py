@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from pellucid.operators import regions as page_regions
 from pellucid.operators.links import hosts
 from pellucid.operators.requests import normalized
 from pellucid.operators.splitting import regions
+from pellucid.plans.shared import shared_folder
 from pellucid.sources import dom, html
 from pellucid.sources.seeds import LITERAL_SEEDS, seeded_calls, seeded_docs, seeded_elements, seeded_requests
 from pellucid.streaming import findings, requests
@@ -57,22 +57,12 @@ def serving_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.gated(_sql(spark, sf_dir, f"SELECT * FROM {seeded_calls(Spark())} c", "events"), [0, 1, 2, 3, 4, 5])
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where all run on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="pellucid-")
-    return root.rstrip("/")
-
-
 def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request table replayed as a stream; finished requests are appended to a table and read back."""
     run = uuid.uuid4().hex
     # a pattern that the table's own name alone meets: the source takes folders or patterns
     events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]")
-    view, out = f"request_stream_{run}", f"{_shared_folder(spark)}/request-stream-{run}"
+    view, out = f"request_stream_{run}", f"{shared_folder(spark)}/request-stream-{run}"
     events.createOrReplaceTempView(view)
     rows = spark.sql(f"WITH events AS (SELECT * FROM {view}) SELECT * FROM {normalized(Spark())} n")
     spark.catalog.dropTempView(view)

@@ -185,3 +185,17 @@ def test_captions_are_the_links_own_and_name_hosts_of_real_zones(spark):
     run = lambda name: spark.sql("WITH pages AS (SELECT * FROM fixture_pages) " + queries.QUERIES[name](Spark())).collect()
     named = {r["page_id"]: r["named"] for r in run("l22_plausible_tld") if r["plausible_tld"]}
     assert named == {k: host for k, (_, host) in zip(ids, shown) if host}
+
+
+def test_opaque_destinations(spark):
+    import base64
+
+    told = lambda text: base64.urlsafe_b64encode(text.encode()).decode()
+    cases = [
+        ("evil.com", "bare"), ("torch.nn", None), ("archive.zip", None), ("a%2525252f", None), ("x%253A%252F%252Fevil", "encoded"), (told("https://evil.io/long"), "base64"), (told("https://evil.io/lo").rstrip("="), "base64"),
+        (told("just some words here"), None), ("abcdefghijklmnopqrst", None), ("user@evil.com", None), ("short", None),
+    ]
+    ids = _unseeded_pages(spark, [f'<a href="https://page.example/go?url={dest}">t</a>' for dest, _ in cases])
+    rows = spark.sql("WITH pages AS (SELECT * FROM fixture_pages) " + queries.QUERIES["l08_opaque_signals"](Spark())).collect()
+    got = {r["page_id"]: next((k for k in ("encoded", "bare", "base64") if r[{"encoded": "encoded_url", "bare": "bare_hostname", "base64": "base64_url"}[k]]), None) for r in rows}
+    assert got == {k: sign for k, (_, sign) in zip(ids, cases)}
