@@ -7,16 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pellucid.functions import unicode
+from pellucid.functions import css, unicode
 from pellucid.functions.dialect import Spark
-from pellucid.operators import evidence, literals, stacking
+from pellucid.operators import evidence, literals, stacking, styles
 from pellucid.operators import regions as page_regions
 from pellucid.operators.links import hosts
 from pellucid.operators.requests import normalized
 from pellucid.operators.splitting import regions
 from pellucid.plans.shared import shared_folder
 from pellucid.sources import dom, html
-from pellucid.sources.seeds import LITERAL_SEEDS, seeded_calls, seeded_docs, seeded_elements, seeded_requests
+from pellucid.sources.seeds import CSS_SEEDS, LITERAL_SEEDS, seeded_calls, seeded_docs, seeded_elements, seeded_requests
 from pellucid.streaming import findings, requests
 
 
@@ -173,6 +173,33 @@ def change_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.change_roots(rows.withColumn("changed", F.expr("tag IS NOT NULL AND (page_id + node_id) % 7 = 0 AND node_id > 20")))
 
 
+def _styled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of pages with captured styles: planted ones by residue, else the style attribute."""
+    rows = dom.nodes(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    planted = F.create_map(*(F.lit(x) for pair in CSS_SEEDS.items() for x in pair))
+    style = F.coalesce(F.try_element_at(planted, F.expr("CAST((page_id * 7 + node_id * 5) % 43 AS INT)")), F.try_element_at("attributes", F.lit("style")))
+    return rows.withColumn("style", F.when(F.col("tag").isNotNull() & ~F.col("tag").isin("html", "body", "head"), style))
+
+
+def hiding_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styles.hiding(_styled(spark, sf_dir))
+
+
+def hidden_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styles.hidden_containers(_styled(spark, sf_dir))
+
+
+def backdrops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styles.backdrops(_styled(spark, sf_dir))
+
+
+def style_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours, lengths and transforms that captured styles declare."""
+    rows = _styled(spark, sf_dir).where("style IS NOT NULL")
+    get = lambda name: css.declared(F.col("style"), name)
+    return rows.select("page_id", "node_id", css.colour(get("background-color")).alias("ground"), css.colour(get("color")).alias("ink"), css.pixels(get("font-size")).alias("font_px"), css.pixels(get("width"), container=1280.0).alias("width_px"), css.smallest_scale(get("transform")).alias("scale"), css.far_translation(get("transform")).alias("far")).select("page_id", "node_id", F.col("ground.red").alias("ground_red"), F.col("ground.alpha").alias("ground_alpha"), F.col("ink.red").alias("ink_red"), "font_px", "width_px", "scale", "far")
+
+
 QUERIES = {
     "s03_normalize": normalize,
     "s05_word_breaks": word_breaks,
@@ -190,6 +217,10 @@ QUERIES = {
     "t16_change_roots": change_roots,
     "p06_page_regions": regions_of_pages,
     "p08_page_windows": windows_of_pages,
+    "v04_hiding_elements": hiding_elements,
+    "v06_hidden_containers": hidden_containers,
+    "v15_style_values": style_values,
+    "v16_backdrops": backdrops,
     "v25_click_captures": click_captures,
     "p02_split_fragments": split_fragments,
     "l02_link_captions": link_captions,

@@ -108,6 +108,13 @@ def seeded_calls(d: Spark) -> str:
         FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL)"""
 
 
+#: Declarations of captured styles by the residue of page and node; other elements have their own attribute.
+CSS_SEEDS = {
+    0: "display: none", 1: "visibility:hidden; color: #333", 2: "Visibility: visible", 3: "opacity: 0", 4: "background-color: rgba(0, 0, 0, 0.5)", 5: "background-color:#fff", 6: "background-color: hsl(240 100% 50% / 20%); transform: scale(0.01)",
+    7: "background-image: url(x.png)", 8: "background-color: transparent; transform: translateX(-2000px)", 9: "font-size: 0.05em; width: 50%", 10: "background-color: #ff000080; transform: matrix(0.01, 0, 0, 1, 0, 0)",
+}
+
+
 STYLE_SEEDS = [
     # residue, display, visibility, opacity, font_px, left, top, width, height, z, position, pointer, color, background
     (0, "none", "visible", 1.0, 16.0, 0.0, 0.0, 0.0, 0.0, 0, "static", True, 0, 255),
