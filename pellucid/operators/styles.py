@@ -85,3 +85,69 @@ def backdrops(rows: DataFrame) -> DataFrame:
     shown = {c: F.when(~F.coalesce("unknown", F.lit(False)), F.floor(F.coalesce(F.col(c) + F.col("through") * WHITE, F.lit(WHITE)) + 0.5).cast("int")) for c in ("red", "green", "blue")}
     layers = layers.drop("up").withColumnRenamed("node_id", "layer")
     return placed.select("page_id", "node_id", "layer").join(layers, ["page_id", "layer"], "left").select("page_id", "node_id", *(e.alias(c) for c, e in shown.items()))
+
+
+# Levels above an element that count, scales and values that suppress, parts of names that tell a benign use.
+LEVELS = {"semantic-visibility-mismatch": 4, "filter-blend-manipulation": 3, "transform-suppression": 3, "clipping-hiding": 3}
+LEAST_SCALE, LEAST_FILTER, BLUR, STRONG_BLUR, LEAST_BOX = 0.02, 0.15, 1.0, 4.0, 2.0
+BENIGN = "sr-only|visually-hidden|screen-reader|a11y|avatar|badge|icon|thumbnail|hero|media|background|image|photo"
+# End of the fixed values.
+
+_NUMBER = r"(-?[0-9]*\.?[0-9]+)"
+
+
+def filter_reason(value: F.Column) -> F.Column:
+    """Why a filter makes its element hard to read; null if it does not."""
+    def said(name: str) -> F.Column:
+        at = rf"{name}\(\s*{_NUMBER}(%)?\s*\)"
+        n = F.regexp_extract(value, at, 1).try_cast("double")
+        return F.when(F.regexp_extract(value, at, 2) == "%", n / 100).otherwise(n)
+
+    blur = F.abs(F.regexp_extract(value, rf"blur\(\s*{_NUMBER}(px|rem|em)?\s*\)", 1).try_cast("double"))
+    weak = [F.when(said(name) <= LEAST_FILTER, reason) for name, reason in (("brightness", "low-brightness"), ("contrast", "low-contrast"), ("opacity", "filter-opacity"))]
+    shifted = F.when(F.regexp_like(value, F.lit(r"\b(?:grayscale|invert)\(\s*(?:1|100%)\s*\)")), "color-shift")
+    return F.coalesce(F.when(blur >= STRONG_BLUR, "strong-blur").when(blur >= BLUR, "blur"), *weak, shifted)
+
+
+def clip_reason(path: F.Column, legacy: F.Column, overflow: F.Column, width: F.Column, height: F.Column) -> F.Column:
+    """How little a clip leaves of its element."""
+    points = F.array_distinct(F.transform(F.regexp_extract_all(path, F.lit("(-?[0-9]*\\.?[0-9]+%?)"), F.lit(1)), lambda p: F.regexp_replace(p, r"\.0+(?=%|$)", "")))
+    many = F.size(F.regexp_extract_all(path, F.lit("(-?[0-9]*\\.?[0-9]+%?)"), F.lit(1))) >= 4
+    gone = F.when(F.regexp_like(path, F.lit(r"^inset\(\s*(50|100)%|^(circle|ellipse)\(\s*0(?:px|%|em|rem)?")), "zero-area").when(path.startswith("polygon(") & many & (F.size(points) <= 2), "near-zero-area")
+    rect = F.when(F.regexp_like(legacy, F.lit(r"^rect\(\s*0(?:px)?(?:[,\s]+0(?:px)?){3}\s*\)$")), "zero-area")
+    small = F.when(overflow.isin("hidden", "clip") & ((width <= LEAST_BOX) | (height <= LEAST_BOX)), "overflow-clipped")
+    return F.coalesce(gone, rect, small)
+
+
+def obfuscations(rows: DataFrame) -> DataFrame:
+    """Elements whose content a style, or what they tell a reader's machine, suppresses (V30-V34): kind, reason, its element, severity.
+
+    Of the kinds in the order of ``LEVELS`` the first counts, by the nearest element of it at most so many levels above.
+    Only elements with text, controls or links in them count; a benign name makes a finding low.
+    """
+    style = F.coalesce("style", F.lit(""))
+    get = lambda name: css.declared(style, name)
+    attribute = lambda name: F.lower(F.try_element_at("attributes", F.lit(name)))
+    blend = F.when(get("mix-blend-mode").isin("difference", "exclusion", "hue", "luminosity"), "blend-mode")
+    reasons = {
+        "semantic-visibility-mismatch": F.when(attribute("aria-hidden") == "true", "aria-hidden").when(attribute("role").isin("none", "presentation"), "role"),
+        "filter-blend-manipulation": F.coalesce(filter_reason(get("filter")), blend),
+        "transform-suppression": F.when(css.smallest_scale(get("transform")) <= LEAST_SCALE, "near-zero-scale"),
+        "clipping-hiding": clip_reason(get("clip-path"), get("clip"), get("overflow"), css.pixels(get("width")), css.pixels(get("height"))),
+    }
+    kinds = list(reasons)
+    element = F.col("tag").isNotNull()
+    told = rows.withColumns({f"reason{k}": F.when(element, reasons[kind]) for k, kind in enumerate(kinds)})
+    near = dom.nearest(told, **{f"source{k}": F.col(f"reason{k}").isNotNull() for k in range(len(kinds))})
+    clickable = F.col("tag").isin("button", "label", "iframe") | ((F.col("tag") == "a") & attribute("href").isNotNull()) | attribute("tabindex").isNotNull()
+    full = dom.contents(near, texts=F.coalesce(F.col("tag").isNull() & F.regexp_like("text", F.lit(r"\S")), F.lit(False)), controls=F.coalesce(dom.private() | clickable, F.lit(False)))
+    placed = dom.with_depth(full.where(element).select("page_id", "node_id", "last_id", "attributes", "texts", "controls", *(f"{x}{k}" for x in ("reason", "source") for k in range(len(kinds)))))
+    chosen = F.lit(None)
+    for k, kind in enumerate(kinds):
+        at = placed.select("page_id", F.col("node_id").alias(f"source{k}"), F.col("depth").alias(f"depth{k}"), F.col(f"reason{k}").alias(f"why{k}"))
+        placed = placed.join(at, ["page_id", f"source{k}"], "left")
+        found = F.when(F.col("depth") - F.col(f"depth{k}") <= LEVELS[kind], F.struct(F.lit(kind).alias("kind"), F.col(f"why{k}").alias("reason"), F.col(f"source{k}").alias("source_id")))
+        chosen = found if k == 0 else F.coalesce(chosen, found)
+    benign = F.regexp_like(F.concat_ws(" ", attribute("class"), attribute("id")), F.lit(BENIGN))
+    out = placed.withColumn("f", chosen).where("f IS NOT NULL AND (texts > 0 OR controls > 0)")
+    return out.select("page_id", "node_id", "f.*", F.when(benign, "low").otherwise("medium").alias("severity"))

@@ -193,6 +193,10 @@ def backdrops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return styles.backdrops(_styled(spark, sf_dir))
 
 
+def obfuscations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styles.obfuscations(_styled(spark, sf_dir))
+
+
 def style_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours, lengths and transforms that captured styles declare."""
     rows = _styled(spark, sf_dir).where("style IS NOT NULL")
@@ -221,6 +225,7 @@ QUERIES = {
     "v06_hidden_containers": hidden_containers,
     "v15_style_values": style_values,
     "v16_backdrops": backdrops,
+    "v30_obfuscations": obfuscations,
     "v25_click_captures": click_captures,
     "p02_split_fragments": split_fragments,
     "l02_link_captions": link_captions,

@@ -244,19 +244,31 @@ def captions(pages: DataFrame) -> DataFrame:
     return links.select(_PAGE, "node_id", "href", F.coalesce(F.when(~F.col("private_self"), F.col("caption")), F.lit("")).alias("caption"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
+def with_depth(elements: DataFrame) -> DataFrame:
+    """``elements`` with ``depth``: how many of them contain each, itself included."""
+    begun = elements.withColumns({"__at": F.col("node_id").cast("double"), "__step": F.lit(1)})
+    ended = begun.withColumns({"__at": F.col("last_id") + 0.5, "__step": F.lit(-1)})
+    so_far = Window.partitionBy(_PAGE).orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
+    return begun.unionByName(ended).withColumn("depth", F.sum("__step").over(so_far)).where("__step = 1").drop("__at", "__step")
+
+
+def contents(rows: DataFrame, **sets: F.Column) -> DataFrame:
+    """``rows`` with the number of nodes of each named set that each node is or contains: what its end has more than what came before it."""
+    so_far = Window.partitionBy(_PAGE).orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"{name}__is": test.cast("int") for name, test in sets.items()}).withColumns({f"{name}__n": F.sum(f"{name}__is").over(so_far) for name in sets})
+    ends = rows.select(_PAGE, F.col("node_id").alias("last_id"), *(F.col(f"{name}__n").alias(f"{name}__end") for name in sets))
+    met = rows.join(ends, [_PAGE, "last_id"])
+    return met.withColumns({name: F.col(f"{name}__end") - F.col(f"{name}__n") + F.col(f"{name}__is") for name in sets}).drop(*(f"{name}__{x}" for name in sets for x in ("is", "n", "end")))
+
+
 def change_roots(rows: DataFrame, most: int = 200) -> DataFrame:
     """Changed nodes (``changed``) as the roots to be searched again (T16): ``page_id, root_id, rescan``.
 
     A node's root is the nearest element that owns texts, itself included, among itself and seven levels above, else the node
     itself; roots inside others go. A page with more roots than ``most`` is searched as a whole.
     """
-    # a parent's level is known by its own beginnings and ends: the number of elements around a node
-    element = F.col("tag").isNotNull()
     rows = nearest(rows, owner=_is(PRIMARY + INTERACTIVE + FALLBACK))
-    level = Window.partitionBy(_PAGE).orderBy("__at").rangeBetween(Window.unboundedPreceding, 0)
-    begun = rows.where(element).select(_PAGE, "node_id", "owner", "changed", "last_id", F.col("node_id").cast("double").alias("__at"), F.lit(1).alias("__step"))
-    ended = begun.withColumns({"__at": F.col("last_id") + 0.5, "__step": F.lit(-1)})
-    depths = begun.unionByName(ended).withColumn("depth", F.sum("__step").over(level)).where("__step = 1")
+    depths = with_depth(rows.where("tag IS NOT NULL").select(_PAGE, "node_id", "owner", "changed", "last_id"))
     owners = depths.select(_PAGE, F.col("node_id").alias("owner"), F.col("depth").alias("owner_depth"))
     changed = depths.where("changed").join(owners, [_PAGE, "owner"], "left")
     root = F.when(F.col("depth") - F.col("owner_depth") < 8, F.col("owner")).otherwise(F.col("node_id"))

@@ -112,6 +112,7 @@ def seeded_calls(d: Spark) -> str:
 CSS_SEEDS = {
     0: "display: none", 1: "visibility:hidden; color: #333", 2: "Visibility: visible", 3: "opacity: 0", 4: "background-color: rgba(0, 0, 0, 0.5)", 5: "background-color:#fff", 6: "background-color: hsl(240 100% 50% / 20%); transform: scale(0.01)",
     7: "background-image: url(x.png)", 8: "background-color: transparent; transform: translateX(-2000px)", 9: "font-size: 0.05em; width: 50%", 10: "background-color: #ff000080; transform: matrix(0.01, 0, 0, 1, 0, 0)",
+    11: "filter: blur(5px)", 12: "filter: opacity(10%) blur(0.5px)", 13: "clip-path: inset(50%)", 14: "overflow:hidden; height: 1px", 15: "clip: rect(0, 0, 0, 0)", 16: "mix-blend-mode: difference",
 }
 
 

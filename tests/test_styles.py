@@ -139,3 +139,55 @@ def test_what_lies_behind(trees):
         # halves may fall either way, as sums are taken in another order
         assert got[key] == (None, None, None) if base is None else all(abs(x - y) <= 0.5 + 1e-6 for x, y in zip(got[key], base)), key
     assert any(v is None for v in expected.values()) and len({v for v in expected.values() if v}) > 4
+
+
+# Filters and clips as they are written, and why they hide.
+FILTERS = [("blur(4px)", "strong-blur"), ("blur(1.5rem)", "blur"), ("blur(.5px) brightness(10%)", "low-brightness"), ("contrast(0.15)", "low-contrast"), ("opacity(0)", "filter-opacity"), ("opacity(50%)", None), ("grayscale(100%)", "color-shift"), ("invert(1)", "color-shift"), ("grayscale(.5)", None), ("none", None), (None, None)]
+CLIPS = [
+    (("inset(50%)", None, None, None, None), "zero-area"), (("inset(10%)", None, None, None, None), None), (("circle(0px at 0 0)", None, None, None, None), "zero-area"), (("polygon(0 0, 0 0, 0.0 0)", None, None, None, None), "near-zero-area"),
+    (("polygon(0 0, 100% 0, 50% 50%)", None, None, None, None), None), ((None, "rect(0, 0, 0, 0)", None, None, None), "zero-area"), ((None, "rect(1px,0,0,0)", None, None, None), None), ((None, None, "hidden", 1.0, 50.0), "overflow-clipped"), ((None, None, "visible", 1.0, 1.0), None),
+]
+# End of the fixed values.
+
+
+def test_reasons(spark):
+    frame = spark.createDataFrame([(k, v) for k, (v, _) in enumerate(FILTERS)], "k int, v string")
+    assert [r[0] for r in frame.orderBy("k").select(styles.filter_reason(F.col("v"))).collect()] == [why for _, why in FILTERS]
+    frame = spark.createDataFrame([(k, *v) for k, (v, _) in enumerate(CLIPS)], "k int, a string, b string, c string, d double, e double")
+    assert [r[0] for r in frame.orderBy("k").select(styles.clip_reason(*(F.col(c) for c in "abcde"))).collect()] == [why for _, why in CLIPS]
+
+
+def test_obfuscations_by_the_nearest_source(spark):
+    rng = random.Random(11)
+    made = {"filter:blur(9px)": (1, "strong-blur"), "transform:scale(0)": (2, "near-zero-scale"), "transform:scale(0.04)": None, "clip-path:inset(100%)": (3, "zero-area"), "overflow:hidden;width:2px": (3, "overflow-clipped"), None: None, "color:red": None}
+    kinds, pages, rows = list(styles.LEVELS), {}, []
+    for p in range(25):
+        nodes = _tree(rng, rng.choice((3, 60, 120)))
+        for n in nodes:
+            n[4] = rng.choice([*made, None, None]) if n[2] else None
+            n[2] = n[2] and rng.choice(("div", "div", "a", "button", "input"))
+            n.append({} if not n[2] else rng.choice(({}, {}, {}, {"aria-hidden": "true"}, {"role": "none"}, {"class": "My-Icon"}, {"href": "/"}, {"aria-hidden": "false"})))
+        pages[p] = nodes
+        rows += [(p, k, *n[:4], n[5], n[4]) for k, n in enumerate(nodes)]
+    frame = spark.createDataFrame(rows, "page_id long, node_id int, parent_id int, last_id int, tag string, text string, attributes map<string,string>, style string").repartition(4)
+    expected = set()
+    for p, nodes in pages.items():
+        def own(k, kind):
+            at = nodes[k][5]
+            if kind == 0:
+                return "aria-hidden" if at.get("aria-hidden") == "true" else "role" if at.get("role") in ("none", "presentation") else None
+            return made[nodes[k][4]][1] if made.get(nodes[k][4]) and made[nodes[k][4]][0] == kind else None
+
+        for k, n in enumerate(nodes):
+            if not n[2]:
+                continue
+            inside = nodes[k : n[1] + 1]
+            if not any((x[2] is None and x[3].strip()) or x[2] in ("button", "input") or (x[2] == "a" and "href" in x[5]) for x in inside):
+                continue
+            for kind in range(4):
+                near = next((a for a in _up(nodes, k) if own(a, kind)), None)
+                if near is not None and list(_up(nodes, k)).index(near) <= styles.LEVELS[kinds[kind]]:
+                    expected.add((p, k, kinds[kind], own(near, kind), near, "low" if "icon" in n[5].get("class", "").lower() else "medium"))
+                    break
+    got = [tuple(r) for r in styles.obfuscations(frame).collect()]
+    assert set(got) == expected and len(got) == len(expected) and {g[2] for g in got} == set(kinds) and any(g[1] != g[4] for g in got)
