@@ -7,6 +7,8 @@ joins and aggregates on the keys of the given rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -127,16 +129,22 @@ def contributions(evidence: DataFrame) -> DataFrame:
     return rows.drop("met", "all_candidates", "all_fragments")
 
 
+#: Where a fragment stands, or what it lacks: columns that regions may have beside their texts.
+CONTEXTS = ("code", "quote", "in_list", "navigation", "partial")
+
+
 def reassembled(regions: DataFrame, longest: int = 4_096, per_region: int = 48) -> DataFrame:
     """Windows of two to four neighbouring fragments of a region, put together in up to three ways.
 
     ``regions``: ``conv_id``, ``run``, ``chunk``, ``turn``, ``source_type``, ``text``. Path 1 joins fragments as their edges ask,
     path 2 by one space, path 3 by nothing where every joint is inside a word. Of equal texts of a window the
-    first path stays. ``spans`` has each fragment's place: ``candidate``, ``fragment``, ``lo``, ``hi``.
+    first path stays. ``spans`` has each fragment's place: ``candidate``, ``fragment``, ``lo``, ``hi``. Of each of ``CONTEXTS``
+    that regions have, ``any_`` and ``all_`` tell whether it holds for some or for all fragments (P12).
     """
+    known = [c for c in CONTEXTS if c in regions.columns]
     key = ["conv_id", "run", "chunk", "turn", "source_type", "size"]
     ahead = Window.partitionBy("conv_id", "run", "chunk").orderBy("turn").rowsBetween(0, 3)
-    rows = regions.withColumn("parts", F.collect_list(F.struct("turn", "text")).over(ahead)).where(F.size("parts") > 1)
+    rows = regions.withColumn("parts", F.collect_list(F.struct("turn", "text", *known)).over(ahead)).where(F.size("parts") > 1)
     rows = rows.select("conv_id", "run", "chunk", "turn", "source_type", "parts", F.explode(F.sequence(F.lit(2), F.size("parts"))).alias("size"))
     rows = rows.withColumn("parts", F.slice("parts", F.lit(1), F.col("size"))).where(F.aggregate("parts", F.lit(0), lambda n, p: n + F.length(p["text"])) <= longest)
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "run", "chunk").orderBy("turn", "size"))).where(F.col("k") <= per_region)
@@ -153,7 +161,8 @@ def reassembled(regions: DataFrame, longest: int = 4_096, per_region: int = 48)
     ends = F.expr("transform(sequence(1, size), i -> aggregate(slice(separators, 1, i), 0, (n, s) -> n + length(s)) + aggregate(slice(texts, 1, i), 0, (n, t) -> n + length(t)))")
     rows = rows.withColumn("ends", ends)
     spans = F.expr("transform(sequence(0, size - 1), i -> struct(parts[i].turn AS candidate, parts[i].turn AS fragment, ends[i] - length(texts[i]) AS lo, ends[i] AS hi))")
-    return rows.select(*key, "path", "text", spans.alias("spans"), F.col("parts")[F.col("size") - 1]["turn"].alias("last_turn"))
+    told = [F.expr(f"{f}(parts, p -> coalesce(p.{c}, false))").alias(f"{name}_{c}") for c in known for name, f in (("any", "exists"), ("all", "forall"))]
+    return rows.select(*key, "path", "text", *told, spans.alias("spans"), F.col("parts")[F.col("size") - 1]["turn"].alias("last_turn"))
 
 
 # How sure a decision is.
@@ -161,14 +170,45 @@ INSUFFICIENT, WEAK, MODERATE, STRONG = range(4)
 # End of the fixed values.
 
 
-def split_decisions(regions: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Policy:
+    """Which decisions count: from what confidence, put together in which ways, and whether attributes do."""
+
+    minimum: int = MODERATE
+    paths: tuple[int, ...] = (1, 2)
+    attributes: bool = False
+
+
+def minimum_confidence(threshold: float) -> int:
+    """The confidence that a threshold between 0 and 1 asks for."""
+    return WEAK if threshold <= 0.33 else MODERATE if threshold <= 0.66 else STRONG
+
+
+def eligible(policy: Policy) -> F.Column:
+    """Whether a decision counts (P17); below a weak confidence none does."""
+    source = F.lit(True) if policy.attributes else F.col("source_type") == "text"
+    return source & F.col("path").isin(*policy.paths) & (F.col("confidence") >= max(policy.minimum, WEAK)) & F.col("mapped") & (F.col("n_candidates") >= 2) & ~F.col("standalone")
+
+
+def _confidence(contexts: dict[str, F.Column]) -> F.Column:
+    """Complete chains of text are strong; attributes, compact texts, lists and menus cap, code and quotes forbid."""
+    text, none = F.col("source_type") == "text", F.lit(False)
+    get = lambda name: contexts.get(name, none)
+    found = F.when(~F.col("mapped") | F.col("standalone") | (F.col("n_candidates") < 2) | get("code") | get("quote"), INSUFFICIENT)
+    found = found.when(~text | (F.col("path") == 3) | get("navigation") | get("in_list"), WEAK)
+    return found.when((F.col("path") == 1) & ~get("partial") & (F.col("n_candidates") == F.col("size")) & (F.col("size") <= 3), STRONG).otherwise(MODERATE)
+
+
+def split_decisions(regions: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """What reassembled windows say that no fragment says alone: one row per window, path and action group.
 
     With the mapping to fragments (P14), whether a fragment alone holds the same group (P15), the confidence
-    (P16) and whether the decision counts at the usual policy (P17).
+    (P16) and whether the decision counts under the policy (P17).
     """
-    key = ["conv_id", "run", "chunk", "turn", "last_turn", "source_type", "size", "path"]
-    found = rule_evidence(reassembled(regions), [*key, "spans"]).where("is_primary")
+    windows = reassembled(regions)
+    contexts = [c for c in windows.columns if c.startswith(("any_", "all_"))]
+    key = ["conv_id", "run", "chunk", "turn", "last_turn", "source_type", "size", "path", *contexts]
+    found = rule_evidence(windows, [*key, "spans"]).where("is_primary")
     first = Window.partitionBy(*key, "action_group").orderBy("ord")
     told = contributions(found.withColumn("nth", F.row_number().over(first)).where("nth = 1"))
     alone = rule_evidence(regions, ["conv_id", "run", "chunk", "turn"]).where("is_primary")
@@ -176,10 +216,7 @@ def split_decisions(regions: DataFrame) -> DataFrame:
     rows = told.join(alone, ["conv_id", "run", "chunk", "action_group"], "left")
     inside = F.coalesce(F.col("own_turn").between(F.col("turn"), F.col("last_turn")), F.lit(False))
     rows = rows.groupBy(*key, "spans", "rule_id", "ord", "action_group", "supporting", "mapped", "n_candidates", "contributing", "split_signal").agg(F.max(inside).alias("standalone"))
-    text = F.col("source_type") == "text"
-    confidence = F.when(~F.col("mapped") | F.col("standalone") | (F.col("n_candidates") < 2), INSUFFICIENT)
-    confidence = confidence.when(~text | (F.col("path") == 3), WEAK).when((F.col("path") == 1) & (F.col("n_candidates") == F.col("size")) & (F.col("size") <= 3), STRONG).otherwise(MODERATE)
-    rows = rows.withColumn("confidence", confidence.cast("long"))
+    rows = rows.withColumn("confidence", _confidence({c[4:]: F.col(c) for c in contexts if c.startswith("any_")}).cast("long"))
     # complete primary constructions are strong evidence; of their impacts only one makes a high severity
     severity = F.when(F.col("rule_id").startswith("sensitive-disclosure.") & F.array_contains("supporting", "external-transfer"), 3).otherwise(2)
-    return rows.withColumns({"severity": severity.cast("long"), "eligible": text & (F.col("confidence") >= MODERATE)}).drop("supporting")
+    return rows.withColumns({"severity": severity.cast("long"), "eligible": eligible(policy)}).drop("supporting")

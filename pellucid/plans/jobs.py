@@ -16,7 +16,7 @@ from pellucid.operators.requests import normalized
 from pellucid.operators.splitting import regions
 from pellucid.plans.shared import shared_folder
 from pellucid.sources import dom, html
-from pellucid.sources.seeds import CSS_SEEDS, LITERAL_SEEDS, seeded_calls, seeded_docs, seeded_elements, seeded_requests
+from pellucid.sources.seeds import CONTEXT_SEEDS, CSS_SEEDS, LITERAL_SEEDS, seeded_calls, seeded_docs, seeded_elements, seeded_requests
 from pellucid.streaming import findings, requests
 
 
@@ -97,6 +97,14 @@ def split_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "size", "path", "rule_id", "mapped", "n_candidates", "split_signal", "standalone", "confidence", "eligible")
 
 
+def context_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions where fragments stand in code, quotes, lists or menus, or lack something, under three policies."""
+    where = ", ".join(f"{test} AS {name}" for name, test in CONTEXT_SEEDS.items())
+    rows = evidence.split_decisions(_sql(spark, sf_dir, f"SELECT r.*, {where} FROM {regions(Spark())} r", "conversations"))
+    policies = {"usual": evidence.Policy(), "strict": evidence.Policy(evidence.minimum_confidence(0.8)), "lenient": evidence.Policy(evidence.minimum_confidence(0.2), (1, 2, 3), True)}
+    return rows.select("conv_id", "turn", "size", "path", "rule_id", "any_code", "any_in_list", "all_in_list", "confidence", *(evidence.eligible(p).alias(name) for name, p in policies.items()))
+
+
 def merged_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = findings.merge_decisions(_decisions(spark, sf_dir))
     return rows.select("conv_id", "run", "chunk", "source_type", "action_group", "rule_id", "confidence", "severity", "path", F.array_join("candidates", ",").alias("candidates"), "n_decisions")
@@ -230,6 +238,7 @@ QUERIES = {
     "p02_split_fragments": split_fragments,
     "l02_link_captions": link_captions,
     "p14_contributions": split_contributions,
+    "p16_context_decisions": context_decisions,
     "p19_merged_decisions": merged_decisions,
     "p20_finding_revisions": finding_revisions,
     "s09_literals": literals_found,

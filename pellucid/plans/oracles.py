@@ -6,7 +6,7 @@ from pellucid.functions.catalog import RULES, tokens
 from pellucid.functions.dialect import Duck, values
 from pellucid.operators.semantic import TOKEN
 from pellucid.operators.splitting import regions
-from pellucid.sources.seeds import LITERAL_SEEDS, seeded_calls, seeded_docs, seeded_elements, seeded_requests
+from pellucid.sources.seeds import CONTEXT_SEEDS, LITERAL_SEEDS, seeded_calls, seeded_docs, seeded_elements, seeded_requests
 
 _D = Duck()
 
@@ -115,6 +115,19 @@ def _p14() -> str:
     return f"""{_decided()} SELECT conv_id, turn, size, path, rule_id, mapped, n_candidates, mapped AND most > 1 AS split_signal, standalone, confidence, source_type = 'text' AND confidence >= 2 AS eligible FROM e"""
 
 
+def _contexts() -> str:
+    def some(name: str, every: bool = False) -> str:
+        test = CONTEXT_SEEDS[name].replace("conv_id", "e.conv_id").replace("turn", "p.turn")
+        return f"len(list_filter(w.parts, lambda p: {test})) {'= len(w.parts)' if every else '> 0'}"
+
+    flags = ", ".join(f"{some(c)} AS any_{c}" for c in CONTEXT_SEEDS)
+    # what a fragment that stands so caps
+    capped = "CASE WHEN confidence = 0 OR any_code OR any_quote THEN 0 WHEN any_navigation OR any_in_list THEN least(confidence, 1) WHEN any_partial THEN least(confidence, 2) ELSE confidence END"
+    return f"""{_decided()}, x AS (SELECT e.*, {flags}, {some('in_list', True)} AS all_in_list FROM e JOIN w USING (conv_id, run, chunk, turn, source_type, size, path)),
+        y AS (SELECT *, {capped} AS capped FROM x)
+        SELECT conv_id, turn, size, path, rule_id, any_code, any_in_list, all_in_list, capped AS confidence, source_type = 'text' AND path < 3 AND capped >= 2 AS usual, source_type = 'text' AND path < 3 AND capped >= 3 AS strict, capped >= 1 AS lenient FROM y"""
+
+
 def _p19() -> str:
     """Windows are stretches of a region, so those that meet are islands: a new one begins beyond all that came before."""
     group = "conv_id, run, chunk, source_type, action_group"
@@ -203,6 +216,7 @@ ORACLES = {
     "g10_rate_limit": f"WITH RECURSIVE requests AS (SELECT seq, request_id AS sender, now_ms FROM {seeded_requests(_D)} q WHERE request_id IS NOT NULL AND now_ms IS NOT NULL), {_limited('requests')} SELECT seq, sender, now_ms, allowed FROM walk",
     "v25_click_captures": _captures(),
     "p14_contributions": _p14(),
+    "p16_context_decisions": _contexts(),
     "p19_merged_decisions": _p19(),
     "s09_literals": f"WITH RECURSIVE {_segments()}, {_literals()} SELECT doc_id, segment, literal_id, place FROM lh",
     "s22_literal_cap_kept": f"WITH RECURSIVE {_segments()}, {_literals()} SELECT doc_id, segment, least(count(*), 2) AS kept, count(*) > 2 AS partial FROM lh GROUP BY doc_id, segment",

@@ -75,6 +75,10 @@ TURN_SEEDS = [
 ]
 
 
+#: Where turns stand, by conversation and turn.
+CONTEXT_SEEDS = {"code": "conv_id % 11 = 3 AND turn % 2 = 1", "quote": "conv_id % 13 = 5", "in_list": "conv_id % 4 = 1 AND turn % 3 = 0", "navigation": "conv_id % 17 = 2", "partial": "conv_id % 3 = 0"}
+
+
 def seeded_turns(d: Spark) -> str:
     """Turns of the conversations as candidates of one region each; some are replaced by split phrases."""
     placed = "(SELECT x.*, min(turn) OVER (PARTITION BY conv_id) AS t0 FROM conversations x WHERE conv_id IS NOT NULL)"
