@@ -17,6 +17,11 @@ from pellucid.sources import dom
 WHITE = 255.0
 
 
+def _parsed(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table of their own, so that what was read from styles is not read again wherever it is asked for."""
+    return rows.sparkSession.read.parquet(written(rows, name))
+
+
 def outermost(rows: DataFrame, **sets: F.Column) -> DataFrame:
     """``rows`` with a column for each named set: the farthest element of it that is the node or contains it, or null."""
     marked = rows.withColumns({f"{name}__of": test for name, test in sets.items()})
@@ -65,6 +70,7 @@ def backdrops(rows: DataFrame) -> DataFrame:
     image = F.coalesce(css.declared(style, "background-image"), F.lit("none")) != "none"
     ground = css.colour(css.declared(style, "background-color"))
     elements = rows.withColumns({"ground": ground, "image": image & F.col("tag").isNotNull()})
+    elements = _parsed(elements.select("page_id", "node_id", "parent_id", "last_id", "tag", "ground", "image"), "grounds")
     elements = elements.withColumn("is_layer", F.col("tag").isNotNull() & (F.col("image") | F.coalesce(F.col("ground.alpha") > 0, F.lit(False))))
     placed = dom.nearest(elements, layer=F.col("is_layer")).where("tag IS NOT NULL").select("page_id", "node_id", "parent_id", "layer", "ground", "image", "is_layer")
     above = placed.select("page_id", F.col("node_id").alias("parent_id"), F.col("layer").alias("up"))
@@ -137,17 +143,20 @@ def obfuscations(rows: DataFrame) -> DataFrame:
     }
     kinds = list(reasons)
     element = F.col("tag").isNotNull()
-    told = rows.withColumns({f"reason{k}": F.when(element, reasons[kind]) for k, kind in enumerate(kinds)})
-    near = dom.nearest(told, **{f"source{k}": F.col(f"reason{k}").isNotNull() for k in range(len(kinds))})
     clickable = F.col("tag").isin("button", "label", "iframe") | ((F.col("tag") == "a") & attribute("href").isNotNull()) | attribute("tabindex").isNotNull()
-    full = dom.contents(near, texts=F.coalesce(F.col("tag").isNull() & F.regexp_like("text", F.lit(r"\S")), F.lit(False)), controls=F.coalesce(dom.private() | clickable, F.lit(False)))
-    placed = dom.with_depth(full.where(element).select("page_id", "node_id", "last_id", "attributes", "texts", "controls", *(f"{x}{k}" for x in ("reason", "source") for k in range(len(kinds)))))
+    told = rows.select(
+        "page_id", "node_id", "last_id", element.alias("element"), *(F.when(element, why).alias(f"reason{k}") for k, why in enumerate(reasons.values())),
+        F.coalesce(~element & F.regexp_like("text", F.lit(r"\S")), F.lit(False)).alias("is_text"), F.coalesce(dom.private() | clickable, F.lit(False)).alias("is_control"),
+        F.regexp_like(F.concat_ws(" ", attribute("class"), attribute("id")), F.lit(BENIGN)).alias("benign"),
+    )
+    near = dom.nearest(_parsed(told, "reasons"), **{f"source{k}": F.col(f"reason{k}").isNotNull() for k in range(len(kinds))})
+    full = dom.contents(near, texts=F.col("is_text"), controls=F.col("is_control"))
+    placed = dom.with_depth(full.where("element").drop("element", "is_text", "is_control"))
     chosen = F.lit(None)
     for k, kind in enumerate(kinds):
         at = placed.select("page_id", F.col("node_id").alias(f"source{k}"), F.col("depth").alias(f"depth{k}"), F.col(f"reason{k}").alias(f"why{k}"))
         placed = placed.join(at, ["page_id", f"source{k}"], "left")
         found = F.when(F.col("depth") - F.col(f"depth{k}") <= LEVELS[kind], F.struct(F.lit(kind).alias("kind"), F.col(f"why{k}").alias("reason"), F.col(f"source{k}").alias("source_id")))
         chosen = found if k == 0 else F.coalesce(chosen, found)
-    benign = F.regexp_like(F.concat_ws(" ", attribute("class"), attribute("id")), F.lit(BENIGN))
     out = placed.withColumn("f", chosen).where("f IS NOT NULL AND (texts > 0 OR controls > 0)")
-    return out.select("page_id", "node_id", "f.*", F.when(benign, "low").otherwise("medium").alias("severity"))
+    return out.select("page_id", "node_id", "f.*", F.when(F.col("benign"), "low").otherwise("medium").alias("severity"))
