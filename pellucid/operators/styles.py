@@ -84,13 +84,14 @@ def backdrops(rows: DataFrame) -> DataFrame:
         if layers.where("up IS NOT NULL").isEmpty():
             break
         behind = layers.select("page_id", F.col("node_id").alias("up"), *(F.col(c).alias(f"behind_{c}") for c in ("red", "green", "blue", "through", "unknown")), F.col("up").alias("next"))
-        met = layers.join(behind, ["page_id", "up"], "left")
+        # written tables pack so well that their file sizes would call for a broadcast
+        met = layers.join(behind.hint("merge"), ["page_id", "up"], "left")
         mixed = {c: F.col(c) + F.col("through") * F.coalesce(f"behind_{c}", F.lit(0.0)) for c in ("red", "green", "blue")}
         met = met.select("page_id", "node_id", *(e.alias(c) for c, e in mixed.items()), (F.col("through") * F.coalesce("behind_through", F.lit(1.0))).alias("through"), (F.col("unknown") | F.coalesce("behind_unknown", F.lit(False))).alias("unknown"), F.col("next").alias("up"))
         layers = met.withColumn("up", F.when(F.col("through") > 0, F.col("up")))
     shown = {c: F.when(~F.coalesce("unknown", F.lit(False)), F.floor(F.coalesce(F.col(c) + F.col("through") * WHITE, F.lit(WHITE)) + 0.5).cast("int")) for c in ("red", "green", "blue")}
     layers = layers.drop("up").withColumnRenamed("node_id", "layer")
-    return placed.select("page_id", "node_id", "layer").join(layers, ["page_id", "layer"], "left").select("page_id", "node_id", *(e.alias(c) for c, e in shown.items()))
+    return placed.select("page_id", "node_id", "layer").join(layers.hint("merge"), ["page_id", "layer"], "left").select("page_id", "node_id", *(e.alias(c) for c, e in shown.items()))
 
 
 # Levels above an element that count, scales and values that suppress, parts of names that tell a benign use.
@@ -149,14 +150,15 @@ def obfuscations(rows: DataFrame) -> DataFrame:
         F.coalesce(~element & F.regexp_like("text", F.lit(r"\S")), F.lit(False)).alias("is_text"), F.coalesce(dom.private() | clickable, F.lit(False)).alias("is_control"),
         F.regexp_like(F.concat_ws(" ", attribute("class"), attribute("id")), F.lit(BENIGN)).alias("benign"),
     )
-    near = dom.nearest(_parsed(told, "reasons"), **{f"source{k}": F.col(f"reason{k}").isNotNull() for k in range(len(kinds))})
-    full = dom.contents(near, texts=F.col("is_text"), controls=F.col("is_control"))
+    full = dom.contents(_parsed(told, "reasons"), texts=F.col("is_text"), controls=F.col("is_control"))
     placed = dom.with_depth(full.where("element").drop("element", "is_text", "is_control"))
-    chosen = F.lit(None)
-    for k, kind in enumerate(kinds):
-        at = placed.select("page_id", F.col("node_id").alias(f"source{k}"), F.col("depth").alias(f"depth{k}"), F.col(f"reason{k}").alias(f"why{k}"))
-        placed = placed.join(at, ["page_id", f"source{k}"], "left")
-        found = F.when(F.col("depth") - F.col(f"depth{k}") <= LEVELS[kind], F.struct(F.lit(kind).alias("kind"), F.col(f"why{k}").alias("reason"), F.col(f"source{k}").alias("source_id")))
-        chosen = found if k == 0 else F.coalesce(chosen, found)
+    # the nearest source comes with its depth and reason, so that it need not be joined
+    source = F.struct("node_id", "depth", *(f"reason{k}" for k in range(len(kinds))))
+    placed = dom.nearest(placed, source, **{f"source{k}": F.col(f"reason{k}").isNotNull() for k in range(len(kinds))})
+    found = [
+        F.when(F.col("depth") - F.col(f"source{k}.depth") <= LEVELS[kind], F.struct(F.lit(kind).alias("kind"), F.col(f"source{k}.reason{k}").alias("reason"), F.col(f"source{k}.node_id").alias("source_id")))
+        for k, kind in enumerate(kinds)
+    ]
+    chosen = F.coalesce(*found)
     out = placed.withColumn("f", chosen).where("f IS NOT NULL AND (texts > 0 OR controls > 0)")
     return out.select("page_id", "node_id", "f.*", F.when(F.col("benign"), "low").otherwise("medium").alias("severity"))
