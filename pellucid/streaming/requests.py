@@ -1,11 +1,13 @@
 """The request stream: sessions' requests assembled in keyed state (A02, A10), and a rate limiter.
 
-State is one small record for each request, which goes when nothing has come for it for a while; batch queries
+State is one small record for each request that has begun, which goes when nothing has come for it for a while. Requests are
+dealt to parts of their session, as a call and a frame for each request cost far more than its few events; batch queries
 over the same events (:mod:`pellucid.operators.requests`) give the same observations.
 """
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Iterator
 
@@ -23,8 +25,11 @@ OBSERVED = (
     "session long, request_id long, end_seq long, resource_type string, method string, response_status int, declared_mime_state string, declared_mime string, "
     "completed boolean, network_error boolean, redirected boolean, redirect_count long"
 )
-_STATE = "begun boolean, done boolean, redirects long, type string, method string, status int, mime_state string, mime string"
-_NEW = (False, False, 0, None, None, None, "missing", None)
+#: Status and media type before any headers.
+_NONE = (None, "missing", None)
+# Parts that a session's requests are dealt to; each is one state.
+PARTS = 64
+# End of the fixed values.
 
 
 def assemble(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
@@ -36,37 +41,48 @@ def assemble(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
     stays in proportion to what comes within that time. The default is a day, as long as a session lasts.
     """
     columns = [c.split()[0] for c in OBSERVED.split(", ")]
+    longs = {"session": "Int64", "request_id": "Int64", "end_seq": "Int64", "redirect_count": "Int64", "response_status": "Int32"}
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        watermark = state.getCurrentWatermarkMs()
+        # a request that has begun, by its number
+        held: dict[int | None, dict] = dict(json.loads(state.get[0])) if state.exists else {}
+        latest, out = {}, []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames)).sort_values("seq")
+            values = (rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in EVENT[1:])
+            for request, seq, kind, type_, method, status, mime_state, mime, now in zip(*values, strict=True):
+                latest[request] = max(latest.get(request, watermark), watermark if now is None else int(now))
+                r = held.get(request)
+                if r is None:
+                    if kind == "begin":
+                        held[request] = {"type": type_, "method": method, "redirects": 0, "headers": _NONE}
+                elif r.get("done"):
+                    continue
+                elif kind == "redirect":
+                    r.update(redirects=r["redirects"] + 1, headers=_NONE)
+                elif kind == "headers":
+                    r["headers"] = (None if status is None else int(status), mime_state, mime)
+                elif kind in ("completed", "error"):
+                    if r["redirects"] <= MOST_REDIRECTS:
+                        out.append((key[0], request, seq, r["type"], r["method"], *r["headers"], kind == "completed", kind == "error", r["redirects"] > 0, r["redirects"]))
+                    held[request] = {"done": True}
+        for request in latest.keys() & held.keys():
+            held[request]["until"] = latest[request] + idle_ms
+        kept = {request: r for request, r in held.items() if request in latest or r["until"] >= watermark}
+        if kept:
+            state.update((json.dumps(list(kept.items())),))
+            state.setTimeoutTimestamp(max(min(r["until"] for r in kept.values()), watermark + 1))
+        elif state.exists:
             state.remove()
-            return
-        begun, done, redirects, kind, method, status, mime_state, mime = state.get if state.exists else _NEW
-        out = []
-        rows = pd.concat(list(frames)).sort_values("seq")
-        last = int(rows["now_ms"].max())
-        for e in rows.itertuples(index=False):
-            if done:
-                break
-            if not begun:
-                if e.kind == "begin":
-                    begun, kind, method = True, e.type, e.norm_method
-            elif e.kind == "redirect":
-                redirects, status, mime_state, mime = redirects + 1, None, "missing", None
-            elif e.kind == "headers":
-                status, mime_state, mime = (None if pd.isna(e.norm_status) else int(e.norm_status)), e.mime_state, e.mime
-            elif e.kind in ("completed", "error"):
-                done = True
-                if redirects <= MOST_REDIRECTS:
-                    out.append((*key, e.seq, kind, method, status, mime_state, mime, e.kind == "completed", e.kind == "error", redirects > 0, redirects))
-        state.update((begun, done, redirects, kind, method, status, mime_state, mime))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
-        made = pd.DataFrame(out, columns=columns)
-        yield made.assign(response_status=made["response_status"].astype("Int32"))
+        if out:
+            yield pd.DataFrame(out, columns=columns).astype(longs)
 
     timed = events.select(*EVENT, F.timestamp_millis("now_ms").alias("at")).withWatermark("at", f"{idle_ms} milliseconds")
-    keyed = timed.groupBy("session", "request_id")
-    return keyed.applyInPandasWithState(step, OBSERVED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    # numbers that are missing stay apart from the others, which would be read as floats beside them
+    part = F.when(F.col("request_id").isNotNull(), F.pmod(F.xxhash64("request_id"), F.lit(PARTS))).otherwise(F.lit(-1)).cast("int")
+    keyed = timed.withColumn("part", part).groupBy("session", "part")
+    return keyed.applyInPandasWithState(step, OBSERVED, "requests string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_limited(log: DataFrame) -> DataFrame:
